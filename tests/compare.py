@@ -63,7 +63,8 @@ def main():
     from suite import all_oracles, all_queries
     sf_dir, parts = sys.argv[1], sys.argv[2:]
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
-                                         "spark.ui.enabled": "false"})
+                                         "spark.ui.enabled": "false",
+                                         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = all_queries(), all_oracles()
