@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rareclass.functions.hashing import row_digest
+from rareclass.functions.ranks import shuffle_width
 from rareclass.operators.features import Recipe, balance_errors, feature_frame
 
 # ---- fixed values of the public datasets: columns, category lists, sentinel columns ----
@@ -89,7 +90,7 @@ def with_row_id(df: DataFrame, out: str = "row_id", chunk: int = 10_000) -> Data
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", row_digest(df.columns))
     chunks = counted.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))))
-    spread = chunks.repartition("_d", "_c")
+    spread = chunks.repartition(shuffle_width(df), "_d", "_c")
     last = F.least(F.col("_n"), (F.col("_c") + 1) * chunk)
     numbered = spread.withColumn("_i", F.explode(F.sequence(F.col("_c") * chunk + 1, last)))
     return numbered.select(F.concat_ws("-", "_d", "_i").alias(out), *df.columns)
