@@ -95,19 +95,26 @@ def bucket_of(value: str | Column, cuts: Sequence[float]) -> Column:
 def running_totals(
     df: DataFrame, order: str, sums: Mapping[str, str], keys: Sequence[str] = (),
     descending: bool = False, cuts: Sequence[float] | None = None, lead: Sequence[str] = (),
+    maxes: Mapping[str, str] | None = None, prior_maxes: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of columns along ``order`` within ``keys``.
 
     ``sums`` maps an output name to an input column; ``tot_<output>`` carries the group total. Rows
     must be unique on (keys, order): aggregate equal values first, which also removes hot values.
     ``lead`` columns also come back as ``next_<col>`` from the following row, across buckets too.
+    ``maxes`` are inclusive running maxima, ``prior_maxes`` those of the rows before (NULL at first).
     """
+    maxes, prior_maxes = dict(maxes or {}), dict(prior_maxes or {})
+    tops = {**maxes, **prior_maxes}
     if cuts is None:
         cuts = range_cuts(df, order)
     cut = df.withColumn("_b", bucket_of(order, cuts))
     by = F.col(order).desc() if descending else F.col(order).asc()
     first = F.struct(*[F.col(c) for c in lead]) if lead else None
     totals = [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
+    totals += [F.max(c).alias(f"_x_{n}") for n, c in tops.items()]
+    if not totals:
+        totals = [F.count(F.lit(1)).alias("_rows")]
     if lead:
         pick = F.max_by if descending else F.min_by
         totals.append(pick(first, F.col(order)).alias("_first"))
@@ -119,15 +126,19 @@ def running_totals(
         *keys, "_b",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_s_{n}").over(whole).alias(f"tot_{n}") for n in sums],
+        *[F.max(f"_x_{n}").over(before).alias(f"_m_{n}") for n in tops],
         *([F.lead("_first").over(whole.orderBy(bucket_order)).alias("_following")] if lead else []),
     )
     joined = null_safe_join(cut, offsets, [*keys, "_b"])
     inside = W.partitionBy(*keys, "_b").orderBy(by)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
     out = joined.select(
         *df.columns,
         *[(F.sum(c).over(upto) + F.col(f"_o_{n}")).alias(n) for n, c in sums.items()],
         *[F.col(f"tot_{n}") for n in sums],
+        *[F.greatest(F.max(c).over(upto), F.col(f"_m_{n}")).alias(n) for n, c in maxes.items()],
+        *[F.greatest(F.max(c).over(earlier), F.col(f"_m_{n}")).alias(n) for n, c in prior_maxes.items()],
         *([F.coalesce(F.lead(first).over(inside), F.col("_following")).alias("_next")] if lead else []),
     )
     if lead:
