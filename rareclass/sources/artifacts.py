@@ -77,7 +77,7 @@ def mine_log(df: DataFrame, content: str = "content") -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
 def thousands(c: str | Column) -> Column:

@@ -83,15 +83,15 @@ def scan_ledger(spark: SparkSession, root: str, skip: str = r"_rounds\.csv$") ->
     Files are told apart by their header: each header found is one schema, and the groups are united by
     column name. A summary file is a few lines, so it is read as one text.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv").text(root).where(~F.input_file_name().rlike(skip))
-    lines = F.split(F.regexp_replace(F.col("value"), "\r", ""), "\n")
-    split = files.select(F.get(lines, F.lit(0)).alias("header"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("rows"))
-    headers = [r["header"] for r in split.select("header").distinct().collect() if r["header"]]
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(
+        root, wholetext=True).where(~F.input_file_name().rlike(skip))
+    lined = files.select(F.split("value", "\\r?\\n").alias("lines"))
+    split = lined.select(F.col("lines")[0].alias("header"), F.posexplode("lines").alias("at", "line")).where("at > 0 AND line <> ''")
+    headers = [r["header"] for r in split.select("header").distinct().collect()]
     parts = []
     for header in sorted(headers):
         schema = ", ".join(f"`{c}` string" for c in header.split(","))
-        body = split.where(F.col("header") == header).select(F.explode("rows").alias("line")).where("line <> ''")
+        body = split.where(F.col("header") == header)
         parts.append(body.select(F.from_csv("line", schema).alias("r")).select("r.*"))
     if not parts:
         raise FileNotFoundError(f"no summaries below {root}")

@@ -205,7 +205,7 @@ LOG = """concat('[server] round 1 | thr=0.5 | val_auprc=', n_chars % 7, '.25 | v
 
 
 def mined(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(LOG.replace("\n", "\\n")).alias("content"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(LOG).alias("content"))
     return rounded(artifacts.mine_log(docs))
 
 
