@@ -138,9 +138,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
               keys: Sequence[str] = ()) -> DataFrame:
     """Kept ROC points: the first and last score group and every group where the slope turns."""
     curve = score_curve(df, label, score, keys, lead=True).where(_two_classes())
-    first, last = F.col("n") == F.col("n_at"), F.col("n") == F.col("n_all")
-    turns = (F.col("next_tp_at") != F.col("tp_at")) | (F.col("next_fp_at") != F.col("fp_at"))
-    return curve.where(first | last | turns).select(
+    return curve.where(_kept_point()).select(
         *keys, F.col("score").alias("threshold"), (F.col("fp") / F.col("n_neg")).alias("fpr"),
         (F.col("tp") / F.col("n_pos")).alias("tpr"), F.col("n").alias("n_flagged"),
     )
@@ -186,7 +184,7 @@ def prevalence(df: DataFrame, label: str = "label", keys: Sequence[str] = ()) ->
 
 def calibration(df: DataFrame, label: str = "label", score: str = "score",
                 keys: Sequence[str] = (), is_probability: str | bool = True,
-                max_steps: int = 60, tol: float = 1e-10) -> DataFrame:
+                max_steps: int = 60, tol: float = 1e-9, steps_per_job: int = 2) -> DataFrame:
     """M6-M9: Brier score, calibration-in-the-large and calibration slope per group.
 
     Rows collapse to distinct logits first. Each step is one aggregate over that table for all
@@ -218,7 +216,7 @@ def calibration(df: DataFrame, label: str = "label", score: str = "score",
     def sigmoid(z: Column) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
-    for _ in range(max_steps):
+    for at in range(1, max_steps + 1):
         mu = sigmoid(F.col("_a") + F.col("_b") * x)
         nu = sigmoid(F.col("_c") + x)
         params = ["_ybar", "_n", "_a", "_b", "_c", "_lo", "_hi"]
@@ -245,11 +243,14 @@ def calibration(df: DataFrame, label: str = "label", score: str = "score",
             lo.alias("_lo"), hi.alias("_hi"), newton.alias("_newton"),
             F.greatest(F.abs(da), F.abs(db)).alias("_d"),
         )
-        inside = (F.col("_newton") > F.col("_lo")) & (F.col("_newton") < F.col("_hi"))
+        inside = (F.col("_newton") >= F.col("_lo")) & (F.col("_newton") <= F.col("_hi"))
         nxt = F.when(inside, F.col("_newton")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
-        state = cut_lineage(stepped.select(
+        state = stepped.select(
             *keys, "_ybar", "_n", "_a", "_b", nxt.alias("_c"), "_lo", "_hi",
-            F.greatest("_d", F.abs(nxt - F.col("_old"))).alias("_move")))
+            F.greatest("_d", F.abs(nxt - F.col("_old"))).alias("_move"))
+        if at % steps_per_job and at < max_steps:
+            continue
+        state = cut_lineage(state)
         if (state.agg(F.max("_move")).first()[0] or 0.0) < tol:
             break
     fitted = state.select(*keys, F.col("_c").alias("_int"), F.col("_b").alias("_sl"))
@@ -266,23 +267,57 @@ def calibration_for_test(df: DataFrame, label: str = "label", score: str = "scor
     return fields.select(*keys, *[F.col(c).alias(f"test_{c}") for c in ("brier", "cal_intercept", "cal_slope")])
 
 
+def _kept_point() -> Column:
+    """First and last score group of a curve and every group where the ROC slope turns."""
+    first, last = F.col("n") == F.col("n_at"), F.col("n") == F.col("n_all")
+    turns = (F.col("next_tp_at") != F.col("tp_at")) | (F.col("next_fp_at") != F.col("fp_at"))
+    return first | last | turns
+
+
+def _curve_metrics(curve: DataFrame, keys: Sequence[str], budget: float) -> DataFrame:
+    """Every metric of a group in one aggregate over its curve; ``threshold`` is a curve column."""
+    both = _two_classes()
+    fpr = F.col("fp") / F.col("n_neg")
+    point = F.when(both & F.coalesce(_kept_point(), F.lit(True)) & (fpr <= F.lit(budget)), F.struct(
+        F.col("n"), (F.col("tp") / F.col("n_pos")).alias("tpr"), F.col("score").alias("cut"), fpr.alias("fpr")))
+    flagged = F.col("score") >= F.col("threshold")
+    step = F.when(both, (F.col("tp_at") / F.col("n_pos")) * (F.col("tp") / F.col("n"))).otherwise(F.lit(0.0))
+    sums = curve.groupBy(*keys).agg(
+        F.max("threshold").alias("threshold"), F.max("n_all").alias("n_rows"), F.max("n_pos").alias("n_pos"),
+        F.bool_or(both).alias("_both"),
+        F.coalesce(F.sum(F.when(flagged, F.col("tp_at"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(flagged, F.col("fp_at"))), F.lit(0)).alias("fp"),
+        F.sum(step).alias("auprc"), F.max(point).alias("_p"))
+    both = F.col("_both")
+    return sums.select(
+        *keys, "threshold", "n_rows",
+        _ratio(F.lit(2.0) * F.col("tp"), F.col("n_pos") + F.col("tp") + F.col("fp")).alias("f1"),
+        _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        _ratio(F.col("tp"), F.col("n_pos")).alias("recall"), "auprc",
+        F.coalesce(F.col("_p.tpr"), F.lit(0.0)).alias("recall_at_fpr"),
+        F.when(both, F.coalesce(F.col("_p.cut"), F.lit(float("inf")))).alias("threshold_at_fpr"),
+        F.when(both, F.coalesce(F.col("_p.fpr"), F.lit(0.0))).alias("actual_fpr"))
+
+
 def full_metrics(df: DataFrame, threshold: DataFrame, label: str = "label", score: str = "score",
                  keys: Sequence[str] = (), on: Sequence[str] | None = None,
                  budget: float = FPR_BUDGET) -> DataFrame:
-    """Average precision, threshold metrics and the operating point, one row per group."""
-    at = metrics_at_threshold(df, threshold, label, score, keys, on)
-    ap = average_precision(df, label, score, keys)
-    point = recall_at_fpr(df, label, score, keys, budget)
-    return null_safe_join(null_safe_join(at, ap, keys), point, keys)
+    """Average precision, threshold metrics and the operating point, one row per group, from one curve."""
+    on = list(keys if on is None else on)
+    curve = score_curve(df, label, score, keys, lead=True)
+    return _curve_metrics(null_safe_join(curve, threshold.select(*on, "threshold"), on, "left"), keys, budget)
 
 
 def tuned_metrics(df: DataFrame, split: str = "split", label: str = "label", score: str = "score",
-                  keys: Sequence[str] = ()) -> DataFrame:
-    """Tune the F1 cut on ``val`` per group, score ``val`` and ``test`` with it unchanged."""
-    val = df.where(F.col(split) == "val")
-    threshold = best_f1_threshold(val, label, score, keys)
+                  keys: Sequence[str] = (), budget: float = FPR_BUDGET) -> DataFrame:
+    """Tune the F1 cut on ``val`` per group, score ``val`` and ``test`` with it unchanged.
+
+    One curve serves both: its ``val`` part gives the cut, which is joined back by group.
+    """
     scored = df.where(F.col(split).isin("val", "test"))
-    return full_metrics(scored, threshold, label, score, [*keys, split], on=keys)
+    curve = score_curve(scored, label, score, [*keys, split], lead=True)
+    threshold = _best_f1(curve.where(F.col(split) == "val"), keys).select(*keys, "threshold")
+    return _curve_metrics(null_safe_join(curve, threshold, keys, "left"), [*keys, split], budget)
 
 
 def task_score(df: DataFrame, task: str, label: str = "label", prediction: str = "prediction",
