@@ -21,7 +21,7 @@ from rareclass.operators import metrics as m
 LOGISTIC_C = 1.0
 HINGE_ALPHA, HINGE_PASSES = 1e-4, 5
 PATIENCE = 10
-MAX_PARAMETERS = 5_000_000  # clients x (features + 1) doubles kept in task memory: 40 MB
+MAX_PARAMETERS = 5_000_000  # doubles per step in one process (parameters, and curvature for Newton): 40 MB
 
 
 # ------------------------------------------------------------------ fitting
@@ -87,8 +87,8 @@ def fit_clients(df: DataFrame, clients: Sequence, d: int, kind: str = "logistic"
     ``hinge``: ``steps`` full passes of subgradient descent on the mean hinge loss plus alpha/2 squared weights.
     A client with one class keeps the weights it came with.
     """
-    if len(clients) * (d + 1) > MAX_PARAMETERS:
-        raise ValueError("clients x features parameters exceed the size kept in tasks")
+    if len(clients) * (d + 1) * (d + 1 if kind == "logistic" else 1) > MAX_PARAMETERS:
+        raise ValueError("the parameters and curvature sums of all clients exceed the size kept in one process")
     rows = _fit_rows(df, client, vec, label)
     names = [str(k) for k in clients]
     w = {k: np.zeros(d + 1) if start is None else np.array(start[k], dtype=float) for k in names}

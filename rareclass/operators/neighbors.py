@@ -166,6 +166,10 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "row_id"
     q = queries.select(*by, F.col(id_col).alias("query_id"), F.col(vec).cast("array<double>").alias("_v"), *keep)
     r = refs.select(*by, F.col(id_col).alias("nn_id"), F.col(vec).cast("array<double>").alias("_v"),
                     *[F.col(c).alias(f"nn_{c}") for c in carry])
+    # of many equal vectors only the lowest ids can be among k neighbours; the limit is applied before the shuffle
+    copies = W.partitionBy(*by, "_h", "_v").orderBy("nn_id")
+    r = r.withColumn("_h", F.xxhash64("_v")).withColumn("_n", F.row_number().over(copies)).where(
+        F.col("_n") <= (k + 1 if exclude_self else k)).drop("_h", "_n")
     n_refs = r.count()
     width = min(MAX_PIVOTS, n_refs // block_rows)
     if width < 4:

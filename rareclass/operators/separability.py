@@ -288,7 +288,7 @@ def overlap_coefficient(df: DataFrame, value: str = "z", label: str = "label", b
 
 def segment_statistics(points: DataFrame, ends: DataFrame, id_col: str = "row_id", vec: str = "features") -> DataFrame:
     """How many minority segments the synthetic rows use and how far they are from them."""
-    hits = nearest_segments(points, ends, id_col, vec)
+    hits = cut_lineage(nearest_segments(points, ends, id_col, vec))  # read three times below
     per = hits.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n"))
     used = per.agg(F.count(F.lit(1)).alias("n_segments_populated"), F.avg("n").alias("per_segment_mean"),
                    F.max("n").alias("per_segment_max"))
