@@ -30,6 +30,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
+def bucket_key(keys: Sequence[str]) -> Column:
+    """Group and bucket as one struct: NULL keys compare equal inside it, and the join with the bucket
+    offsets and the window inside a bucket share a single shuffle."""
+    return F.struct(*keys, "_b")
+
+
 # ---------------------------------------------------------------- hash order
 
 
@@ -44,18 +50,19 @@ def hash_rank(
     width = shuffle_width(df)
     digits = 2 if width <= 64 else 3 if width <= 1024 else 4
     hashed = df.withColumn("_h", hash_text(seed, id_col)).withColumn("_b", F.substring("_h", 1, digits))
+    hashed = hashed.withColumn("_k", bucket_key(keys))
     counts = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     order = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_b",
+        bucket_key(keys).alias("_k"),
         F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_offset"),
         F.sum("_n").over(W.partitionBy(*keys)).alias(total),
     )
-    inside = W.partitionBy(*keys, "_b").orderBy("_h", id_col)
+    inside = W.partitionBy("_k").orderBy("_h", id_col)
     return (
-        null_safe_join(hashed, offsets, [*keys, "_b"])
+        hashed.join(offsets, "_k")
         .withColumn(out, F.row_number().over(inside) + F.col("_offset"))
-        .drop("_h", "_b", "_offset")
+        .drop("_k", "_h", "_b", "_offset")
     )
 
 
@@ -108,7 +115,7 @@ def running_totals(
     tops = {**maxes, **prior_maxes}
     if cuts is None:
         cuts = range_cuts(df, order)
-    cut = df.withColumn("_b", bucket_of(order, cuts))
+    cut = df.withColumn("_b", bucket_of(order, cuts)).withColumn("_k", bucket_key(keys))
     by = F.col(order).desc() if descending else F.col(order).asc()
     first = F.struct(*[F.col(c) for c in lead]) if lead else None
     totals = [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
@@ -123,14 +130,14 @@ def running_totals(
     whole = W.partitionBy(*keys)
     before = whole.orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *keys, "_b",
+        bucket_key(keys).alias("_k"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_s_{n}").over(whole).alias(f"tot_{n}") for n in sums],
         *[F.max(f"_x_{n}").over(before).alias(f"_m_{n}") for n in tops],
         *([F.lead("_first").over(whole.orderBy(bucket_order)).alias("_following")] if lead else []),
     )
-    joined = null_safe_join(cut, offsets, [*keys, "_b"])
-    inside = W.partitionBy(*keys, "_b").orderBy(by)
+    joined = cut.join(offsets, "_k")
+    inside = W.partitionBy("_k").orderBy(by)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = inside.rowsBetween(W.unboundedPreceding, -1)
     out = joined.select(
