@@ -8,6 +8,7 @@ from rareclass.operators import features as f
 from rareclass.operators import separability as g
 from rareclass.operators.neighbors import knn_join, nearest_segments
 from rareclass.operators.splits import client_counts
+from rareclass.plans.difficulty import difficulty_summary
 from suite.common import rounded, table
 from suite.partitions import ASSIGNED, CLIENTS, assigned
 
@@ -110,6 +111,7 @@ QUERIES = {
     "g10_lda_projection": discriminant,
     "g11_lda_overlap": lda_overlap,
     "g11_price_overlap": price_overlap,
+    "g12_difficulty_summary": lambda s, d: rounded(difficulty_summary(vectors(s, d), "embeddings"), 6),
     "g13_lift_over_prevalence": lift,
     "g17_worst_client": lambda s, d: g.worst_client(client_counts(assigned(s, d), CLIENTS)),
 }
