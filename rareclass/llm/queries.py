@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rareclass.llm import lm, mixing, packing, tokenfile, vectors
+from rareclass.llm import hnsw, lm, mixing, packing, tokenfile, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op7_mixture, op9_packing)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op7_mixture, op9_packing, op10_nearest)}
 ORACLES: dict[str, str] = {}
