@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rareclass.llm import hnsw, lm, mixing, packing, tokenfile, vectors
+from rareclass.llm import hnsw, langid, lm, mixing, packing, tokenfile, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_corpus(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mixture(table(spark, sf_dir, "documents")))
 
@@ -40,5 +44,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op7_mixture, op9_packing, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op5_languages, op7_mixture, op9_packing, op10_nearest)}
 ORACLES: dict[str, str] = {}
