@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rareclass.llm.lm import held_out
-from rareclass.llm.shared import map_array, save_array, scratch
+from rareclass.llm.shared import bounded_batches, map_array, save_array, scratch
 from rareclass.llm.words import slices
 
 #: Unicode ranges of scripts (public block bounds); a letter outside all of them has script 0.
@@ -91,6 +91,7 @@ def letters(texts: list[str]) -> Letters:
 def train(docs: DataFrame) -> Languages:
     """Letter features per language over all rows of ``docs`` with a text and a ``lang``; log shares go to the shared folder."""
     folder = scratch(docs.sparkSession, "languages")
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

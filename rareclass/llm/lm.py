@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rareclass.llm.shared import map_array, save_array, scratch
+from rareclass.llm.shared import bounded_batches, map_array, save_array, scratch
 from rareclass.llm.words import hash_words, mix64, pack, pack_sorted, slices, summed, unpack, unpack_sorted
 
 #: ``bytes.lower`` as a table: A-Z only.
@@ -207,6 +207,7 @@ def train(docs: DataFrame, shard_bytes: int = 16 << 20) -> Model:
     """Count the model on all of ``docs`` (text; null: empty) and write its arrays to the shared folder."""
     spark = docs.sparkSession
     folder = scratch(spark, "lm")
+    bounded_batches(spark)
     source = docs.select(F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(8, -(-size // shard_bytes))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rareclass.llm.shared import stored
-from rareclass.llm.tokens import encoded
+from rareclass.llm.shared import bounded_batches, stored
+from rareclass.llm.tokens import encoded, id_type
 
 ENCODED = "part int, doc_id long, local_start long, n_tokens int, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -21,9 +21,12 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def token_table(docs: DataFrame, path: str, end_id: int = 1, name: str = "tokens") -> DataFrame:
     """Pass 1: ids of every text, with each row's place among the rows of its task; written to the shared folder.
 
-    ``docs`` needs ``doc_id`` and ``text``; a null text counts as empty and still gets ``end_id``. Ids are stored as
-    little-endian unsigned 32-bit integers.
+    ``docs`` needs ``doc_id`` and ``text``; a null text counts as empty and still gets ``end_id``. Ids are stored in
+    the type that :func:`id_type` gives.
     """
+    bounded_batches(docs.sparkSession)
+    kind = id_type(path, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, at = TaskContext.get().partitionId(), 0
@@ -35,7 +38,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 1, name: str = "tokens
                 at += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(rows), part, dtype=np.int32)), doc.slice(a, b - a), pa.array(starts),
-                    pa.array(sizes.astype(np.int32)), pa.array([r.astype("<u4").tobytes() for r in rows])],
+                    pa.array(sizes.astype(np.int32)), pa.array([r.astype(kind).tobytes() for r in rows])],
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -62,6 +65,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
     """
     tokens = token_table(docs, path, end_id, "pack-tokens")
     offsets, total = part_offsets(tokens)
+    kind = id_type(path, end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +74,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
                                                ("part", "doc_id", "local_start", "n_tokens", "ids"))
             for part, doc, start, size, data in zip(parts, docs_, local, sizes, ids, strict=True):
                 begin = offsets[part] + start
-                view = memoryview(data)
+                view = memoryview(np.frombuffer(data, kind).astype("<u4").tobytes())
                 done = 0
                 while done < size:
                     sequence, offset = divmod(begin + done, window)

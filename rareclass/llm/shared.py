@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from rareclass.session import checkpoint_folder
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of this session hold about ``size`` bytes at most, so that long texts do not fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

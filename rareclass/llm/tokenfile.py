@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rareclass.llm.packing import token_table
 from rareclass.llm.shared import scratch
+from rareclass.llm.tokens import id_type
 
 MAX_BITS = 16
 MAGIC = b"HTB1"
@@ -135,13 +136,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     ``doc_id`` with a range shuffle (null first; equal doc_ids in any order, equal rows are kept), blocks are whole documents.
     """
     tokens = token_table(docs, path, end_id, "file-tokens")
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, id_type(path, end_id)
+    item = np.dtype(kind).itemsize
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for data in batch.column("ids"):
-                found = np.bincount(np.frombuffer(data.as_buffer(), "<u4"))
+                found = np.bincount(np.frombuffer(data.as_buffer(), kind))
                 if len(found) > len(seen):
                     seen, found = found, seen
                 seen[:len(found)] += found
@@ -161,8 +163,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
         size = block = at = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(d for _, d in rows), "<u4")
-            sizes = np.array([len(d) // 4 for _, d in rows])
+            ids = np.frombuffer(b"".join(d for _, d in rows), kind)
+            sizes = np.array([len(d) // item for _, d in rows])
             keys = [k for k, _ in rows]
             row = (part, block, at, len(rows), len(ids), keys[0], keys[-1],
                    pa.array(keys, pa.int64()).cast(pa.string()).to_pylist(), encode_block(ids, sizes, code, interval))
@@ -174,7 +176,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
         for batch in batches:
             for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 rows.append((key, data))
-                size += len(data) // 4
+                size += len(data) // item
                 if size >= block_ids:
                     yield flush()
                     rows, size, block, at = [], 0, block + 1, at + size

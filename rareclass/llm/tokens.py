@@ -17,7 +17,8 @@ from rareclass.llm.words import hash_words, slices
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
 _LETTER = r"[a-zß-öø-ž]"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|[0-9]|(?:(?!{_LETTER})[^0-9])+")
-_KEEP = 2_000_000
+_KEEP = 1_500_000
+_KEEP_PIECES = 200_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -36,7 +37,8 @@ class WordTokenizer:
 
     White space always ends a piece there and is dropped, so a text's ids are those of its words in order. Words are
     looked up by a 64-bit hash in a sorted array that the worker keeps; unknown ones are encoded by the library once.
-    The dictionary is emptied when it has outgrown ``_KEEP`` words; that costs time, never results.
+    The dictionaries are emptied when they have outgrown ``_KEEP`` words and ``_KEEP_PIECES`` pieces; that costs time, never
+    results.
     """
 
     def __init__(self, path: str):
@@ -70,8 +72,10 @@ class WordTokenizer:
         return known[0] if len(known) == 1 else b"".join(known)
 
     def _learn(self, words: list[str], keys: np.ndarray) -> None:
-        if len(self.keys) > _KEEP or len(self.pieces) > _KEEP:
+        if len(self.keys) > _KEEP:
             self.clear()
+        if len(self.pieces) > _KEEP_PIECES:
+            self.pieces.clear()
         found = list(map(self.word, words))
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         flat = np.frombuffer(b"".join(found), dtype="<u4")
@@ -95,8 +99,7 @@ class WordTokenizer:
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != keys[inside]
         if new.any():
-            cleared = len(self.keys) > _KEEP or len(self.pieces) > _KEEP
-            learn = np.ones(len(keys), dtype=bool) if cleared else new
+            learn = np.ones(len(keys), dtype=bool) if len(self.keys) > _KEEP else new
             spans = zip(words.starts[sample[learn]].tolist(), words.ends[sample[learn]].tolist(), strict=True)
             self._learn([words.blob[a:b].decode() for a, b in spans], keys[learn])
             at = np.searchsorted(self.keys, keys)
@@ -117,11 +120,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The narrowest little-endian type that holds every id."""
+    return "<u2" if max(tokenizer(path).full.get_vocab_size() - 1, end_id) <= 0xFFFF else "<u4"
+
+
 def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Row ranges of a batch with the ids of each row's ``text`` (binary; null: empty), ``end_id`` appended."""
     coder = tokenizer(path)
     texts = [t or b"" for t in batch.column("text").to_pylist()]
-    for a, b in slices([len(t) for t in texts]):
+    for a, b in slices([len(t) for t in texts], 1 << 21):
         ids, sizes = coder.encode(texts[a:b])
         cuts = np.cumsum(sizes)
         ids = np.insert(ids, cuts, end_id)
