@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rareclass.llm import hnsw, langid, lm, mixing, packing, tokenfile, vectors
+from rareclass.llm import hnsw, langid, lm, mixing, packing, tokenfile, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mixture(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -44,5 +48,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op5_languages, op7_mixture, op9_packing, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op5_languages, op7_mixture, op8_toxicity, op9_packing, op10_nearest)}
 ORACLES: dict[str, str] = {}
