@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rareclass.llm import hnsw, langid, lm, mixing, packing, tokenfile, toxicity, vectors
+from rareclass.llm import hnsw, jaccard, langid, lm, mixing, packing, tokenfile, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_corpus(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mixture(table(spark, sf_dir, "documents")))
 
@@ -48,5 +52,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op5_languages, op7_mixture, op8_toxicity, op9_packing, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op5_languages, op6_near_texts, op7_mixture, op8_toxicity, op9_packing, op10_nearest)}
 ORACLES: dict[str, str] = {}
