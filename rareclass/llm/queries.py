@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rareclass.llm import hnsw, jaccard, langid, lm, mixing, packing, tokenfile, toxicity, vectors
+from rareclass.llm import hnsw, jaccard, langid, license, lm, mixing, packing, tokenfile, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_corpus(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_lm_scores, op4_token_files, op5_languages, op6_near_texts, op7_mixture, op8_toxicity, op9_packing, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_licences, op3_lm_scores, op4_token_files, op5_languages, op6_near_texts, op7_mixture, op8_toxicity, op9_packing, op10_nearest)}
 ORACLES: dict[str, str] = {}
