@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rareclass.llm.lm import held_out
-from rareclass.llm.shared import bounded_batches, map_array, save_array, scratch
+from rareclass.llm.shared import annotated, bounded_batches, map_array, save_array, scratch
 from rareclass.llm.words import slices
 
 #: Unicode ranges of scripts (public block bounds); a letter outside all of them has script 0.
@@ -48,7 +49,6 @@ def _table(name: str) -> np.ndarray:
     if not _tables:
         points = range(0x110000)
         _tables["letter"] = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in points), bool, 0x110000)
-        _tables["alpha"] = np.fromiter((chr(c).isalpha() for c in points), bool, 0x110000)
         lower = (chr(c).lower() for c in points)
         _tables["lower"] = np.fromiter((ord(x) if len(x) == 1 else c for c, x in enumerate(lower)), np.uint32, 0x110000)
         script = np.zeros(0x110000, dtype=np.uint8)
@@ -187,46 +187,56 @@ def identify(docs: DataFrame, known: Languages, held: Column, penalty: float = 2
     letter, or nothing learned.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [map_array(known.folder, n.encode().hex() or "empty") for n in known.names]
-        own = np.array(known.own, dtype=bool).reshape(len(known.names), len(NAMES))
-        names = np.array([*known.names, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices([len(t) for t in texts], 1 << 21):
-                found = letters(texts[a:b])
-                rows = b - a
-                width = np.diff(np.append(found.first, len(found.bucket)))
-                some = own.any(axis=0)[found.script] if len(own) else np.zeros(len(width), dtype=bool)
-                best, share = np.full(rows, len(known.names)), np.zeros(rows)
-                spans: list[list[dict]] = [[] for _ in range(rows)]
-                if len(known.names) and len(width):
-                    scores = np.empty((len(width), len(known.names)))
-                    for k, values in enumerate(table):
-                        scores[:, k] = np.add.reduceat(values[found.bucket].astype(np.float64), found.first)
-                        scores[~own[k][found.script] & some, k] = -1e4
-                    scores[~some] = 0.0
-                    label = best_path(scores, np.bincount(found.text, minlength=rows), penalty)
-                    counted = np.bincount(found.text * len(known.names) + label, np.where(some, width, 0),
-                                          rows * len(known.names)).reshape(rows, -1)
-                    real = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts[a:b]])
-                    total = np.bincount(found.text, width, rows)
-                    best = np.where(real, counted.argmax(axis=1), len(known.names))
-                    share = np.where(real, counted.max(axis=1) / np.maximum(total, 1), 0.0)
-                    shown = np.where(some, label, len(known.names))
-                    cut = np.flatnonzero(np.concatenate(([True], (shown[1:] != shown[:-1]) | (found.text[1:] != found.text[:-1]))))
-                    last = np.append(cut[1:], len(shown)) - 1
-                    for row, s, e, lang in zip(found.text[cut].tolist(), found.start[cut].tolist(), found.end[last].tolist(),
-                                               names[shown[cut]], strict=True):
-                        spans[row].append({"start": s, "end": e, "lang": lang})
+            texts = batch.column("text").to_pylist()
+            for a, b in slices([len(t or "") for t in texts], 1 << 21):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, rows), batch.column("held_out").slice(a, rows),
-                    pa.array(names[best], pa.string()), pa.array(share),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))],
-                    names=["doc_id", "held_out", "lang_pred", "score", "spans"])
+                    batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a),
+                    *_judged(texts[a:b], known, penalty)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, OUT)
 
 
+def _judged(texts: list[str | None], known: Languages, penalty: float) -> list[pa.Array]:
+    """Language, its share of the letters and the spans of each text."""
+    table = [map_array(known.folder, n.encode().hex() or "empty") for n in known.names]
+    own = np.array(known.own, dtype=bool).reshape(len(known.names), len(NAMES))
+    names = np.array([*known.names, UNKNOWN], dtype=object)
+    texts = [t or "" for t in texts]
+    found = letters(texts)
+    rows, labels = len(texts), len(known.names)
+    width = np.diff(np.append(found.first, len(found.bucket)))
+    some = own.any(axis=0)[found.script] if labels else np.zeros(len(width), dtype=bool)
+    best, share = np.full(rows, labels), np.zeros(rows)
+    spans: list[list[dict]] = [[] for _ in range(rows)]
+    if labels and len(width):
+        scores = np.empty((len(width), labels))
+        for k, values in enumerate(table):
+            scores[:, k] = np.add.reduceat(values[found.bucket].astype(np.float64), found.first)
+            scores[~own[k][found.script] & some, k] = -1e4
+        scores[~some] = 0.0
+        label = best_path(scores, np.bincount(found.text, minlength=rows), penalty)
+        counted = np.bincount(found.text * labels + label, np.where(some, width, 0), rows * labels).reshape(rows, -1)
+        real = np.array([any(map(str.isalpha, t)) for t in texts])
+        total = np.bincount(found.text, width, rows)
+        best = np.where(real, counted.argmax(axis=1), labels)
+        share = np.where(real, counted.max(axis=1) / np.maximum(total, 1), 0.0)
+        shown = np.where(some, label, labels)
+        cut = np.flatnonzero(np.concatenate(([True], (shown[1:] != shown[:-1]) | (found.text[1:] != found.text[:-1]))))
+        last = np.append(cut[1:], len(shown)) - 1
+        for row, s, e, lang in zip(found.text[cut].tolist(), found.start[cut].tolist(), found.end[last].tolist(),
+                                   names[shown[cut]], strict=True):
+            spans[row].append({"start": s, "end": e, "lang": lang})
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    return [pa.array(names[best], pa.string()), pa.array(share), pa.array(spans, kind)]
+
+
+def with_language(docs: DataFrame, known: Languages, penalty: float = 20.0) -> DataFrame:
+    """All columns of ``docs`` with ``_lang`` and ``_share`` as :func:`identify` gives them."""
+    return annotated(docs, [T.StructField("_lang", T.StringType()), T.StructField("_share", T.DoubleType())],
+                     lambda texts: _judged(texts, known, penalty)[:2])
+
+
 def identify_corpus(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Learn from the rows that are not held out, label all. ``lang`` is only learned from, never an input of a prediction."""
     held = held_out(F.col("doc_id"), modulus, remainder)

@@ -18,6 +18,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """Text that sorts like the source by code point, null last."""
+    return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+
+
 def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Sum of ``value`` over earlier rows of the same keys (``out``).
 
@@ -74,14 +79,14 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: in
     over or short of the whole number of blocks are dropped or added at the end, so each source gives its
     target rounded down to a word.
 
-    ``placed``: the columns doc_id, source, size, source_size, target, epochs (whole passes), place (words before the row),
+    ``placed``: the columns doc_id, source, text_key (a hash of the text), size, source_size, target, epochs (whole passes), place (words before the row),
     rest (words of the last pass). ``pieces``: slot, epoch, doc_id, source, place, start, length (words of the row).
     A null source is a source of its own and sorts last; rows without words are placed but give no pieces. Equal rows
     are told apart by their place. Same input, same mix.
     """
     spark = docs.sparkSession
     base = stored(docs.select(
-        "doc_id", "source", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("source_key"),
+        "doc_id", "source", source_key(F.col("source")).alias("source_key"), F.xxhash64("text").alias("text_key"),
         n_words(F.col("text")).alias("size")), "mix-sizes")
     rows = base.count()
     sizes = base.groupBy("source_key").agg(F.sum("size").alias("source_size"))
@@ -143,10 +148,36 @@ def slot_schedule(spark, per_source: DataFrame, words: int, target: float, sourc
                         F.pmod(F.col("rank"), F.col("blocks")).alias("block"))
 
 
-def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and the words that the pieces take from it."""
+def with_taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``placed`` with the words that the pieces take from each row (``taken``)."""
     sums = pieces.groupBy("source_key", "place", "size").agg(F.sum("length").alias("taken"))
     with_words = placed.filter("size > 0").join(sums, ["source_key", "place", "size"], "left")
-    none = placed.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
-    return with_words.unionByName(none).select("doc_id", "size", "source_size", "target",
-                                               F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return with_words.unionByName(none).withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and the words that the mix takes from it."""
+    return with_taken(placed, pieces).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: a row whose words are taken k times and a part comes k times whole and
+    once cut to its first words; rows that the mix leaves out are missing. ``n_chars``, where there is one, is that of the text.
+
+    Rows with equal doc_id, source and text share what is taken from them evenly, rounded down.
+    """
+    per_key = with_taken(*mixture(docs, **settings)).groupBy("doc_id", "source_key", "text_key") \
+        .agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0") \
+        .select(F.col("doc_id").alias("_doc_id"), F.col("source_key").alias("_source_key"), F.col("text_key").alias("_text_key"), "_taken", "_size")
+    keyed = docs.withColumn("_source", source_key(F.col("source"))).withColumn("_text", F.xxhash64("text"))
+    met = keyed.join(per_key, keyed["doc_id"].eqNullSafe(per_key["_doc_id"]) & (F.col("_source") == F.col("_source_key"))
+                     & (F.col("_text") == F.col("_text_key")))
+    times = met.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    rest = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.when(rest >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
+    out = times.withColumn("text", cut)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)

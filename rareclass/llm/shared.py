@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from rareclass.session import checkpoint_folder
 
@@ -69,3 +72,15 @@ def map_array(folder: str, name: str) -> np.ndarray:
         return np.load(copy, mmap_mode="r")
     finally:
         os.unlink(copy)
+
+
+def annotated(docs: DataFrame, fields: list[T.StructField], judge: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """All columns of ``docs`` and those that ``judge`` makes from a list of its texts; rows never leave their partition."""
+    bounded_batches(docs.sparkSession)
+    names = [*docs.columns, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *judge(batch.column("text").to_pylist())], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rareclass.llm.lm import held_out
-from rareclass.llm.shared import bounded_batches
+from rareclass.llm.shared import annotated, bounded_batches
 from rareclass.llm.words import SPACE, hash_words, slices
 
 #: Words end at white space and at these signs; others (such as ``*``, ``@``, ``$`` and digits) stay, as they disguise letters.
@@ -315,16 +316,10 @@ def score(docs: DataFrame, model: Toxicity, held: Column) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, values = _matcher(model), np.array(model.odds)
-        weights = np.array(model.weights)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices([len(t or "") for t in texts], 1 << 21):
-                if len(weights):
-                    table = features(hits_of([_clean(t) for t in texts[a:b]], matcher), values, b - a)
-                    p = 1 / (1 + np.exp(-np.clip(table @ weights[:-1] + weights[-1], -700, 700)))
-                else:
-                    p = np.zeros(b - a)
+                p = _scores(texts[a:b], model)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(p),
                     pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -332,6 +327,19 @@ def score(docs: DataFrame, model: Toxicity, held: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, OUT)
 
 
+def _scores(texts: list[str | None], model: Toxicity) -> np.ndarray:
+    if not model.weights:
+        return np.zeros(len(texts))
+    weights = np.array(model.weights)
+    table = features(hits_of([_clean(t) for t in texts], _matcher(model)), np.array(model.odds), len(texts))
+    return 1 / (1 + np.exp(-np.clip(table @ weights[:-1] + weights[-1], -700, 700)))
+
+
+def with_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
+    """All columns of ``docs`` with ``_toxicity``, the score."""
+    return annotated(docs, [T.StructField("_toxicity", T.DoubleType())], lambda texts: [pa.array(_scores(texts, model))])
+
+
 def find_terms(docs: DataFrame, model: Toxicity) -> DataFrame:
     """One row per hit: doc_id, byte range in the lower-cased UTF-8 text, term, edits, quoted, address and report cues around."""
     schema = "doc_id long, start long, end long, term string, edits int, quoted boolean, address int, report int"
