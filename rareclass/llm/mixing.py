@@ -95,7 +95,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: in
                         F.coalesce(F.sum("target"), F.lit(0.0)).alias("target")).first()
 
     hashed = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = running_totals(base.withColumn("_h", hashed).withColumn("_bucket", _bucket(F.col("_h"), rows, 2000)),
+    placed = running_totals(base.withColumn("_h", hashed).withColumn("_bucket", _bucket(F.col("_h"), rows, 256)),
                             ["source_key"], "_bucket", ["_h", "doc_id", "size"], "size", "place").drop("_h", "_bucket")
     per_source = targets.select(
         "source_key", "source_size", "target", "low",
