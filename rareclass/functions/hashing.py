@@ -30,9 +30,13 @@ def hash_uniform(seed: int | str | Column, *parts: str | Column) -> Column:
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    """md5 of a row's values in the given order, NULL kept apart from empty text."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.md5(F.concat_ws("|", *cells))
+    """md5 of a row's values in the given order.
+
+    Every cell is written as its length, a colon and its text, NULL as ``-``: no two rows are written alike.
+    """
+    cells = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+             for c in columns]
+    return F.md5(F.concat(*cells))
 
 
 def _lane(digest: Column, start: int) -> Column:
@@ -52,9 +56,10 @@ def dataset_fingerprint(
     digest = row_digest(columns)
     lanes = [F.sum(_lane(digest, 1 + 8 * i).cast("decimal(38,0)")).alias(f"_lane{i}") for i in range(4)]
     sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *lanes)
+    # the schema comes first with its length, so a column name cannot run into the counts
     text = F.concat_ws(
         "|",
-        F.lit(schema_text),
+        F.lit(f"{len(schema_text)}:{schema_text}"),
         F.col("n_rows").cast("string"),
         *[F.coalesce(F.col(f"_lane{i}"), F.lit(0)).cast("string") for i in range(4)],
     )
@@ -80,7 +85,7 @@ def partition_fingerprint(
             F.array_join(
                 F.transform(
                     F.sort_array(F.collect_list(entry)),
-                    lambda e: F.concat_ws(":", e["c"].cast("string"), e["h"]),
+                    lambda e: F.concat_ws(":", F.length(e["c"].cast("string")).cast("string"), e["c"].cast("string"), e["h"]),
                 ),
                 "|",
             ),

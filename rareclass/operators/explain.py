@@ -250,8 +250,8 @@ def stability(imp: DataFrame, keys: Sequence[str] = (), k: int = TOP_K, client:
                  degenerate_clients(imp, keys, client)):
         base = null_safe_join(base, part, keys)
     bad = F.size("degenerate_clients") > 0
-    reason = F.when(F.col("n_clients") < 2, "fewer than 2 clients").when(
-        bad, F.concat(F.lit("degenerate attributions: clients "),
+    reason = F.when(F.col("n_clients") < 2, "agreement needs two clients").when(
+        bad, F.concat(F.lit("no ranking from clients "),
                       F.array_join(F.transform("degenerate_clients", lambda c: c.cast("string")), ", "))).when(
         F.col("spearman").isNull(), "rank correlation undefined")
     usable = (F.col("n_clients") >= 2) & ~bad

@@ -206,9 +206,9 @@ def local_auprc(df: DataFrame, client: str = "client_id", label: str = "label",
 def best_model(scores: DataFrame, keys: Sequence[str] = (), client: str = "client_id",
                auprc: str = "auprc", skipped: str = "skipped") -> DataFrame:
     """The client with the highest validation score, lowest id on ties; none eligible -> NULL."""
-    pick = F.when(~F.col(skipped), F.struct(F.col(auprc).alias("a"), (-F.col(client)).alias("neg")))
-    best = scores.groupBy(*keys).agg(F.max(pick).alias("_b"), F.count_if(~F.col(skipped)).alias("n_eligible"))
-    return best.select(*keys, (-F.col("_b.neg")).alias(client), F.col("_b.a").alias(auprc), "n_eligible")
+    pick = F.when(~F.col(skipped), F.struct((-F.col(auprc)).alias("a"), F.col(client).alias("c")))
+    best = scores.groupBy(*keys).agg(F.min(pick).alias("_b"), F.count_if(~F.col(skipped)).alias("n_eligible"))
+    return best.select(*keys, F.col("_b.c").alias(client), (-F.col("_b.a")).alias(auprc), "n_eligible")
 
 
 def carry_best(best: DataFrame, runs: Sequence[str] = (), client: str = "client_id", order: str = "round") -> DataFrame:

@@ -353,9 +353,8 @@ def migration_action(headers: DataFrame, names: str = "names") -> DataFrame:
 
 def fingerprint(columns: Sequence[str]) -> Column:
     """sha256 of the configuration, keys in name order, NULL kept apart from blank."""
-    parts = [F.concat(F.lit(f'"{c}":'), F.coalesce(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')), F.lit("null")))
-             for c in sorted(columns)]
-    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+    record = F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)])
+    return F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256)
 
 
 def not_complete(planned: DataFrame, markers: DataFrame) -> DataFrame:

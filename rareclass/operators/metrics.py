@@ -184,12 +184,13 @@ def prevalence(df: DataFrame, label: str = "label", keys: Sequence[str] = ()) ->
 
 def calibration(df: DataFrame, label: str = "label", score: str = "score",
                 keys: Sequence[str] = (), is_probability: str | bool = True,
-                max_steps: int = 60, tol: float = 1e-9, steps_per_job: int = 2) -> DataFrame:
+                max_steps: int = 200, tol: float = 1e-9, steps_per_job: int = 2) -> DataFrame:
     """M6-M9: Brier score, calibration-in-the-large and calibration slope per group.
 
     Rows collapse to distinct logits first. Each step is one aggregate over that table for all
     groups: Newton sums for ``y ~ a + b*logit`` and a bracketed Newton step for the shift of the
-    slope-one model. Margins, one-class groups -> all NULL; equal logits -> only the Brier score.
+    slope-one model. Margins, one-class groups -> all NULL; equal logits, and fits that have not settled
+    after ``max_steps`` (as with separable labels), -> only the Brier score.
     """
     prob = F.lit(is_probability) if isinstance(is_probability, bool) else F.col(is_probability)
     p = F.col(score).cast("double")
@@ -253,7 +254,7 @@ def calibration(df: DataFrame, label: str = "label", score: str = "score",
         state = cut_lineage(state)
         if (state.agg(F.max("_move")).first()[0] or 0.0) < tol:
             break
-    fitted = state.select(*keys, F.col("_c").alias("_int"), F.col("_b").alias("_sl"))
+    fitted = state.where(F.col("_move") < tol).select(*keys, F.col("_c").alias("_int"), F.col("_b").alias("_sl"))
     return null_safe_join(base, fitted, keys, "left").select(
         *keys, F.when(usable, F.col("_brier")).alias("brier"),
         F.col("_int").alias("cal_intercept"), F.col("_sl").alias("cal_slope"),

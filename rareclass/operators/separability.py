@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from rareclass.functions.ranks import exact_quantiles, range_cuts, running_totals
+from rareclass.functions.ranks import exact_quantiles, null_safe_join, range_cuts, running_totals
 from rareclass.operators.neighbors import BLOCK_ROWS, knn_join, nearest_segments, stack
 from rareclass.session import cut_lineage
 
@@ -286,21 +286,23 @@ def overlap_coefficient(df: DataFrame, value: str = "z", label: str = "label", b
 # ------------------------------------------------------------------ synthetic geometry
 
 
-def segment_statistics(points: DataFrame, ends: DataFrame, id_col: str = "row_id", vec: str = "features") -> DataFrame:
-    """How many minority segments the synthetic rows use and how far they are from them."""
-    hits = cut_lineage(nearest_segments(points, ends, id_col, vec))  # read three times below
-    per = hits.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("n"))
-    used = per.agg(F.count(F.lit(1)).alias("n_segments_populated"), F.avg("n").alias("per_segment_mean"),
-                   F.max("n").alias("per_segment_max"))
-    end_points = per.select(F.explode(F.array("a_id", "b_id")).alias("id")).agg(
+def segment_statistics(points: DataFrame, ends: DataFrame, id_col: str = "row_id", vec: str = "features",
+                       by: Sequence[str] = ()) -> DataFrame:
+    """How many minority segments the synthetic rows of each ``by`` group use and how far they are from them."""
+    by = list(by)
+    hits = cut_lineage(nearest_segments(points, ends, id_col, vec, by))  # read three times below
+    per = hits.groupBy(*by, "a_id", "b_id").agg(F.count(F.lit(1)).alias("n"))
+    used = per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_segments_populated"), F.avg("n").alias("per_segment_mean"),
+                                F.max("n").alias("per_segment_max"))
+    end_points = per.select(*by, F.explode(F.array("a_id", "b_id")).alias("id")).groupBy(*by).agg(
         F.count_distinct("id").alias("n_distinct_seed_endpoints"))
     n = F.col("n_min")
-    possible = ends.agg(F.count(F.lit(1)).alias("n_min")).select((n * (n - 1) / 2).cast("bigint").alias("n_pairs_possible"))
-    residual = exact_quantiles(hits, "residual", {"residual_median": 0.5, "residual_p99": 0.99})
-    out = possible.withColumn("_k", F.lit(1))
+    out = ends.groupBy(*by).agg(F.count(F.lit(1)).alias("n_min")).select(
+        *by, (n * (n - 1) / 2).cast("bigint").alias("n_pairs_possible"))
+    residual = exact_quantiles(hits, "residual", {"residual_median": 0.5, "residual_p99": 0.99}, by)
     for part in (used, end_points, residual):
-        out = out.join(part.withColumn("_k", F.lit(1)), "_k", "left")
-    return out.drop("_k")
+        out = null_safe_join(out, part, by, "left")
+    return out
 
 
 def majority_territory(points: DataFrame, real: DataFrame, id_col: str = "row_id", vec: str = "features",

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from rareclass.functions.ranks import hash_rank, null_safe_join
 
-MAX_CLIENTS = 100_000  # a K x classes table of cut points stays a few MB
-
 
 def stratified_split(df: DataFrame, id_col: str = "row_id", label: str = "label", seed: int = 42,
                      out: str = "split") -> DataFrame:
@@ -41,8 +39,6 @@ def partition_iid(df: DataFrame, clients: int = 5, id_col: str = "row_id", seed:
 
 def dirichlet_shares(classes: Sequence, alpha: float, clients: int, seed: int) -> dict:
     """Cumulative client shares per class, one draw of Dir(alpha) each; clients x classes numbers."""
-    if clients > MAX_CLIENTS:
-        raise ValueError(f"at most {MAX_CLIENTS} clients, got {clients}")
     rng = np.random.default_rng(seed)
     return {c: [float(v) for v in np.cumsum(rng.dirichlet(np.full(clients, alpha)))][:-1]
             for c in sorted(classes)}
@@ -146,11 +142,12 @@ def keep_positives(df: DataFrame, n_negatives: int | None, id_col: str = "row_id
     return _top_by_hash(df, id_col, seed, [label], (F.col(label) == 1) | (F.col("_r") <= n_negatives))
 
 
-def balanced_subsample(df: DataFrame, cap: int = 3000, id_col: str = "row_id",
+def balanced_subsample(df: DataFrame, cap: int | None, id_col: str = "row_id",
                        label: str = "label", seed: int = 42) -> DataFrame:
-    """At most ``cap`` positives and as many negatives."""
+    """At most ``cap`` positives (None: all) and as many negatives."""
     counted = df.select(F.count_if(F.col(label) == 1).alias("n")).scalar()
-    return _top_by_hash(df, id_col, seed, [label], F.col("_r") <= F.least(counted, F.lit(cap)))
+    most = counted if cap is None else F.least(counted, F.lit(cap))
+    return _top_by_hash(df, id_col, seed, [label], F.col("_r") <= most)
 
 
 def prevalence_sample(df: DataFrame, n: int = 500, id_col: str = "row_id", label: str = "label",

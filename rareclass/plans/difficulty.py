@@ -9,12 +9,12 @@ from rareclass.operators import separability as g
 from rareclass.operators.features import top_features
 from rareclass.operators.splits import balanced_subsample
 
-BALANCED_CAP, MATCHED_WIDTH = 3000, 13
+MATCHED_WIDTH = 13
 
 
-def difficulty_summary(df: DataFrame, dataset: str, cap: int = BALANCED_CAP, width: int = MATCHED_WIDTH) -> DataFrame:
-    """Typology and overlap on all rows, N1-N3 and F1 on a balanced sample, repeated with the ``width`` best
-    features, and the differences. Each measure is one number, gathered into one row."""
+def difficulty_summary(df: DataFrame, dataset: str, cap: int | None = None, width: int = MATCHED_WIDTH) -> DataFrame:
+    """Typology and overlap on all rows, N1-N3 and F1 on the balanced table (all positives, as many
+    negatives; ``cap`` bounds both only when it is given), repeated with the ``width`` best features, and the differences. Each measure is one number, gathered into one row."""
     balanced = balanced_subsample(df, cap)
     univariate = g.univariate_auc_ks(g.long_features(df))
     best = [int(n[1:]) for n in top_features(univariate, width)]

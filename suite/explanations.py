@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rareclass.operators import explain as e
 from rareclass.operators.separability import dot
-from rareclass.operators.splits import client_background, prevalence_sample
+from rareclass.operators.splits import client_background
 from suite.common import md5_rank, md5_uniform, rounded, table
 from suite.prepare import ORDERS, orders
 
@@ -81,22 +81,19 @@ MARGIN = "features[1] * 0.8 + features[2] * -0.5 + features[3] * 0.3"
 
 
 def shapley(spark, sf_dir):
+    """Every order against the background sample of its own segment."""
     df = explained(spark, sf_dir)
-    sample = prevalence_sample(df, 200)
-    clients = df.select(F.collect_set("client_id").alias("c")).scalar()
-    rows = sample.select(F.explode(clients).alias("client_id"), "row_id", "features")
     background = client_background(df, 10).select("client_id", F.lit(1.0).alias("weight"), "features")
-    return e.sampled_shapley(rows, background, lambda d: d.withColumn("margin", dot("features", list(WEIGHTS.values()))), 3)
+    return e.sampled_shapley(df.select("client_id", "row_id", "features"), background,
+                             lambda d: d.withColumn("margin", dot("features", list(WEIGHTS.values()))), 3)
 
 
-SHAPLEY = f"""WITH x AS ({EXPLAINED}), s AS (SELECT * FROM (SELECT *, {md5_rank('row_id', 42, 'label')} AS rk FROM x)
- WHERE rk <= CASE WHEN label = 1 THEN greatest(1, round_even(200 * (SELECT AVG(label::DOUBLE) FROM x), 0))
-   ELSE 200 - greatest(1, round_even(200 * (SELECT AVG(label::DOUBLE) FROM x), 0)) END),
+SHAPLEY = f"""WITH x AS ({EXPLAINED}),
 b AS (SELECT client_id, AVG(features[1]) AS m1, AVG(features[2]) AS m2, AVG(features[3]) AS m3
       FROM (SELECT *, {md5_rank('row_id', 43, 'client_id')} AS rk FROM x) WHERE rk <= 10 GROUP BY client_id)
-SELECT b.client_id, s.row_id, round(m1 * 0.8 - m2 * 0.5 + m3 * 0.3, 6) AS base_value, round({MARGIN}, 6) AS margin,
+SELECT b.client_id, x.row_id, round(m1 * 0.8 - m2 * 0.5 + m3 * 0.3, 6) AS base_value, round({MARGIN}, 6) AS margin,
  round(0.8 * (features[1] - m1), 6) AS price, round(-0.5 * (features[2] - m2), 6) AS days, round(0.3 * (features[3] - m3), 6) AS urgent
-FROM s, b"""
+FROM x JOIN b ON b.client_id = x.client_id"""
 
 
 def shapley_table(spark, sf_dir):
@@ -172,8 +169,8 @@ degen AS (SELECT {keys}, coalesce(list(client_id ORDER BY client_id) FILTER (hi
 
 STABLE = """SELECT cell, n_clients, n_features, CASE WHEN ok THEN round(spearman, 9) END AS spearman, CASE WHEN ok THEN round(jaccard, 9) END AS jaccard,
  CASE WHEN ok THEN round(kuncheva, 9) END AS kuncheva, degenerate_clients,
- CASE WHEN n_clients < 2 THEN 'fewer than 2 clients'
-      WHEN len(degenerate_clients) > 0 THEN 'degenerate attributions: clients ' || array_to_string(degenerate_clients, ', ')
+ CASE WHEN n_clients < 2 THEN 'agreement needs two clients'
+      WHEN len(degenerate_clients) > 0 THEN 'no ranking from clients ' || array_to_string(degenerate_clients, ', ')
       WHEN spearman IS NULL THEN 'rank correlation undefined' END AS stability_note
 FROM (SELECT *, n_clients >= 2 AND len(degenerate_clients) = 0 AS ok
       FROM shp LEFT JOIN spear USING (cell) LEFT JOIN over USING (cell) JOIN degen USING (cell))"""

@@ -84,10 +84,10 @@ def carried(spark, sf_dir):
 def margins(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"), (F.col("label") == 0).cast("int").alias("label"), (F.col("vec_id") % 3).alias("grp"),
-        F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 16).alias("margins"))
+        F.transform("embedding", lambda v: v.cast("double")).alias("margins"))
 
 
-PREFIX = "SELECT vec_id % 3 AS grp, k AS prefix, CAST(label = 0 AS INT) AS label, list_sum(embedding[1:k]::DOUBLE[]) AS score FROM embeddings, range(1, 17) t(k)"
+PREFIX = "SELECT vec_id % 3 AS grp, k AS prefix, CAST(label = 0 AS INT) AS label, list_sum(embedding[1:k]::DOUBLE[]) AS score FROM embeddings, range(1, 65) t(k)"
 
 
 def kept(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rareclass.operators import ledger as l
 from suite.common import rounded, table
@@ -113,6 +114,13 @@ def first_rows(spark, sf_dir):
     return l.ledger_order(runs(spark, sf_dir)).select("dataset", "model", "scheme", "alpha", "oversampling", "random_seed").limit(20)
 
 
+def ledger_places(spark, sf_dir):
+    """The place of every run in the ordered ledger of its dataset."""
+    keyed = l.order_position(runs(spark, sf_dir))
+    place = F.row_number().over(W.partitionBy("dataset").orderBy("position"))
+    return keyed.select("dataset", "run_name", "model", "scheme", "alpha", "oversampling", "random_seed", place.alias("place"))
+
+
 def stamped(spark, sf_dir):
     base = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("dataset")).agg(
         (F.count_if(F.col("c_acctbal") < 0) / F.count(F.lit(1))).alias("baseline")).where(F.col("dataset") != "MACHINERY")
@@ -244,6 +252,7 @@ QUERIES = {
     "l5_collect_tables": collected,
     "l6_order_position": positions,
     "l6_ledger_head": first_rows,
+    "l6_ledger_order": ledger_places,
     "l7_stamp_baseline": stamped,
     "l8_report_rows": lambda s, d: l.report_rows(runs(s, d), METRICS, {"test_brier": 2}),
     "l9_verify_hashes": lambda s, d: verified(s, d).select("run_name", "data_status", "partition_status"),
@@ -283,6 +292,8 @@ ORACLES = {
  random_seed::DOUBLE AS k_seed FROM ({RUNS})""",
     "l6_ledger_head": f"""SELECT dataset, model, scheme, alpha, oversampling, random_seed FROM ({RUNS})
  ORDER BY dataset, model, scheme, coalesce(try_cast(nullif(alpha, '') AS DOUBLE), 1e9), oversampling, random_seed::DOUBLE LIMIT 20""",
+    "l6_ledger_order": f"""SELECT dataset, run_name, model, scheme, alpha, oversampling, random_seed, ROW_NUMBER() OVER (PARTITION BY dataset
+ ORDER BY model, scheme, coalesce(try_cast(nullif(alpha, '') AS DOUBLE), 1e9), oversampling, random_seed::DOUBLE) AS place FROM ({RUNS})""",
     "l7_stamp_baseline": f"""SELECT r.dataset, run_name, round(coalesce(try_cast(nullif(baseline_auprc, '') AS DOUBLE), baseline), 6) AS baseline_auprc
  FROM ({RUNS}) r LEFT JOIN (SELECT c_mktsegment AS dataset, COUNT(*) FILTER (c_acctbal < 0)::DOUBLE / COUNT(*) AS baseline FROM customer
  WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1) b USING (dataset)""",

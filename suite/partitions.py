@@ -55,8 +55,7 @@ def attached(spark, sf_dir):
 
 def centroids(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("days", F.col("days").cast("double"))
-    pool = p.client_background(df, 1000, client=None)
-    return p.background_centroids(pool, ["o_totalprice", "days"], 10)
+    return p.background_centroids(df, ["o_totalprice", "days"], 10)
 
 
 def top_sql(keys: str, seed, keep: str, source: str = ROWS) -> str:
@@ -117,7 +116,7 @@ FROM (SELECT row_id, label, least((rk - 1) // greatest(n // 7, 1), 6)::INT AS cl
     "d13_uniform_sample": top_sql("", 42, "rk <= 700"),
     "d14_client_background": top_sql("client_id", 43, "rk <= 100", ASSIGNED),
     "h2_partition_fingerprint": f"""SELECT SUM(n)::BIGINT AS n_rows,
-  sha256(string_agg(client_id || ':' || h, '|' ORDER BY client_id)) AS partition_hash
-FROM (SELECT client_id, COUNT(*) AS n, sha256(concat('row_id bigint|', COUNT(*), '|', {LANES})) AS h
-      FROM (SELECT client_id, md5(row_id::VARCHAR) AS md FROM ({ASSIGNED})) GROUP BY client_id)""",
+  sha256(string_agg(len(client_id::VARCHAR) || ':' || client_id || ':' || h, '|' ORDER BY client_id)) AS partition_hash
+FROM (SELECT client_id, COUNT(*) AS n, sha256(concat('13:row_id bigint|', COUNT(*), '|', {LANES})) AS h
+      FROM (SELECT client_id, md5(len(row_id::VARCHAR) || ':' || row_id) AS md FROM ({ASSIGNED})) GROUP BY client_id)""",
 }

@@ -98,11 +98,28 @@ def axes(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
+    """Orders, with separators, quotes, NULL and the text \\N in some cells."""
     return dataset_fingerprint(table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+        "o_orderkey", "o_custkey", F.expr(ODD_STATUS).alias("o_orderstatus"), "o_orderpriority"),
         ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+def confusable(spark, sf_dir):
+    """Pairs of one-row tables that differ only in where separators, NULL or quotes stand: their hashes must differ."""
+    orders_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    cells = {"cut_early": (F.concat("s", F.lit("|x")), F.lit("y")), "cut_late": (F.col("s"), F.lit("x|y")),
+             "null": (F.col("s"), F.lit(None).cast("string")), "text_null": (F.col("s"), F.lit("\\N")), "empty": (F.col("s"), F.lit("")),
+             "quoted": (F.concat(F.lit('"'), "s", F.lit('"')), F.lit(""))}
+    all_ = [orders_.select("k", F.lit(n).alias("kind"), a.alias("a"), b.alias("b")) for n, (a, b) in cells.items()]
+    stacked = all_[0]
+    for part in all_[1:]:
+        stacked = stacked.unionByName(part)
+    return dataset_fingerprint(stacked, ["a", "b"], ["k", "kind"]).groupBy("k").agg(F.count_distinct("data_hash").alias("n_hashes"))
+
+
+ODD_STATUS = """CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN o_orderstatus || '|' || o_orderpriority
+ WHEN 3 THEN '"' || o_orderstatus || ':' ELSE o_orderstatus END"""
+
 QUERIES = {
     "p1_drop_columns": lambda s, d: f.drop_columns(table(s, d, "customer"), ["c_name", "c_nationkey"]),
     "p2_balance_errors": balance,
@@ -122,8 +139,11 @@ QUERIES = {
     "t3_standard_scale_named": scaled(["o_totalprice"]),
     "t4_pca_projection": axes,
     "h1_dataset_fingerprint": fingerprint,
+    "h1_confusable_rows": confusable,
 }
 
+CELLS = ", ".join(f"coalesce(len({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+                  for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 LANES = ", '|', ".join(
     f"SUM(('0x' || substr(md, {1 + 8 * i}, 8))::BIGINT)::HUGEINT::VARCHAR" for i in range(4))
 
@@ -151,7 +171,8 @@ SELECT row_id, split, CASE WHEN days <> -1 THEN days::DOUBLE ELSE
     "t2_standard_scale": scaled_sql(["o_totalprice", "days", "one"]),
     "t3_standard_scale_named": scaled_sql(["o_totalprice"]),
     "h1_dataset_fingerprint": f"""SELECT n_rows, sha256(concat(
-'o_orderkey bigint,o_custkey bigint,o_orderstatus string,o_orderpriority string|', n_rows, '|', lanes)) AS data_hash
-FROM (SELECT COUNT(*) AS n_rows, concat({LANES}) AS lanes FROM (SELECT md5(concat_ws('|',
-  o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)) AS md FROM orders))""",
+'78:o_orderkey bigint,o_custkey bigint,o_orderstatus string,o_orderpriority string|', n_rows, '|', lanes)) AS data_hash
+FROM (SELECT COUNT(*) AS n_rows, concat({LANES}) AS lanes FROM (SELECT md5(concat({CELLS})) AS md
+  FROM (SELECT * REPLACE ({ODD_STATUS} AS o_orderstatus) FROM orders)))""",
+    "h1_confusable_rows": "SELECT o_orderkey AS k, 6 AS n_hashes FROM orders GROUP BY 1",
 }

@@ -81,14 +81,14 @@ def applications(spark, sf_dir):
 
 def libsvm(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    terms = F.transform(F.slice("features", 1, 8), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), F.round(x, 4).cast("string")))
+    terms = F.transform(F.col("features"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), F.round(x, 4).cast("string")))
     lines = v.select(F.concat_ws(" ", F.col("label").cast("string"), F.array_join(terms, " ")).alias("value"), "row_id")
     a, b = folder(spark, "a"), folder(spark, "b")
     lines.where("row_id % 2 = 0").select("value").write.text(a)
     lines.where("row_id % 2 = 1").select("value").write.text(b)
     df = tables.read_libsvm(spark, [a, b])
     return df.groupBy(F.col("label").cast("int").alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(vector_to_array("features")[0]), 4).alias("sum_first"))
+        F.count(F.lit(1)).alias("n"), *[F.round(F.sum(vector_to_array("features")[i]), 4).alias(f"sum_{i + 1}") for i in range(64)])
 
 
 def split_store(spark, sf_dir):
@@ -265,7 +265,8 @@ ORACLES = {
     "s3_applications_csv": """SELECT CAST(o_orderkey % 91 = 0 AS INT) AS label, COUNT(*) AS n, 58 AS n_columns,
  SUM(CASE WHEN o_orderkey % 5 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS n_missing, SUM(CASE WHEN o_orderkey % 3 = 1 THEN 1.0::DOUBLE ELSE 0 END) AS n_teleapp
  FROM orders GROUP BY 1""",
-    "s5_libsvm": f"SELECT label, COUNT(*) AS n, round(SUM(round(features[1], 4)), 4) AS sum_first FROM ({VECTORS}) GROUP BY label",
+    "s5_libsvm": f"""SELECT label, COUNT(*) AS n, {', '.join(f'round(SUM(round(features[{i}], 4)), 4) AS sum_{i}' for i in range(1, 65))}
+ FROM ({VECTORS}) GROUP BY label""",
     "s6_split_store": f"SELECT split, label, COUNT(*) AS n, TRUE AS has_flags, TRUE AS same_hash FROM ({split_sql(ORDERS)}) GROUP BY ALL",
     "s7_assignment_store": f"SELECT row_id, client_id FROM ({ASSIGNED})",
     "s8_stored_sizes": f"""SELECT client_id, COUNT(*) AS n_samples, SUM(label)::BIGINT AS n_pos, round(SUM(label)::DOUBLE / COUNT(*), 9) AS pos_ratio

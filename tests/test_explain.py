@@ -24,7 +24,7 @@ def test_degenerate_clients_make_it_undefined(spark):
     r = e.stability(table(spark, [[1, 2, 3, 4, 5, 6], [0] * 6, [3] * 6, [2, 1, 4, 3, 6, 5], [1e-15] * 6])).first()
     assert r["degenerate_clients"] == [1, 2, 4] and r["spearman"] is None and r["jaccard"] is None and r["kuncheva"] is None
     single = e.stability(table(spark, [[1, 2, 3]])).first()
-    assert single["spearman"] is None and single["stability_note"] == "fewer than 2 clients"
+    assert single["spearman"] is None and single["stability_note"] == "agreement needs two clients"
     assert e.near_zero_share(table(spark, [[0, 0, 0, 1, 2]])).first()["near_zero"] == pytest.approx(0.6)
 
 
