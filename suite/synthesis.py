@@ -250,13 +250,13 @@ FROM ({BY_CUSTOMER}) GROUP BY ALL) GROUP BY c_nationkey""",
     "o8_positive_ratio": f"""WITH plan AS ({plan_sql()}) SELECT client_id,
 round((n_pos + n_wanted)::DOUBLE / (n_samples + n_wanted), 9) AS pos_ratio FROM plan""",
     "g14_nearest_segments": SEGMENT + "SELECT client_id, point_id, a_id, b_id, round(residual, 6) AS residual FROM hit",
-    "g15_segment_statistics": SEGMENT + """, s AS (SELECT client_id, a_id, b_id, COUNT(*) AS n FROM hit GROUP BY ALL),
-p AS (SELECT client_id, (COUNT(*) * (COUNT(*) - 1) // 2)::BIGINT AS n_pairs_possible FROM m WHERE label = 1 GROUP BY 1),
-u AS (SELECT client_id, COUNT(*) AS n_segments_populated, round(AVG(n), 6) AS per_segment_mean, MAX(n) AS per_segment_max FROM s GROUP BY 1),
-e AS (SELECT client_id, COUNT(DISTINCT id) AS n_distinct_seed_endpoints
-      FROM (SELECT client_id, a_id AS id FROM s UNION ALL SELECT client_id, b_id FROM s) GROUP BY 1),
-r AS (SELECT client_id, round(median(residual), 6) AS residual_median, round(quantile_cont(residual, 0.99), 6) AS residual_p99 FROM hit GROUP BY 1)
-SELECT * FROM p LEFT JOIN u USING (client_id) LEFT JOIN e USING (client_id) LEFT JOIN r USING (client_id)""",
+    "g15_segment_statistics": SEGMENT + """, g15s AS (SELECT client_id, a_id, b_id, COUNT(*) AS n FROM hit GROUP BY ALL),
+g15p AS (SELECT client_id, (COUNT(*) * (COUNT(*) - 1) // 2)::BIGINT AS n_pairs_possible FROM m WHERE label = 1 GROUP BY 1),
+g15u AS (SELECT client_id, COUNT(*) AS n_segments_populated, round(AVG(n), 6) AS per_segment_mean, MAX(n) AS per_segment_max FROM g15s GROUP BY 1),
+g15e AS (SELECT client_id, COUNT(DISTINCT id) AS n_distinct_seed_endpoints
+      FROM (SELECT client_id, a_id AS id FROM g15s UNION ALL SELECT client_id, b_id FROM g15s) GROUP BY 1),
+g15r AS (SELECT client_id, round(median(residual), 6) AS residual_median, round(quantile_cont(residual, 0.99), 6) AS residual_p99 FROM hit GROUP BY 1)
+SELECT * FROM g15p LEFT JOIN g15u USING (client_id) LEFT JOIN g15e USING (client_id) LEFT JOIN g15r USING (client_id)""",
     "g16_majority_territory": SMOTE + f""", near1 AS (SELECT made.row_id, m.label,
   ROW_NUMBER() OVER (PARTITION BY made.row_id ORDER BY {DISTANCE.format(a='made.features', b='m.features')}, m.row_id::VARCHAR) AS rk1
   FROM made JOIN m ON TRUE QUALIFY rk1 = 1)
