@@ -40,8 +40,8 @@ LONG = " UNION ALL ".join(
 def best_columns(spark, sf_dir):
     """P10: keep the two columns with the best single-feature AUC."""
     names = f.top_features(g.univariate_auc_ks(long_lines(spark, sf_dir)), 2)
-    return lines(spark, sf_dir).select("label", *[F.col(n) for n in names]).groupBy("label").agg(
-        *[F.round(F.sum(n), 2).alias("sum_" + n) for n in sorted(names)])
+    kept = f.unpivot(lines(spark, sf_dir).select("label", *names), names, ["label"])
+    return kept.groupBy("label", "feature").agg(F.round(F.sum("value"), 2).alias("total"))
 
 
 def discriminant(spark, sf_dir):
@@ -140,6 +140,8 @@ SELECT round((SELECT SUM(distance) FROM near) / (SELECT SUM(d) FROM other), 9) A
     "g6_fisher_inverse_lines": FISHER.format(LONG),
     "g7_g8_univariate_auc_ks": AUC_KS + "SELECT feature, round(auc, 9) AS auc, round(ks, 9) AS ks FROM uni",
     "g7_g8_univariate_vectors": AUC_KS.replace(LONG, LONG_VECTORS) + "SELECT feature, round(auc, 9) AS auc, round(ks, 9) AS ks FROM uni",
+    "p10_best_columns": AUC_KS + """SELECT label, feature, round(SUM(value), 2) AS total FROM l
+WHERE feature IN (SELECT feature FROM uni ORDER BY auc DESC, feature LIMIT 2) GROUP BY ALL""",
     "g9_top_features": AUC_KS + """SELECT feature, round(auc, 9) AS auc, round(ks, 9) AS ks,
 ROW_NUMBER() OVER (ORDER BY auc DESC, feature)::INT AS rank FROM uni ORDER BY rank LIMIT 3""",
     "g9_top_features_text": AUC_KS.replace(LONG, LONG_VECTORS) + """SELECT string_agg(feature || '(' || printf('%.3f', auc) || ')', ', ' ORDER BY auc DESC, feature)
