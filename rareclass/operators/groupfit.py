@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -218,11 +219,22 @@ def carry_best(best: DataFrame, runs: Sequence[str] = (), client: str = "client_
 
 
 def prefix_scores(df: DataFrame, margins: str = "margins", keep: Sequence[str] = ("row_id", "label")) -> DataFrame:
-    """Score of every boosting prefix: the running sum of per-tree margins."""
-    running = F.aggregate(
-        margins, F.lit([]).cast("array<double>"),
-        lambda acc, v: F.concat(acc, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), acc), -1), F.lit(0.0)) + v)))
-    return df.select(*keep, F.posexplode(running).alias("_p", "score")).select(
+    """Score of every boosting prefix: the running sum of per-tree margins, one vectorised sum per batch of rows."""
+    source = df.select(*keep, F.col(margins).cast("array<double>").alias("_running"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_running")
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            first, out = np.cumsum(size) - size, np.empty(len(flat))
+            for k in np.unique(size[size > 0]):  # rows of one length together; each is summed on its own, so equal rows stay equal
+                cells = first[size == k][:, None] + np.arange(k)
+                out[cells] = np.cumsum(flat[cells], axis=1)
+            running = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], running], names=batch.schema.names)
+
+    return source.mapInArrow(run, source.schema).select(*keep, F.posexplode("_running").alias("_p", "score")).select(
         *keep, (F.col("_p") + 1).alias("prefix"), "score")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rareclass.operators import metrics as m
+from rareclass.operators.groupfit import select_prefix, truncate_margins
 
 # fixed values: the published study's tree settings
 TREE_ROUNDS, TREE_RATE, TREE_DEPTH = 100, 0.1, 6
@@ -78,18 +79,47 @@ def fit_pooled(df: DataFrame, model: str, vec: str = "features", label: str = "l
     raise ValueError(f"unknown pooled model {model!r}")
 
 
+def best_prefix(models: dict, val: DataFrame, vec: str = "features", label: str = "label", client: str = "client_id") -> DataFrame:
+    """R13 for fitted boosters: (client, prefix, auprc), the number of trees with the best average precision on ``val``."""
+    parts = None
+    for c, model in models.items():
+        own = tree_margins({c: model}, [c], val.select(vec, label), len(model.trees), vec).select(
+            F.lit(c).alias(client), label, "margins")
+        parts = own if parts is None else parts.unionByName(own)
+    return select_prefix(parts, "margins", label, [client])
+
+
+def prefix_probability(model: GBTClassificationModel, df: DataFrame, prefix: int, vec: str = "features", out: str = "score") -> DataFrame:
+    """The probability that the first ``prefix`` trees give (twice their margin is the log odds)."""
+    margins = truncate_margins(tree_margins({0: model}, [0], df, len(model.trees), vec), prefix, out="_margin")
+    return margins.withColumn(out, 1.0 / (1.0 + F.exp(-2.0 * F.col("_margin")))).drop("_margin", "margins")
+
+
 def pooled_baseline(df: DataFrame, model: str, split: str = "split", vec: str = "features", label: str = "label",
                     **settings) -> tuple[object, DataFrame]:
-    """Fit on train, tune the threshold on val, report val and test."""
+    """Fit on train, tune the threshold on val, report val and test with calibration.
+
+    Boosted trees are cut to their best prefix on val first (``n_trees``); a hinge margin is no probability, so its
+    calibration is NULL.
+    """
     fitted = fit_pooled(df.where(F.col(split) == "train"), model, vec, label, **settings)
-    scored = margin_scores(fitted, df.where(F.col(split).isin("val", "test")), vec)
-    return fitted, m.tuned_metrics(scored, split, label)
+    rest = df.where(F.col(split).isin("val", "test"))
+    if model == "gbm":
+        prefix = best_prefix({0: fitted}, rest.where(F.col(split) == "val"), vec, label).first()["prefix"]
+        scored = prefix_probability(fitted, rest, prefix, vec)
+    else:
+        prefix, scored = None, margin_scores(fitted, rest, vec)
+    calibrated = m.calibration(scored, label, "score", [split], is_probability=model != "svm")
+    return fitted, m.tuned_metrics(scored, split, label).join(calibrated, split).withColumn("n_trees", F.lit(prefix).cast("int"))
 
 
 def standalone_clients(df: DataFrame, test: DataFrame, clients: Sequence, client: str = "client_id",
                        vec: str = "features", label: str = "label", **settings) -> DataFrame:
     """How each client's own model does on the common test rows."""
     models = fit_boosters(df, clients, client, vec, label, **settings)
+    if not models:
+        empty = test.select(F.lit(None).cast(df.schema[client].dataType).alias(client), label, F.lit(0.0).alias("prediction")).limit(0)
+        return m.task_score(empty, "BINARY", label, "prediction", [client])
     parts = None
     for c, model in models.items():
         scored = model.transform(with_vector(test.select(vec, label), vec)).select(

@@ -44,15 +44,15 @@ FROM ({IMPORTANCES})"""
 
 
 def explained(spark, sf_dir):
-    """Orders as (row_id, client_id, label, features)."""
+    """Orders as (row_id, client_id, label, features); the price is blurred, as the label is a cut on it."""
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("client_id"))
     return orders(spark, sf_dir).join(cust, "o_custkey").select(
         "row_id", "client_id", "label", F.array(
-            F.col("o_totalprice") / 100000.0, F.col("days") / 1000.0,
+            (F.col("o_totalprice") + F.col("row_id") * 7919 % 400 * 1000) / 100000.0, F.col("days") / 1000.0,
             (F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("features"))
 
 
-EXPLAINED = f"""SELECT row_id, c_mktsegment AS client_id, label, [o_totalprice / 100000.0, days / 1000.0,
+EXPLAINED = f"""SELECT row_id, c_mktsegment AS client_id, label, [(o_totalprice + row_id * 7919 % 400 * 1000) / 100000.0, days / 1000.0,
 CAST(o_orderpriority = '1-URGENT' AS DOUBLE)] AS features FROM ({ORDERS}) JOIN customer ON c_custkey = o_custkey"""
 
 NAMES = list(WEIGHTS)

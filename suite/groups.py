@@ -153,15 +153,9 @@ def boosted(spark, sf_dir):
 
 
 def best_booster(spark, sf_dir):
-    """R11 + R12: every client's booster scored on val; the best one wins."""
+    """Every client's booster at its best prefix on val; the best one wins."""
     models, df = boosted(spark, sf_dir)
-    val = df.where("split = 'val'").select("row_id", "label", "features")
-    parts = [t.margin_scores(m, val).select(F.lit(i).alias("client_id"), "label", "score")
-             for i, m in enumerate(models[c] for c in SEGMENTS if c in models)]
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
-    ap = r.m.average_precision(scores, keys=["client_id"]).withColumn("skipped", F.lit(False))
+    ap = t.best_prefix(models, df.where("split = 'val'")).withColumn("skipped", F.lit(False))
     return rounded(r.best_model(ap))
 
 
