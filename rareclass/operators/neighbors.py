@@ -2,14 +2,15 @@
 
 Both sides are cut into bounded blocks and joined block against block; a task sees at most
 ``block_rows`` rows of each side and returns at most ``k`` candidates per query, which a ranked
-window merges. Beyond a few blocks the reference rows are first grouped around pivots, and distance
-bounds decide which groups a query has to visit, so far groups are skipped without changing the
-result. A group holding most rows is simply split into more blocks.
+window merges. Reference rows are grouped around pivots, one per block of rows or as many as the square
+root of the table, and distance bounds decide which groups a query has to visit, so far groups are skipped without
+changing the result. A group holding most rows is simply split into more blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from rareclass.functions.hashing import hash_text
+from rareclass.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 128
-MAX_STAT_ROWS = 100_000  # (group, pivot) bounds kept in task memory: under 10 MB
+STEP_CELLS = 4_000_000  # distances held at once while rows are compared with pivots
 
 
 def stack(vectors: pd.Series) -> np.ndarray:
@@ -73,68 +74,78 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType, True) for n in names]
 
 
+def _nearest_pivot(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cell, rad = np.empty(len(v), dtype=np.int64), np.empty(len(v))
+    step = max(1, STEP_CELLS // len(pivots))
+    for a in range(0, len(v), step):
+        d = distances(v[a:a + step], pivots)
+        cell[a:a + step] = d.argmin(1)
+        rad[a:a + step] = d.min(1)
+    return cell, rad
+
+
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot and the distance to it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = distances(stack(batch["_v"]), pivots)
-                cell = d.argmin(1)
-                yield batch.assign(_cell=cell.astype("int32"), _rad=d[np.arange(len(d)), cell])
+                cell, rad = _nearest_pivot(stack(batch["_v"]), pivots)
+                yield batch.assign(_cell=cell.astype("int32"), _rad=rad)
 
     schema = T.StructType([*_fields(df, df.columns), T.StructField("_cell", T.IntegerType()),
                            T.StructField("_rad", T.DoubleType())])
     return df.mapInPandas(run, schema)
 
 
-def _pivot_bounds(refs: DataFrame, by: Sequence[str], k: int):
-    """Per (group, pivot): nearest and farthest member and the k smallest distances; None if many."""
+def _pivot_bounds(refs: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """Per (group, pivot): nearest and farthest member and the k smallest distances."""
     group = [*by, "_cell"]
     near = refs.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("_rad"))).where(F.col("_n") <= k)
     small = near.groupBy(*group).agg(F.sort_array(F.collect_list("_rad")).alias("_small"))
-    wide = refs.groupBy(*group).agg(F.min("_rad").alias("_min"), F.max("_rad").alias("_max"))
-    rows = wide.join(small, group).limit(MAX_STAT_ROWS + 1).collect()
-    return None if len(rows) > MAX_STAT_ROWS else rows
-
-
-def _route(queries: DataFrame, by: Sequence[str], pivots: np.ndarray, stats, k: int) -> DataFrame:
-    """One row per (query, pivot group) whose lower distance bound is within the query's upper bound."""
-    groups: dict = {}
-    for s in stats:
-        groups.setdefault(tuple(s[b] for b in by), []).append(
-            (s["_cell"], s["_min"], s["_max"], list(s["_small"]) + [np.inf] * (k - len(s["_small"]))))
-    bounds = {g: (np.array([c for c, *_ in v]), np.array([m for _, m, _, _ in v]),
-                  np.array([m for _, _, m, _ in v]), np.array([x for *_, x in v])) for g, v in groups.items()}
-    between = distances(pivots, pivots)
-    by = list(by)
+    return refs.groupBy(*group).agg(F.min("_rad").alias("_min"), F.max("_rad").alias("_max")).join(small, group)
 
-    def visit(batch: pd.DataFrame, key: tuple) -> pd.DataFrame | None:
-        if key not in bounds:
-            return None
-        cells, low, high, small = bounds[key]
-        d = distances(stack(batch["_v"]), pivots)
-        upper = np.partition((d[:, cells][:, :, None] + small[None]).reshape(len(d), -1), k - 1, axis=1)[:, k - 1]
-        own = d.argmin(1)
-        dc = d[:, cells]
-        gap = between[own][:, cells]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(gap > 0, (dc ** 2 - (d.min(1) ** 2)[:, None]) / (2 * gap), 0.0)
-        lower = np.maximum(np.maximum(dc - high, low - dc), plane)
-        rows, cols = np.nonzero(lower <= (upper * (1 + 1e-7) + 1e-7)[:, None])
-        return batch.iloc[rows].assign(_cell=cells[cols].astype("int32"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            parts = batch.groupby(by, sort=False) if by else [((), batch)]
-            for key, part in parts:
-                out = visit(part, key if isinstance(key, tuple) else (key,))
-                if out is not None:
-                    yield out
+def _route(queries: DataFrame, by: Sequence[str], pivots: np.ndarray, stats: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """One row per (query, pivot group) whose lower distance bound is within the query's upper bound.
 
-    schema = T.StructType([*_fields(queries, queries.columns), T.StructField("_cell", T.IntegerType())])
-    return queries.mapInPandas(run, schema)
+    Queries of a group go in blocks to tasks that hold the group's bounds: a row per pivot, never a row per reference.
+    """
+    by = list(by)
+    one = [] if by else ["_one"]
+    if one:
+        queries, stats = queries.withColumn("_one", F.lit(0)), stats.withColumn("_one", F.lit(0))
+    keys = [*by, *one]
+    chunks = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_chunks"))
+    asked = queries.join(chunks, keys).withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.col("_chunks")).cast("int"))
+    held = stats.join(chunks, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    columns = [c for c in queries.columns if c != "_one"]
+
+    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*columns, "_cell"])
+        cells, low, high = (right[c].to_numpy() for c in ("_cell", "_min", "_max"))
+        small = np.full((len(right), k), np.inf)
+        for i, values in enumerate(right["_small"]):
+            small[i, :len(values)] = values
+        v, parts = stack(left["_v"]), []
+        step = max(1, STEP_CELLS // (max(len(pivots), k * len(cells))))
+        for a in range(0, len(v), step):
+            d = distances(v[a:a + step], pivots)
+            dc = d[:, cells]
+            upper = np.partition((dc[:, :, None] + small[None]).reshape(len(d), -1), k - 1, axis=1)[:, k - 1]
+            own, which = np.unique(d.argmin(1), return_inverse=True)
+            gap = distances(pivots[own], pivots[cells])[which]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(gap > 0, (dc ** 2 - (d.min(1) ** 2)[:, None]) / (2 * gap), 0.0)
+            lower = np.maximum(np.maximum(dc - high, low - dc), plane)
+            rows, cols = np.nonzero(lower <= (upper * (1 + 1e-7) + 1e-7)[:, None])
+            parts.append(left.iloc[rows + a][columns].assign(_cell=cells[cols].astype("int32")))
+        return pd.concat(parts)
+
+    schema = T.StructType([*_fields(queries, columns), T.StructField("_cell", T.IntegerType())])
+    task = [*keys, "_chunk"]
+    held = held.toDF(*held.columns)
+    return asked.groupBy(*task).cogroup(held.groupBy(*task)).applyInPandas(visit, schema)
 
 
 def pair_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str,
@@ -170,20 +181,18 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "row_id"
     copies = W.partitionBy(*by, "_h", "_v").orderBy("nn_id")
     r = r.withColumn("_h", F.xxhash64("_v")).withColumn("_n", F.row_number().over(copies)).where(
         F.col("_n") <= (k + 1 if exclude_self else k)).drop("_h", "_n")
+    r = cut_lineage(r)  # counted, sampled, bounded and joined below
     n_refs = r.count()
-    width = min(MAX_PIVOTS, n_refs // block_rows)
-    if width < 4:
+    # pivots grow with the square root of the table, so a row is compared with few of them and a group holds few blocks
+    width = max(1, min(n_refs // block_rows, isqrt(n_refs)))
+    chosen = r.orderBy(hash_text("pivot", "nn_id"), "nn_id").select("_v").limit(width).collect()
+    if width == 1 or not chosen:
         q, r = q.withColumn("_cell", F.lit(0)), r.withColumn("_cell", F.lit(0))
     else:
-        chosen = r.orderBy(hash_text("pivot", "nn_id"), "nn_id").select("_v").limit(width).collect()
         pivots = np.array([c["_v"] for c in chosen], dtype=np.float64)
-        r = _assign(r, pivots)
+        r = cut_lineage(_assign(r, pivots))
         need = k + 1 if exclude_self else k
-        stats = _pivot_bounds(r.select(*by, "_cell", "_rad"), by, need)
-        if stats is None:  # too many groups to hold: visit every pivot group of the own key
-            q = q.join(r.select(*by, "_cell").distinct(), list(by))
-        else:
-            q = _route(q, by, pivots, stats, need)
+        q = _route(q, by, pivots, _pivot_bounds(r.select(*by, "_cell", "_rad"), by, need), need, block_rows)
         r = r.drop("_rad")
     keys = [*by, "_cell"]
     q, r = pair_blocks(q, r, keys, "query_id", "nn_id", block_rows)
