@@ -102,7 +102,7 @@ def train(docs: DataFrame) -> Languages:
                 by_lang.setdefault(lang, []).append(t)
             for lang, own in by_lang.items():
                 total = seen.setdefault(lang, np.zeros(BUCKETS + len(NAMES), dtype=np.int64))
-                for a, b in slices([len(t) for t in own], 1 << 21):
+                for a, b in slices([len(t) for t in own], 1 << 20):
                     found = letters(own[a:b])
                     total[:BUCKETS] += np.bincount(found.bucket, minlength=BUCKETS)
                     width = np.diff(np.append(found.first, len(found.bucket)))
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, known: Languages, held: Column, penalty: float = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1 << 21):
+            for a, b in slices([len(t or "") for t in texts], 1 << 20):
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a),
                     *_judged(texts[a:b], known, penalty)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])

@@ -17,8 +17,8 @@ from rareclass.llm.words import hash_words, slices
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
 _LETTER = r"[a-zß-öø-ž]"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|[0-9]|(?:(?!{_LETTER})[^0-9])+")
-_KEEP = 1_500_000
-_KEEP_PIECES = 200_000
+_KEEP = 2_000_000
+_KEEP_PIECES = 150_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -129,7 +129,7 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int
     """Row ranges of a batch with the ids of each row's ``text`` (binary; null: empty), ``end_id`` appended."""
     coder = tokenizer(path)
     texts = [t or b"" for t in batch.column("text").to_pylist()]
-    for a, b in slices([len(t) for t in texts], 1 << 21):
+    for a, b in slices([len(t) for t in texts]):
         ids, sizes = coder.encode(texts[a:b])
         cuts = np.cumsum(sizes)
         ids = np.insert(ids, cuts, end_id)

@@ -28,7 +28,7 @@ REPORT = ("said", "says", "say", "quote", "quoted", "called", "calls", "wrote",
 EDGE = "#%&$*=+~^'-_@’"
 WINDOW = 5
 MIN_FUZZY = 5
-_KEEP = 1_500_000
+_KEEP = 1_000_000
 FEATURES = ("plain", "quoted", "misspelled", "strongest", "weight", "density", "address", "report")
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 _QUOTE = ord('"')
@@ -276,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Toxicity:
         values = np.array(odds)
         for batch in batches:
             own = [_clean(t) for t in batch.column("text").to_pylist()]
-            for a, b in slices([len(t) for t in own], 1 << 21):
+            for a, b in slices([len(t) for t in own]):
                 table = features(hits_of(own[a:b], matcher), values, b - a)
                 yield pa.RecordBatch.from_arrays([batch.column("_toxic").slice(a, b - a), pa.array(list(table))], names=["y", "x"])
 
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Toxicity, held: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1 << 21):
+            for a, b in slices([len(t or "") for t in texts]):
                 p = _scores(texts[a:b], model)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(p),
@@ -349,7 +349,7 @@ def find_terms(docs: DataFrame, model: Toxicity) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = batch.column("doc_id").to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1 << 21):
+            for a, b in slices([len(t or "") for t in texts]):
                 h = hits_of([_clean(t) for t in texts[a:b]], matcher)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[a + r] for r in h.row], pa.int64()), pa.array(h.start, pa.int64()), pa.array(h.end, pa.int64()),

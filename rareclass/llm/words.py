@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+
+
+def _give_back() -> None:
+    """Arrays of over 1 MB return to the system when they are freed, so that a worker that is kept does not hold its largest batch."""
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
 
 #: Bytes that end a word: space and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -90,8 +105,8 @@ def hash_words(texts: list[bytes], breaks: np.ndarray = SPACE, fold: np.ndarray
     return Words(blob, np.concatenate(hashes), starts_all, np.concatenate(ends), counts)
 
 
-def slices(sizes: list[int], budget: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of about ``budget`` bytes each; a longer row stands alone."""
+def slices(sizes: list[int], budget: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of about ``budget`` units of size each; a longer row stands alone."""
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > budget:
