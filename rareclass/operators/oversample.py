@@ -82,6 +82,9 @@ def report_summary(rep: DataFrame) -> DataFrame:
                    F.count_if(reason == "disabled").alias("n_disabled"))
 
 
+DRAWS_PER_KEY = 10_000  # draws that meet one copy of a base row
+
+
 def _numbered(df: DataFrame, n: str, keys: Sequence[str]) -> DataFrame:
     """Rows repeated as draws 1..n; chunked so that no task writes one key's draws alone."""
     chunks = df.where(F.col(n) > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
@@ -100,6 +103,11 @@ def _with_neighbours(minority: DataFrame, k: int, client: str, block_rows: int)
     return minority.join(lists, [client, "_id"])
 
 
+def _repeated(bases: DataFrame, width: DataFrame, keys: list[str]) -> DataFrame:
+    """Base rows once per salt of their key, so that many draws of one row are spread over tasks."""
+    return bases.join(width, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_width") - 1))).drop("_width")
+
+
 def _between(gap: Column) -> Column:
     other = F.get(F.col("_near"), F.col("_pick"))["_nv"]
     return F.zip_with(F.col("_v"), other, lambda a, b: a + gap * (b - a))
@@ -131,8 +139,10 @@ def smote(df: DataFrame, strategy: Strategy = TARGET_RATIO, k: int = NEIGHBORS,
     bases = hash_rank(_with_neighbours(minority.drop("_m"), k, client, block_rows), "_id", seed, [client], "_at", "_g")
     draws = _numbered(plan.select(client, "n_pos", "n_wanted"), "n_wanted", [client])
     at = F.floor(hash_uniform(seed, client, "draw", F.lit("base")) * F.col("n_pos")) + 1
-    placed = draws.withColumn("_at", at.cast("bigint")).join(
-        bases.withColumn("_at", F.col("_at").cast("bigint")), [client, "_at"])
+    spread = F.ceil(F.col("n_wanted") / (F.col("n_pos") * DRAWS_PER_KEY))
+    width = plan.where("n_wanted > 0 AND n_pos > 0").select(client, spread.alias("_width"))
+    placed = draws.withColumn("_at", at.cast("bigint")).join(width, client).withColumn("_salt", F.pmod(F.col("draw"), F.col("_width"))).drop("_width").join(
+        _repeated(bases.withColumn("_at", F.col("_at").cast("bigint")), width, [client]), [client, "_at", "_salt"])
     pick = F.floor(hash_uniform(seed, client, "draw", F.lit("near")) * k).cast("int")
     made = placed.withColumn("_pick", pick).select(
         client, F.concat_ws("-", F.lit("s"), client, "draw").alias(id_col),
@@ -168,7 +178,10 @@ def adasyn(df: DataFrame, strategy: Strategy = TARGET_RATIO, k: int = NEIGHBORS,
         "skip_reason", F.when(F.col("skip_reason").isNull() & (made_n == 0), "no_candidates").otherwise(F.col("skip_reason")))
     minority = _minority(df, plan, client, id_col, vec, label).drop("_m")
     bases = _with_neighbours(minority, k, client, block_rows)
-    draws = _numbered(quotas, "n_quota", [client, "_id"]).join(bases, [client, "_id"])
+    width = quotas.where("n_quota > 0").select(client, "_id", F.ceil(F.col("n_quota") / DRAWS_PER_KEY).alias("_width"))
+    numbered = _numbered(quotas, "n_quota", [client, "_id"]).join(width, [client, "_id"]).withColumn(
+        "_salt", F.pmod(F.col("draw"), F.col("_width"))).drop("_width")
+    draws = numbered.join(_repeated(bases, width, [client, "_id"]), [client, "_id", "_salt"])
     pick = F.floor(hash_uniform(seed, client, "_id", "draw", F.lit("near")) * k).cast("int")
     made = draws.withColumn("_pick", pick).select(
         client, F.concat_ws("-", F.lit("s"), client, "_id", "draw").alias(id_col),

@@ -28,7 +28,11 @@ def minority_types(df: DataFrame, refs: DataFrame | None = None, id_col: str = "
     queries = df.where(F.col(label) == 1)
     near = knn_join(queries, df if refs is None else refs, TYPOLOGY_K, id_col, vec, carry=[label], exclude_self=True)
     n = F.col("n_minority_neighbours")
-    return near.groupBy("query_id").agg(F.sum(f"nn_{label}").cast("bigint").alias("n_minority_neighbours")).withColumn(
+    found = near.groupBy("query_id").agg(F.sum(f"nn_{label}").cast("bigint").alias("n_minority_neighbours"))
+    # a row without any neighbour (a lone row, or one whose vector holds NaN or NULL) stays, as an outlier
+    every = queries.select(F.col(id_col).alias("query_id")).join(found, "query_id", "left").withColumn(
+        "n_minority_neighbours", F.coalesce("n_minority_neighbours", F.lit(0)).cast("bigint"))
+    return every.withColumn(
         "kind", F.when(n >= 4, "safe").when(n >= 2, "borderline").when(n == 1, "rare").otherwise("outlier"))
 
 

@@ -77,24 +77,19 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def scan_ledger(spark: SparkSession, root: str, skip: str = r"_rounds\.csv$") -> DataFrame:
-    """Every summary CSV below ``root``, whatever its columns, except round files.
+def scan_ledger(spark: SparkSession, root: str, skip: str = r"_rounds\.csv(/|$)") -> DataFrame:
+    """Every summary CSV below ``root``, whatever its columns, except files in or named as round files.
 
-    Files are told apart by their header: each header found is one schema, and the groups are united by
-    column name. A summary file is a few lines, so it is read as one text.
+    Files are grouped by their first line; the CSV source reads each group, so quoted separators and line breaks are kept. The
+    groups are united by column name. The driver sees one header and path per file, as any listing does.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(
-        root, wholetext=True).where(~F.input_file_name().rlike(skip))
-    lined = files.select(F.split("value", "\\r?\\n").alias("lines"))
-    split = lined.select(F.col("lines")[0].alias("header"), F.posexplode("lines").alias("at", "line")).where("at > 0 AND line <> ''")
-    headers = [r["header"] for r in split.select("header").distinct().collect()]
-    parts = []
-    for header in sorted(headers):
-        schema = ", ".join(f"`{c}` string" for c in header.split(","))
-        body = split.where(F.col("header") == header)
-        parts.append(body.select(F.from_csv("line", schema).alias("r")).select("r.*"))
-    if not parts:
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1).alias("header")).where(
+        ~F.col("path").rlike(skip) & (F.col("header") != ""))
+    groups = files.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    if not groups:
         raise FileNotFoundError(f"no summaries below {root}")
+    parts = [spark.read.option("header", True).option("multiLine", True).csv(list(g["paths"])) for g in groups]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

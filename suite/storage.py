@@ -139,10 +139,12 @@ def pooled_summaries(spark, sf_dir):
 
 
 def scanned(spark, sf_dir):
-    """Two layouts of summaries and a round file in one folder tree, read back as one ledger."""
+    """Two layouts of summaries, one with quoted separators and line breaks, and round files in one folder tree, read as one ledger."""
     root = folder(spark, "logs")
     r = runs(spark, sf_dir)
-    results.append_csv(r.where("scheme = 'iid'").select("dataset", "run_name", "test_auprc"), f"{root}/a/x")
+    note = F.concat("run_name", F.lit(',\n"x"'))
+    results.append_csv(r.where("scheme = 'iid'").select("dataset", "run_name", "test_auprc", note.alias("note")), f"{root}/a/x")
+    results.append_csv(r.select("dataset", "run_name", F.lit("1").alias("round")), f"{root}/a/x_rounds.csv")
     results.append_csv(r.where("scheme <> 'iid'").select("run_name", "dataset", "data_hash"), f"{root}/b/y")
     return results.scan_ledger(spark, root)
 
@@ -282,6 +284,7 @@ FROM ({RUNS}) r LEFT JOIN b ON b.dataset = r.dataset AND b.run_name = r.run_name
  || ',rounds_completed' AS undefined FROM ({RUNS}) WHERE scheme = 'centralized'""",
     "s11_fit_rounds": f"SELECT run_id, round FROM ({HISTORY}) WHERE round >= 1",
     "s12_scan_ledger": f"""SELECT dataset, run_name, CASE WHEN scheme = 'iid' THEN test_auprc END AS test_auprc,
+ CASE WHEN scheme = 'iid' THEN run_name || ',' || chr(10) || '"x"' END AS note,
  CASE WHEN scheme <> 'iid' THEN nullif(data_hash, '') END AS data_hash FROM ({RUNS})""",
     "s13_append": f"SELECT dataset, run_name, status FROM ({RUNS})",
     "s14_run_parts": NAMES,
