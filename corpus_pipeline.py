@@ -16,13 +16,13 @@ from rareclass.llm import jaccard, langid, mixing, packing, toxicity
 from rareclass.llm.shared import stored
 
 #: A document stays when one language holds at least this share of its letters.
-LEAST_LANGUAGE = 0.5
+LEAST_LANGUAGE = 0.25
 #: A document goes when its toxicity reaches this score.
 TOXIC = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: drops documents without a language: null or no letter, or no language with half of the letters.
+    """Operator 5: drops documents without a language: null or no letter, or no language with a quarter of the letters.
 
     Languages are learned from all rows with a text and a ``lang``; where there is none, every text with a letter stays.
     """
