@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,7 +23,7 @@ from rareclass.operators import metrics as m
 LOGISTIC_C = 1.0
 HINGE_ALPHA, HINGE_PASSES = 1e-4, 5
 PATIENCE = 10
-MAX_PARAMETERS = 5_000_000  # doubles per step in one process (parameters, and curvature for Newton): 40 MB
+GROUP_PARAMETERS = 5_000_000  # doubles per step in one process (parameters, and curvature for Newton): 40 MB
 
 
 # ------------------------------------------------------------------ fitting
@@ -80,24 +81,45 @@ def _fit_rows(df: DataFrame, client: str, vec: str, label: str) -> DataFrame:
 
 
 def fit_clients(df: DataFrame, clients: Sequence, d: int, kind: str = "logistic", start: dict | None = None,
-                steps: int = 25, tol: float = 1e-8, c: float = LOGISTIC_C, alpha: float = HINGE_ALPHA,
+                steps: int | None = None, tol: float = 1e-8, c: float = LOGISTIC_C, alpha: float = HINGE_ALPHA,
                 client: str = "client_id", vec: str = "features", label: str = "label") -> tuple[dict, dict]:
     """All clients' models at once, warm-started; returns (weights, rows used) per client.
 
-    ``logistic``: Newton steps on half the squared weights plus C times the summed log loss, intercept free.
-    ``hinge``: ``steps`` full passes of subgradient descent on the mean hinge loss plus alpha/2 squared weights.
-    A client with one class keeps the weights it came with.
+    ``logistic``: Newton steps on half the squared weights plus C times the summed log loss, intercept free, until no weight
+    moves by ``tol``; ``steps`` stops earlier on purpose (a step that is halved counts as well).
+    ``hinge``: ``steps`` (5 unless given) full passes of subgradient descent on the mean hinge loss plus alpha/2 squared weights.
+    A client with one class keeps the weights it came with. More clients than one process should hold the sums of are
+    fitted in groups.
     """
-    if len(clients) * (d + 1) * (d + 1 if kind == "logistic" else 1) > MAX_PARAMETERS:
-        raise ValueError("the parameters and curvature sums of all clients exceed the size kept in one process")
-    rows = _fit_rows(df, client, vec, label)
+    per_client = (d + 1) * (d + 1 if kind == "logistic" else 1)
     names = [str(k) for k in clients]
+    group = max(1, GROUP_PARAMETERS // per_client)
+    rows = _fit_rows(df, client, vec, label).persist(StorageLevel.MEMORY_AND_DISK)
+    weights: dict = {}
+    counts: dict = {}
+    try:
+        for a in range(0, len(names), group):
+            own = names[a:a + group]
+            part = rows if len(names) <= group else rows.join(
+                rows.sparkSession.createDataFrame([(k,) for k in own], "c string"), "c", "left_semi")
+            w, n = _fit_group(part, own, d, kind, start, steps, tol, c, alpha)
+            weights |= w
+            counts |= n
+    finally:
+        rows.unpersist()
+    return weights, counts
+
+
+def _fit_group(rows: DataFrame, names: list[str], d: int, kind: str, start: dict | None, steps: int | None, tol: float,
+               c: float, alpha: float) -> tuple[dict, dict]:
     w = {k: np.zeros(d + 1) if start is None else np.array(start[k], dtype=float) for k in names}
-    prior = {k: (None, np.inf) for k in names}
+    prior = {k: (w[k], np.inf) for k in names}
     pen = np.append(np.ones(d), 0.0)
+    limit = HINGE_PASSES if steps is None and kind == "hinge" else steps
     counts: dict = {}
-    open_ = set(names)
-    for t in range(1, steps + 1):
+    open_, t = set(names), 0
+    while open_ and (limit is None or t < limit):
+        t += 1
         sums = _client_sums(rows, w, d, kind)
         counts = {k: s.n for k, s in sums.items()}
         for k in list(open_):
@@ -112,6 +134,8 @@ def fit_clients(df: DataFrame, clients: Sequence, d: int, kind: str = "logistic"
             loss = 0.5 * float((pen * w[k] ** 2).sum()) + c * s.loss
             if loss > prior[k][1] + 1e-10 * abs(prior[k][1]):  # overshot: halve the step
                 w[k] = 0.5 * (w[k] + prior[k][0])
+                if np.abs(w[k] - prior[k][0]).max() < tol:
+                    open_.discard(k)
                 continue
             grad = pen * w[k] + c * s.grad
             step = np.linalg.lstsq(np.diag(pen) + c * s.hess, grad, rcond=None)[0]
@@ -119,8 +143,6 @@ def fit_clients(df: DataFrame, clients: Sequence, d: int, kind: str = "logistic"
             w[k] = w[k] - step
             if np.abs(step).max() < tol:
                 open_.discard(k)
-        if not open_:
-            break
     return w, counts
 
 

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rareclass.operators.groupfit import HINGE_PASSES, fit_clients, round_evaluation
+from rareclass.operators.groupfit import fit_clients, round_evaluation
 
 ROUNDS = 20
 
@@ -21,14 +21,18 @@ def round_weights(train: DataFrame, clients: Sequence, d: int, kind: str = "logi
 
     Round 0 is the start. In a round every client starts from the combined weights, fits on its own rows, and the
     results are averaged by rows (``sizes`` gives other counts, e.g. those before oversampling). The rows are
-    persisted once; every optimiser step is one aggregate over them.
+    persisted once; every optimiser step is one aggregate over them. The logistic problem of a client has one solution, whatever the
+    start, so without ``steps`` it is solved once, to convergence, and every round has it.
     """
-    steps = steps or (HINGE_PASSES if kind == "hinge" else 8)
     rows = train.select(client, vec, label).persist(StorageLevel.MEMORY_AND_DISK)
     combined = [np.zeros(d + 1)]
     local: list[dict] = []
     try:
-        for _ in range(rounds):
+        for done in range(rounds):
+            if done and kind == "logistic" and steps is None:
+                combined.append(combined[-1])
+                local.append(local[-1])
+                continue
             start = {str(c): combined[-1] for c in clients}
             w, n = fit_clients(rows, clients, d, kind, start, steps, client=client, vec=vec, label=label)
             n = {str(k): float(v) for k, v in sizes.items()} if sizes else n

@@ -135,14 +135,14 @@ def split_clients(spark, sf_dir):
 
 def local_fits(kind):
     def run(spark, sf_dir):
-        w, _ = r.fit_clients(explained(spark, sf_dir), SEGMENTS, 3, kind, steps=12 if kind == "logistic" else 5)
+        w, _ = r.fit_clients(explained(spark, sf_dir), SEGMENTS, 3, kind)
         return rounded(r.weights_table(spark, w), 6)
     return run
 
 
 def grouped(kind):
     def run(spark, sf_dir):
-        return rounded(grouped_run(split_clients(spark, sf_dir), SEGMENTS, 3, kind, rounds=3, steps=4)[0], 6)
+        return rounded(grouped_run(split_clients(spark, sf_dir), SEGMENTS, 3, kind, rounds=20)[0], 6)
     return run
 
 
@@ -167,7 +167,7 @@ def stacked(spark, sf_dir):
     sizes = {x["client_id"]: x["n"] for x in df.where("split = 'train'").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     train = features.where("split = 'train'")
-    combined, _ = round_weights(train, SEGMENTS, width, rounds=1, steps=6, vec="stack", sizes=sizes)
+    combined, _ = round_weights(train, SEGMENTS, width, rounds=1, vec="stack", sizes=sizes)
     return rounded(r.weights_table(spark, {"combined": combined[-1]}), 6)
 
 
