@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rareclass.operators import metrics as m
-from rareclass.operators.groupfit import select_prefix, truncate_margins
+from rareclass.operators.groupfit import fit_clients, select_prefix, truncate_margins
+from rareclass.session import cut_lineage
 
 # fixed values: the published study's tree settings
 TREE_ROUNDS, TREE_RATE, TREE_DEPTH = 100, 0.1, 6
@@ -102,13 +103,22 @@ def pooled_baseline(df: DataFrame, model: str, split: str = "split", vec: str =
     Boosted trees are cut to their best prefix on val first (``n_trees``); a hinge margin is no probability, so its
     calibration is NULL.
     """
-    fitted = fit_pooled(df.where(F.col(split) == "train"), model, vec, label, **settings)
-    rest = df.where(F.col(split).isin("val", "test"))
-    if model == "gbm":
-        prefix = best_prefix({0: fitted}, rest.where(F.col(split) == "val"), vec, label).first()["prefix"]
-        scored = prefix_probability(fitted, rest, prefix, vec)
+    df = cut_lineage(df)  # fitted on, tuned on and scored: the split below it is made once
+    train, rest = df.where(F.col(split) == "train"), df.where(F.col(split).isin("val", "test"))
+    prefix = None
+    if model == "lr":
+        # few Newton steps over summed gradients instead of up to a thousand first-order steps
+        width = len(train.select(vec).first()[0])
+        fitted = fit_clients(train.withColumn("_pool", F.lit("pool")), ["pool"], width, client="_pool", vec=vec, label=label, **settings)[0]["pool"]
+        terms = F.zip_with(F.col(vec).cast("array<double>"), F.lit([float(v) for v in fitted[:-1]]), lambda a, b: a * b)
+        scored = rest.withColumn("score", 1.0 / (1.0 + F.exp(-F.aggregate(terms, F.lit(float(fitted[-1])), lambda a, v: a + v))))
     else:
-        prefix, scored = None, margin_scores(fitted, rest, vec)
+        fitted = fit_pooled(train, model, vec, label, **settings)
+        if model == "gbm":
+            prefix = best_prefix({0: fitted}, rest.where(F.col(split) == "val"), vec, label).first()["prefix"]
+            scored = prefix_probability(fitted, rest, prefix, vec)
+        else:
+            scored = margin_scores(fitted, rest, vec)
     calibrated = m.calibration(scored, label, "score", [split], is_probability=model != "svm")
     return fitted, m.tuned_metrics(scored, split, label).join(calibrated, split).withColumn("n_trees", F.lit(prefix).cast("int"))
 

@@ -10,6 +10,7 @@ from rareclass.operators import groupfit as r
 from rareclass.operators import trees as t
 from rareclass.operators.splits import stratified_split
 from rareclass.plans.grouped import grouped_run, round_weights
+from rareclass.session import cut_lineage
 from suite.common import SCORED, curve_sql, md5_uniform, rounded, scored, split_sql, table
 from suite.explanations import explained
 from suite.scores import AT_CUT, COUNTS, f1_cte, point_cte
@@ -130,7 +131,7 @@ def stop_cut(spark, sf_dir):
 
 
 def split_clients(spark, sf_dir):
-    return stratified_split(explained(spark, sf_dir), "row_id", "label", 42)
+    return cut_lineage(stratified_split(explained(spark, sf_dir), "row_id", "label", 42))
 
 
 def local_fits(kind):
