@@ -150,7 +150,9 @@ def scan(docs: DataFrame, known: Licences, least: float = 0.5, alike: float = 0.
     numbered = F.transform(F.col("lines"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("text")))
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines")).select(
         "row", "doc_id", F.size("lines").alias("n_paragraphs"), F.filter(numbered, lambda p: has_anchor(p["text"])).alias("found")), "licence-lines")
-    each = rows.select("row", "doc_id", F.inline("found")).withColumn("words", words_of(F.col("text")))
+    # candidate lines are few bytes but costly rows, so they are dealt over all tasks instead of by file size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select("row", "doc_id", F.inline("found")).repartition(tasks, "row", "paragraph").withColumn("words", words_of(F.col("text")))
     each = each.withColumn("all_grams", grams_of(F.col("words"))).withColumn("grams", F.filter("all_grams", lambda g: has_anchor(g)))
     vectors = CountVectorizerModel.from_vocabulary(known.vocabulary, inputCol="grams", outputCol="x", minTF=1.0).setBinary(True)
     scored = known.model.transform(vectors.transform(each)).withColumn("p", softmax(vector_to_array("rawPrediction"), known.temperature))
