@@ -30,14 +30,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not known.names:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = langid.with_language(docs, known)
-    return judged.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_share") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return judged.filter((F.col("_llm_lang") != langid.UNKNOWN) & (F.col("_llm_share") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: drops documents scored toxic. The model is learned from all labels that have a document here; without, all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = toxicity.with_toxicity(docs, toxicity.learn(docs.select("doc_id", "text"), labels))
-    return judged.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return judged.filter(F.col("_llm_toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = jaccard.near_texts(docs).filter("doc_id IS NOT NULL AND NOT kept").select("doc_id")
     left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return left.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(*docs.columns) \
+    return left.withColumn("_llm_rank", F.row_number().over(order)).filter("_llm_rank = 1").select(*docs.columns) \
         .unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -232,8 +232,8 @@ def _judged(texts: list[str | None], known: Languages, penalty: float) -> list[p
 
 
 def with_language(docs: DataFrame, known: Languages, penalty: float = 20.0) -> DataFrame:
-    """All columns of ``docs`` with ``_lang`` and ``_share`` as :func:`identify` gives them."""
-    return annotated(docs, [T.StructField("_lang", T.StringType()), T.StructField("_share", T.DoubleType())],
+    """All columns of ``docs`` with ``_llm_lang`` and ``_llm_share`` as :func:`identify` gives them."""
+    return annotated(docs, [T.StructField("_llm_lang", T.StringType()), T.StructField("_llm_share", T.DoubleType())],
                      lambda texts: _judged(texts, known, penalty)[:2])
 
 

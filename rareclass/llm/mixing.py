@@ -168,15 +168,15 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     Rows with equal doc_id, source and text share what is taken from them evenly, rounded down.
     """
     per_key = with_taken(*mixture(docs, **settings)).groupBy("doc_id", "source_key", "text_key") \
-        .agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0") \
-        .select(F.col("doc_id").alias("_doc_id"), F.col("source_key").alias("_source_key"), F.col("text_key").alias("_text_key"), "_taken", "_size")
-    keyed = docs.withColumn("_source", source_key(F.col("source"))).withColumn("_text", F.xxhash64("text"))
-    met = keyed.join(per_key, keyed["doc_id"].eqNullSafe(per_key["_doc_id"]) & (F.col("_source") == F.col("_source_key"))
-                     & (F.col("_text") == F.col("_text_key")))
-    times = met.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    rest = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
+        .agg(F.floor(F.sum("taken") / F.count("*")).alias("_mix_taken"), F.max("size").alias("_mix_size")).filter("_mix_taken > 0") \
+        .select(F.col("doc_id").alias("_mix_doc_id"), F.col("source_key").alias("_mix_source_key"), F.col("text_key").alias("_mix_text_key"), "_mix_taken", "_mix_size")
+    keyed = docs.withColumn("_mix_source", source_key(F.col("source"))).withColumn("_mix_text", F.xxhash64("text"))
+    met = keyed.join(per_key, keyed["doc_id"].eqNullSafe(per_key["_mix_doc_id"]) & (F.col("_mix_source") == F.col("_mix_source_key"))
+                     & (F.col("_mix_text") == F.col("_mix_text_key")))
+    times = met.withColumn("_mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_mix_taken") / F.col("_mix_size")))))
+    rest = F.col("_mix_taken") - (F.col("_mix_pass") - 1) * F.col("_mix_size")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(rest >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
+    cut = F.when(rest >= F.col("_mix_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
     out = times.withColumn("text", cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))

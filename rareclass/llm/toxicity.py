@@ -336,8 +336,8 @@ def _scores(texts: list[str | None], model: Toxicity) -> np.ndarray:
 
 
 def with_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """All columns of ``docs`` with ``_toxicity``, the score."""
-    return annotated(docs, [T.StructField("_toxicity", T.DoubleType())], lambda texts: [pa.array(_scores(texts, model))])
+    """All columns of ``docs`` with ``_llm_toxicity``, the score."""
+    return annotated(docs, [T.StructField("_llm_toxicity", T.DoubleType())], lambda texts: [pa.array(_scores(texts, model))])
 
 
 def find_terms(docs: DataFrame, model: Toxicity) -> DataFrame:
