@@ -144,6 +144,13 @@ def test_odd_rows_and_empty_tables(spark, corpus):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, corpus), "odd")
         assert (docs.count() > 0) == (data is rows)
+    wide = spark.createDataFrame(rows, COLUMNS)
+    for name in ("score", "size", "key", "node", "slot", "_rank", "lang_pred", "taken", "part", "ids"):
+        wide = wide.withColumn(name, F.lit(name))
+    columns = wide.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stored(stage(spark, wide, corpus), "wide")
+        assert wide.columns == columns
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, COLUMNS), corpus).collect()
     assert Counter(r["doc_id"] for r in got) == Counter({None: 2, 7: 1, 9: 1})
 
