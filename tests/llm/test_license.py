@@ -57,3 +57,38 @@ def test_words_and_grams(spark):
     assert row["w"] == ["cc", "by", "nc", "#"]
     assert set(row["g"]) == {"^ cc", "cc by", "by nc", "nc #", "# $", "^ cc by", "cc by nc", "by nc #", "nc # $"}
     assert not any(re.search(a, "thing") for a in ANCHORS)
+
+
+WRAPPED = {
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+    "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": ["gpl"],
+    "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n"
+    "# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.": ["lgpl"],
+    "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as published\n"
+    "// by the Free Software Foundation, either version 3 of the License, or": ["agpl"],
+    " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n"
+    " * are met:": ["bsd"],
+    "To the extent possible under law, Jane Doe has waived\nall copyright and related or neighboring rights\nto this work.": ["cc0"],
+    "This is free and unencumbered software released into the public\ndomain.": ["public-domain"],
+    "Licensed under the Apache License, Version 2.0. Released under the MIT License.": ["apache", "mit"],
+    "Released under the MIT License. Licensed under the Apache License, Version 2.0.": ["apache", "mit"],
+}
+
+
+def test_wrapped_notices_and_two_in_a_line(spark, known):
+    texts = list(WRAPPED)
+    rows = [(i, f"thand er ing the ont.\n\n{t}\n\nEred of thing.") for i, t in enumerate(texts)]
+    # the same in the middle of a long paragraph, at places that fall differently on its pieces
+    rows += [(len(texts) * k + i, "ered of thing " * (13 * k) + "\n" + t + "\n" + "thand er ing " * 40) for k in (1, 2, 3) for i, t in enumerate(texts)]
+    got = {}
+    _, found = scan(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    for r in found.filter("confirmed").collect():
+        got.setdefault(r["doc_id"], []).append(r["family"])
+    assert {i: sorted(f) for i, f in got.items()} == {i: WRAPPED[texts[i % len(texts)]] for i, _ in rows}
+
+
+def test_repeated_notices_are_counted_once_each(spark, known):
+    text = "\n".join(["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License."] * 3)
+    rows, found = scan(spark.createDataFrame([(1, text), (2, "my license plate is gone")], "doc_id long, text string"), known)
+    assert sorted((r["doc_id"], r["family"]) for r in found.collect()) == [(1, "apache")] * 3 + [(2, "unknown")]
+    assert {r["n_paragraphs"] for r in rows.collect()} == {1}
