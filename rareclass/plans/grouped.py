@@ -22,20 +22,23 @@ def round_weights(train: DataFrame, clients: Sequence, d: int, kind: str = "logi
     Round 0 is the start. In a round every client starts from the combined weights, fits on its own rows, and the
     results are averaged by rows (``sizes`` gives other counts, e.g. those before oversampling). The rows are
     persisted once; every optimiser step is one aggregate over them. The logistic problem of a client has one solution, whatever the
-    start, so without ``steps`` it is solved once, to convergence, and every round has it.
+    start, so without ``steps`` it is solved once, to convergence, and every round has it. A client with one class keeps the weights
+    it came with, which are those of the round before.
     """
     rows = train.select(client, vec, label).persist(StorageLevel.MEMORY_AND_DISK)
     combined = [np.zeros(d + 1)]
     local: list[dict] = []
     try:
         for done in range(rounds):
-            if done and kind == "logistic" and steps is None:
-                combined.append(combined[-1])
-                local.append(local[-1])
-                continue
             start = {str(c): combined[-1] for c in clients}
-            w, n = fit_clients(rows, clients, d, kind, start, steps, client=client, vec=vec, label=label)
-            n = {str(k): float(v) for k, v in sizes.items()} if sizes else n
+            if done and kind == "logistic" and steps is None:
+                if done == 1:
+                    solved = {r["c"] for r in rows.groupBy(F.col(client).cast("string").alias("c")).agg(
+                        (F.min(label) != F.max(label)).alias("two")).where("two").select("c").toLocalIterator()}
+                w = {k: v if k in solved else start[k] for k, v in local[0].items()}
+            else:
+                w, n = fit_clients(rows, clients, d, kind, start, steps, client=client, vec=vec, label=label)
+                n = {str(k): float(v) for k, v in sizes.items()} if sizes else n
             total = sum(n.values())
             if not total:
                 raise RuntimeError("no client returned a result: the run fails")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rareclass.operators import groupfit as r
-from rareclass.plans.grouped import grouped_run
+from rareclass.plans.grouped import grouped_run, round_weights
 
 
 def data(spark, n=400, seed=0):
@@ -40,6 +40,28 @@ def test_grouped_run_learns(spark):
     assert len(weights) == 3
 
 
+def test_one_class_client_moves_the_average_every_round(spark):
+    df, x, y, c = data(spark, 300)
+    df = df.withColumn("client_id", F.when(F.col("row_id") % 3 == 0, "none").otherwise(F.col("client_id"))).withColumn(
+        "label", F.when(F.col("client_id") == "none", 0).otherwise(F.col("label")))
+    c = np.where(np.arange(300) % 3 == 0, "none", c)
+    names, n = ["a", "b", "none"], {k: int((c == k).sum()) for k in ("a", "b", "none")}
+    assert n["none"] >= 100
+    got, local = round_weights(df, names, 3, rounds=20)
+    want = [np.zeros(4)]
+    for _ in range(20):  # the plain loop
+        w = {k: want[-1].copy() for k in names}
+        for k in ("a", "b"):
+            xk, yk, pen = np.column_stack([x[c == k], np.ones(n[k])]), y[c == k], np.array([1.0, 1, 1, 0])
+            for _ in range(50):
+                mu = 1 / (1 + np.exp(-xk @ w[k]))
+                w[k] = w[k] - np.linalg.solve(np.diag(pen) + xk.T @ (xk * (mu * (1 - mu))[:, None]), pen * w[k] + xk.T @ (mu - yk))
+        want.append(sum(w[k] * n[k] for k in names) / 300)
+    np.testing.assert_allclose(got, want, atol=1e-6)
+    np.testing.assert_allclose(local[-1]["none"], want[-2], atol=1e-6)
+    assert np.abs(got[20]).max() > 1.3 * np.abs(got[1]).max()
+
+
 def test_accuracy_weights_fall_back_to_rows(spark):
     up = spark.createDataFrame([(1, "a", 10, 0.0), (1, "b", 30, 0.0), (2, "a", 10, 0.5), (2, "b", 30, 0.5), (2, "z", 0, 0.9), (3, "a", 0, 0.2)],
                                "round int, client_id string, n int, alpha double")
