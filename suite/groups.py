@@ -16,7 +16,7 @@ from suite.explanations import explained
 from suite.scores import AT_CUT, COUNTS, f1_cte, point_cte
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-TREES = dict(iterations=4, depth=3)
+STACK = dict(iterations=t.STACK_TREES, subsample=t.STACK_SUBSAMPLE)
 
 
 def history(spark, sf_dir):
@@ -147,9 +147,9 @@ def grouped(kind):
     return run
 
 
-def boosted(spark, sf_dir):
+def boosted(spark, sf_dir, **settings):
     df = split_clients(spark, sf_dir)
-    models = t.fit_boosters(df.where("split = 'train'"), SEGMENTS, **TREES)
+    models = t.fit_boosters(df.where("split = 'train'"), SEGMENTS, **settings)
     return models, df
 
 
@@ -162,9 +162,9 @@ def best_booster(spark, sf_dir):
 
 def stacked(spark, sf_dir):
     """R16 + R17: margins of all clients' trees, weights for them learnt per client and averaged by rows."""
-    models, df = boosted(spark, sf_dir)
-    width = TREES["iterations"] * len(SEGMENTS)
-    features = t.tree_margins(models, SEGMENTS, df, TREES["iterations"], out="stack").drop("features")
+    models, df = boosted(spark, sf_dir, **STACK)
+    width = STACK["iterations"] * len(SEGMENTS)
+    features = t.tree_margins(models, SEGMENTS, df, STACK["iterations"], out="stack").drop("features")
     sizes = {x["client_id"]: x["n"] for x in df.where("split = 'train'").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     train = features.where("split = 'train'")
@@ -174,14 +174,13 @@ def stacked(spark, sf_dir):
 
 def pooled(model):
     def run(spark, sf_dir):
-        settings = TREES if model == "gbm" else {}
-        return rounded(t.pooled_baseline(split_clients(spark, sf_dir), model, **settings)[1], 6)
+        return rounded(t.pooled_baseline(split_clients(spark, sf_dir), model)[1], 6)
     return run
 
 
 def standalone(spark, sf_dir):
     df = split_clients(spark, sf_dir)
-    return rounded(t.standalone_clients(df.where("split = 'train'"), df.where("split = 'test'"), SEGMENTS, **TREES))
+    return rounded(t.standalone_clients(df.where("split = 'train'"), df.where("split = 'test'"), SEGMENTS))
 
 
 def batch_scores(spark, sf_dir):
