@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from rareclass.llm.words import slices
 from rareclass.session import checkpoint_folder
 
 
@@ -74,13 +75,18 @@ def map_array(folder: str, name: str) -> np.ndarray:
         os.unlink(copy)
 
 
-def annotated(docs: DataFrame, fields: list[T.StructField], judge: Callable[[list], list[pa.Array]]) -> DataFrame:
-    """All columns of ``docs`` and those that ``judge`` makes from a list of its texts; rows never leave their partition."""
+def annotated(docs: DataFrame, fields: list[T.StructField], judge: Callable[[list], list[pa.Array]], budget: int = 1 << 20) -> DataFrame:
+    """All columns of ``docs`` and those that ``judge`` makes from a list of its texts; rows never leave their partition.
+
+    ``judge`` sees about ``budget`` characters at a time, not a whole Arrow batch; a longer text stands alone.
+    """
     bounded_batches(docs.sparkSession)
     names = [*docs.columns, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *judge(batch.column("text").to_pylist())], names=names)
+            texts = batch.column("text").to_pylist()
+            for a, b in slices([len(t or "") for t in texts], budget):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *judge(texts[a:b])], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
