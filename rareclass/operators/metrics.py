@@ -28,11 +28,16 @@ def score_curve(
     ``next_fp_at`` with ``lead``).
     """
     at = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.col(label).cast("bigint")).alias("tp_at"), F.count(F.lit(1)).alias("n_at")
-    ).withColumn("fp_at", F.col("n_at") - F.col("tp_at"))
+        F.sum(F.col(label).cast("bigint")).alias("tp_at"), F.count(F.lit(1)).alias("n_at"))
+    return curve_of_counts(at, keys, range_cuts(df, score), lead)
+
+
+def curve_of_counts(at: DataFrame, keys: Sequence[str] = (), cuts: Sequence[float] | None = None, lead: bool = False) -> DataFrame:
+    """:func:`score_curve` from counts: one row per distinct score of a group with ``score, tp_at, n_at``."""
+    at = at.withColumn("fp_at", F.col("n_at") - F.col("tp_at"))
     curve = running_totals(
         at, "score", {"tp": "tp_at", "n": "n_at"}, keys, descending=True,
-        cuts=range_cuts(df, score), lead=["tp_at", "fp_at"] if lead else [],
+        cuts=cuts, lead=["tp_at", "fp_at"] if lead else [],
     )
     return (
         curve.withColumnRenamed("tot_tp", "n_pos").withColumnRenamed("tot_n", "n_all")
@@ -58,10 +63,10 @@ def _f1(precision: Column, recall: Column) -> Column:
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       keys: Sequence[str] = (), out: str = "auprc") -> DataFrame:
     """M1: sum of recall steps times precision over distinct scores; one class -> 0.0."""
-    return _average_precision(score_curve(df, label, score, keys), keys, out)
+    return precision_of_curve(score_curve(df, label, score, keys), keys, out)
 
 
-def _average_precision(curve: DataFrame, keys: Sequence[str], out: str = "auprc") -> DataFrame:
+def precision_of_curve(curve: DataFrame, keys: Sequence[str], out: str = "auprc") -> DataFrame:
     step = (F.col("tp_at") / F.col("n_pos")) * (F.col("tp") / F.col("n"))
     return curve.groupBy(*keys).agg(
         F.sum(F.when(_two_classes(), step).otherwise(F.lit(0.0))).alias(out)

@@ -1,16 +1,17 @@
-"""Boosted trees and other stock models per client or pooled, and per-tree margins."""
+"""Stock models per client or pooled (R18, R25, R26); boosted ones come from :mod:`rareclass.operators.boosting`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rareclass.operators import metrics as m
-from rareclass.operators.groupfit import fit_clients, select_prefix, truncate_margins
+from rareclass.operators.boosting import Settings, fit_forest, margins_of_clients, prefix_counts, tree_margins
+from rareclass.operators.groupfit import fit_clients, truncate_margins
 from rareclass.session import cut_lineage
 
 # fixed values: the published study's tree settings
@@ -22,22 +23,15 @@ def with_vector(df: DataFrame, vec: str = "features") -> DataFrame:
     return df.withColumn("_vec", array_to_vector(F.col(vec).cast("array<double>")))
 
 
-def booster(iterations: int = TREE_ROUNDS, rate: float = TREE_RATE, depth: int = TREE_DEPTH,
-            subsample: float = 1.0, seed: int = 42, label: str = "label") -> GBTClassifier:
-    return GBTClassifier(featuresCol="_vec", labelCol=label, maxIter=iterations, stepSize=rate, maxDepth=depth,
-                         subsamplingRate=subsample, seed=seed)
+def booster(iterations: int = TREE_ROUNDS, rate: float = TREE_RATE, depth: int = TREE_DEPTH, subsample: float = 1.0, seed: int = 42,
+            **more) -> Settings:
+    return Settings(iterations, rate, depth, subsample, seed, **more)
 
 
-def fit_boosters(df: DataFrame, clients: Sequence, client: str = "client_id", vec: str = "features",
-                 label: str = "label", **settings) -> dict:
-    """One booster per client from scratch, each a distributed training; one-class clients are skipped.
-
-    The list of clients is small by nature (each is a training job).
-    """
-    rows = with_vector(df.select(client, vec, label), vec)
-    two = {r[client] for r in rows.groupBy(client).agg(
-        (F.min(label) != F.max(label)).alias("two")).where("two").collect()}
-    return {c: booster(label=label, **settings).fit(rows.where(F.col(client) == c)) for c in clients if c in two}
+def fit_boosters(df: DataFrame, client: str = "client_id", vec: str = "features", label: str = "label", row_id: str | None = None,
+                 task_cells: int = 1 << 22, **settings) -> DataFrame:
+    """The trees of every client from scratch; one-class clients have none. Any number of clients takes the jobs of one."""
+    return fit_forest(df, client, vec, label, row_id, booster(**settings), task_cells)
 
 
 def margin_scores(model, df: DataFrame, vec: str = "features", out: str = "score", probability: bool = True) -> DataFrame:
@@ -47,30 +41,12 @@ def margin_scores(model, df: DataFrame, vec: str = "features", out: str = "score
     return scored.withColumn(out, vector_to_array(source)[1]).select(*df.columns, out)
 
 
-def tree_margins(models: dict, clients: Sequence, df: DataFrame, trees: int, vec: str = "features",
-                 out: str = "margins") -> DataFrame:
-    """One margin per (client, tree), blocks in client order; a client without a model gets the first model's trees."""
-    fallback: GBTClassificationModel = models[next(c for c in clients if c in models)]
-    rows, columns, names = with_vector(df, vec), [], {}
-    for c in clients:
-        model = models.get(c, fallback)
-        for i, (tree, weight) in enumerate(zip(model.trees[:trees], model.treeWeights[:trees])):
-            name = f"_t_{tree.uid}"
-            if name not in names:
-                names[name] = True
-                rows = tree.setFeaturesCol("_vec").setPredictionCol(name).transform(rows)
-            columns.append(F.col(name) * F.lit(float(weight)))
-    return rows.select(*df.columns, F.array(*columns).alias(out))
-
-
-def fit_pooled(df: DataFrame, model: str, vec: str = "features", label: str = "label", c: float = 1.0, **settings):
-    """A pooled baseline on the training rows: ``lr``, ``svm`` or ``gbm``.
+def fit_pooled(df: DataFrame, model: str, vec: str = "features", label: str = "label", c: float = 1.0):
+    """A pooled linear baseline on the training rows: ``lr`` or ``svm``.
 
     The penalty of the linear models is given per summed loss (C), Spark's per mean loss: 1 / (C * n).
     """
     train = with_vector(df, vec)
-    if model == "gbm":
-        return booster(label=label, **settings).fit(train)
     reg = 1.0 / (c * max(df.count(), 1))
     common = dict(featuresCol="_vec", labelCol=label, regParam=reg, standardization=False, maxIter=1000)
     if model == "lr":
@@ -80,20 +56,24 @@ def fit_pooled(df: DataFrame, model: str, vec: str = "features", label: str = "l
     raise ValueError(f"unknown pooled model {model!r}")
 
 
-def best_prefix(models: dict, val: DataFrame, vec: str = "features", label: str = "label", client: str = "client_id") -> DataFrame:
-    """R13 for fitted boosters: (client, prefix, auprc), the number of trees with the best average precision on ``val``."""
-    parts = None
-    for c, model in models.items():
-        own = tree_margins({c: model}, [c], val.select(vec, label), len(model.trees), vec).select(
-            F.lit(c).alias(client), label, "margins")
-        parts = own if parts is None else parts.unionByName(own)
-    return select_prefix(parts, "margins", label, [client])
+def best_prefix(forest: DataFrame, val: DataFrame, vec: str = "features", label: str = "label", client: str = "client_id") -> DataFrame:
+    """R13 for fitted boosters: (client, prefix, auprc), the number of trees with the best average precision on ``val``, fewer on ties.
+
+    Rows of one class only leave the full number and 0.0.
+    """
+    counts = cut_lineage(prefix_counts(forest, val, client, vec, label))
+    ap = m.precision_of_curve(m.curve_of_counts(counts, [client, "prefix"]), [client, "prefix"])
+    two = counts.where("prefix = 1").groupBy(client).agg(((F.sum("tp_at") > 0) & (F.sum("tp_at") < F.sum("n_at"))).alias("_two"))
+    best = ap.groupBy(client).agg(F.max(F.struct("auprc", (-F.col("prefix")).alias("neg"))).alias("_b"), F.max("prefix").alias("_full"))
+    return best.join(two, client).select(client, F.when(F.col("_two"), -F.col("_b.neg")).otherwise(F.col("_full")).alias("prefix"),
+                                         F.when(F.col("_two"), F.col("_b.auprc")).otherwise(F.lit(0.0)).alias("auprc"))
 
 
-def prefix_probability(model: GBTClassificationModel, df: DataFrame, prefix: int, vec: str = "features", out: str = "score") -> DataFrame:
-    """The probability that the first ``prefix`` trees give (twice their margin is the log odds)."""
-    margins = truncate_margins(tree_margins({0: model}, [0], df, len(model.trees), vec), prefix, out="_margin")
-    return margins.withColumn(out, 1.0 / (1.0 + F.exp(-2.0 * F.col("_margin")))).drop("_margin", "margins")
+def prefix_probability(forest: DataFrame, client: object, df: DataFrame, prefix: int, column: str = "client_id", vec: str = "features",
+                       out: str = "score") -> DataFrame:
+    """The probability that the first ``prefix`` trees of a client give."""
+    margins = truncate_margins(tree_margins(forest, [client], df, prefix, column, vec), prefix, out="_margin")
+    return margins.withColumn(out, 1.0 / (1.0 + F.exp(-F.col("_margin")))).drop("_margin", "margins")
 
 
 def pooled_baseline(df: DataFrame, model: str, split: str = "split", vec: str = "features", label: str = "label",
@@ -112,27 +92,20 @@ def pooled_baseline(df: DataFrame, model: str, split: str = "split", vec: str =
         fitted = fit_clients(train.withColumn("_pool", F.lit("pool")), ["pool"], width, client="_pool", vec=vec, label=label, **settings)[0]["pool"]
         terms = F.zip_with(F.col(vec).cast("array<double>"), F.lit([float(v) for v in fitted[:-1]]), lambda a, b: a * b)
         scored = rest.withColumn("score", 1.0 / (1.0 + F.exp(-F.aggregate(terms, F.lit(float(fitted[-1])), lambda a, v: a + v))))
+    elif model == "gbm":
+        fitted = fit_boosters(train.withColumn("_pool", F.lit("pool")), "_pool", vec, label, **settings)
+        prefix = best_prefix(fitted, rest.where(F.col(split) == "val"), vec, label, "_pool").first()["prefix"]
+        scored = prefix_probability(fitted, "pool", rest, prefix, "_pool", vec)
     else:
         fitted = fit_pooled(train, model, vec, label, **settings)
-        if model == "gbm":
-            prefix = best_prefix({0: fitted}, rest.where(F.col(split) == "val"), vec, label).first()["prefix"]
-            scored = prefix_probability(fitted, rest, prefix, vec)
-        else:
-            scored = margin_scores(fitted, rest, vec)
+        scored = margin_scores(fitted, rest, vec)
     calibrated = m.calibration(scored, label, "score", [split], is_probability=model != "svm")
     return fitted, m.tuned_metrics(scored, split, label).join(calibrated, split).withColumn("n_trees", F.lit(prefix).cast("int"))
 
 
-def standalone_clients(df: DataFrame, test: DataFrame, clients: Sequence, client: str = "client_id",
-                       vec: str = "features", label: str = "label", **settings) -> DataFrame:
+def standalone_clients(df: DataFrame, test: DataFrame, client: str = "client_id", vec: str = "features", label: str = "label",
+                       **settings) -> DataFrame:
     """How each client's own model does on the common test rows."""
-    models = fit_boosters(df, clients, client, vec, label, **settings)
-    if not models:
-        empty = test.select(F.lit(None).cast(df.schema[client].dataType).alias(client), label, F.lit(0.0).alias("prediction")).limit(0)
-        return m.task_score(empty, "BINARY", label, "prediction", [client])
-    parts = None
-    for c, model in models.items():
-        scored = model.transform(with_vector(test.select(vec, label), vec)).select(
-            F.lit(c).alias(client), label, F.col("prediction"))
-        parts = scored if parts is None else parts.unionByName(scored)
-    return m.task_score(parts, "BINARY", label, "prediction", [client])
+    forest = fit_boosters(df, client, vec, label, **settings)
+    scored = margins_of_clients(forest, test, [label], client, vec).withColumn("prediction", (F.col("margin") > 0).cast("double"))
+    return m.task_score(scored, "BINARY", label, "prediction", [client])

@@ -149,22 +149,38 @@ def grouped(kind):
 
 def boosted(spark, sf_dir, **settings):
     df = split_clients(spark, sf_dir)
-    models = t.fit_boosters(df.where("split = 'train'"), SEGMENTS, **settings)
-    return models, df
+    return t.fit_boosters(df.where("split = 'train'"), row_id="row_id", **settings), df
 
 
 def best_booster(spark, sf_dir):
     """Every client's booster at its best prefix on val; the best one wins."""
-    models, df = boosted(spark, sf_dir)
-    ap = t.best_prefix(models, df.where("split = 'val'")).withColumn("skipped", F.lit(False))
+    forest, df = boosted(spark, sf_dir)
+    ap = t.best_prefix(forest, df.where("split = 'val'")).withColumn("skipped", F.lit(False))
     return rounded(r.best_model(ap))
 
 
+def shipped(spark, sf_dir):
+    """Order lines with three features of few values and fifty clients."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("client_id"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double")).alias("features"))
+
+
+def first_splits(**how):
+    """The first split of each client, with what it gives on either side."""
+    def run(spark, sf_dir):
+        forest = t.fit_boosters(shipped(spark, sf_dir), iterations=1, depth=1, **how)
+        split = F.col("feature")[0] >= 0
+        return rounded(forest.select("client_id", F.col("feature")[0].alias("feature"), F.when(split, F.col("cut")[0]).alias("cut"),
+                                     F.when(split, F.col("value")[1]).alias("below"), F.when(split, F.col("value")[2]).alias("above")))
+    return run
+
+
 def stacked(spark, sf_dir):
     """R16 + R17: margins of all clients' trees, weights for them learnt per client and averaged by rows."""
-    models, df = boosted(spark, sf_dir, **STACK)
+    forest, df = boosted(spark, sf_dir, **STACK)
     width = STACK["iterations"] * len(SEGMENTS)
-    features = t.tree_margins(models, SEGMENTS, df, STACK["iterations"], out="stack").drop("features")
+    features = t.tree_margins(forest, SEGMENTS, df, out="stack").drop("features")
     sizes = {x["client_id"]: x["n"] for x in df.where("split = 'train'").groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     train = features.where("split = 'train'")
@@ -180,7 +196,7 @@ def pooled(model):
 
 def standalone(spark, sf_dir):
     df = split_clients(spark, sf_dir)
-    return rounded(t.standalone_clients(df.where("split = 'train'"), df.where("split = 'test'"), SEGMENTS))
+    return rounded(t.standalone_clients(df.where("split = 'train'"), df.where("split = 'test'")))
 
 
 def batch_scores(spark, sf_dir):
@@ -201,6 +217,8 @@ QUERIES = {
     "r8_local_auprc": lambda s, d: rounded(r.local_auprc(scored(s, d, "toxic"), "source")),
     "r10_grouped_run_logistic": grouped("logistic"),
     "r10_grouped_run_hinge": grouped("hinge"),
+    "r11_first_splits": first_splits(),
+    "r11_first_splits_by_level": first_splits(task_cells=0),
     "r11_r12_best_booster": best_booster,
     "r12_best_model": lambda s, d: r.best_model(client_scores(s, d), ["round"]),
     "r12_carry_best": carried,
@@ -236,7 +254,19 @@ s AS (SELECT run_id, MIN(round) FILTER (waited >= 5) AS stop_round FROM e GROUP
 SELECT run_id, any_value(stop_round) AS stop_round, COUNT(*) AS n_kept FROM h JOIN s USING (run_id)
 WHERE stop_round IS NULL OR round <= stop_round GROUP BY run_id"""
 
+FIRST_SPLITS = """WITH x AS (SELECT l_suppkey % 50 AS client_id, CAST(l_returnflag = 'R' AS INT) AS y, [l_quantity, l_discount, l_tax] AS f FROM lineitem),
+e AS (SELECT client_id, y, j::INT - 1 AS feature, f[j] AS v FROM x, range(1, 4) t(j)),
+b AS (SELECT feature, v AS cut, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY v) AS bin FROM (SELECT DISTINCT feature, v FROM e)),
+s AS (SELECT client_id, feature, bin, cut, SUM(CASE WHEN v < cut THEN 0.5 - y ELSE 0 END)::DOUBLE AS gl, SUM(CASE WHEN v < cut THEN 0.25 ELSE 0 END)::DOUBLE AS hl,
+ SUM(0.5 - y)::DOUBLE AS g, SUM(0.25)::DOUBLE AS h FROM e JOIN b USING (feature) WHERE bin > 1 GROUP BY ALL),
+w AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM s WHERE hl >= 1 AND h - hl >= 1),
+best AS (SELECT * FROM w WHERE gain > 1e-9 QUALIFY ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY gain DESC, feature, bin) = 1)
+SELECT client_id, coalesce(feature, -1) AS feature, round(cut, 9) AS cut, round(-0.1::DOUBLE * gl / (hl + 1), 9) AS below, round(-0.1::DOUBLE * (g - gl) / (h - hl + 1), 9) AS above
+FROM (SELECT client_id FROM x GROUP BY client_id HAVING MIN(y) <> MAX(y)) LEFT JOIN best USING (client_id)"""
+
 ORACLES = {
+    "r11_first_splits": FIRST_SPLITS,
+    "r11_first_splits_by_level": FIRST_SPLITS,
     "r3_keep_incoming": """SELECT client_id, CASE WHEN lo < hi THEN mx ELSE mn END AS w, lo = hi AS skipped FROM (
  SELECT user_id || '/' || event_type AS client_id, MIN(CAST(value > 120 AS INT)) AS lo, MAX(CAST(value > 120 AS INT)) AS hi,
   round(MAX(value), 2) AS mx, round(MIN(value), 2) AS mn FROM events GROUP BY 1)""",
