@@ -90,20 +90,28 @@ def bounds(codes: Codes, queries: Planes, dims: int) -> tuple[np.ndarray, np.nda
     give the rounded query's product with each code; rounding moves that by the error's length at most, and the rest adds at most its
     own length times the length of the query beside the last code (Cauchy-Schwarz).
     """
-    estimate = np.zeros((len(queries.low), len(codes.rest)))
+    shape = len(queries.low), len(codes.rest)
+    estimate = np.zeros(shape)
+    both, count = np.empty(shape, np.uint64), np.empty(shape, np.uint8)
+    wide = np.uint16 if dims << queries.bits.shape[1] < 1 << 16 else np.int64
+    planes = [[np.ascontiguousarray(queries.bits[:, j, w])[:, None] for w in range(queries.bits.shape[2])] for j in range(queries.bits.shape[1])]
     for level in range(codes.bits.shape[1]):
-        own = codes.bits[:, level]
-        inner = np.zeros(estimate.shape, dtype=np.int64)
-        for j in range(queries.bits.shape[1]):
-            for w in range(own.shape[1]):
-                inner += np.bitwise_count(queries.bits[:, j, w][:, None] & own[:, w]).astype(np.int64) << j
-        ones = np.bitwise_count(own).sum(axis=1, dtype=np.int64)
-        along = (queries.low[:, None] * (2 * ones - dims) + queries.step[:, None] * (2 * inner - queries.total[:, None])) / np.sqrt(dims)
+        own = [np.ascontiguousarray(codes.bits[:, level, w]) for w in range(codes.bits.shape[2])]
+        inner = np.zeros(shape, dtype=wide)
+        for j, plane in enumerate(planes):
+            for w, word in enumerate(own):
+                np.bitwise_count(np.bitwise_and(plane[w], word, out=both), out=count)
+                inner += np.left_shift(count, j, dtype=wide)
+        ones = sum(np.bitwise_count(word).astype(np.int64) for word in own)
+        along = inner * (2 * queries.step / np.sqrt(dims))[:, None]
+        along += ((queries.low[:, None] * (2 * ones - dims)) - (queries.step * queries.total)[:, None]) / np.sqrt(dims)
         estimate += codes.align[:, level] * along
-    beside = np.sqrt(np.maximum(0.0, queries.length[:, None] ** 2 - np.maximum(0.0, np.abs(along) - queries.error[:, None]) ** 2))
-    spread = codes.align.sum(axis=1) * queries.error[:, None] + codes.rest * beside
-    spread += 1e-9 * queries.length[:, None] * (codes.align.sum(axis=1) + codes.rest) + 1e-6  # rounding of doubles
-    return estimate - spread, estimate + spread
+    reach = codes.align.sum(axis=1)
+    beside = np.maximum(np.abs(along) - queries.error[:, None], 0.0)
+    beside = np.sqrt(np.maximum(queries.length[:, None] ** 2 - beside * beside, 0.0))
+    beside *= codes.rest
+    beside += reach * queries.error[:, None] + 1e-9 * queries.length[:, None] * (reach + codes.rest) + 1e-6  # the last two: rounding of doubles
+    return estimate - beside, estimate + beside
 
 
 def coded(vectors: DataFrame, label: Column, levels: int, seed: int) -> DataFrame:
@@ -143,8 +151,15 @@ def _stack(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind).reshape(len(cells), -1)
 
 
-def _scores(points: np.ndarray, queries: np.ndarray, row: np.ndarray, query: np.ndarray, step: int) -> np.ndarray:
-    """Exact integer products of the given (query, row) pairs."""
+def _scores(points: np.ndarray, queries: np.ndarray, row: np.ndarray, query: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Exact integer products of the given (query, row) pairs.
+
+    Where a tenth of all pairs or more are asked for and no product can reach 2^53, one product of matrices of doubles gives the same numbers.
+    """
+    if 10 * len(row) >= len(points) * len(queries):
+        p, q = points.astype(np.float64), queries.astype(np.float64)
+        if (p * p).sum(axis=1).max(initial=0.0) * (q * q).sum(axis=1).max(initial=0.0) < 2.0**104:
+            return (q @ p.T)[query, row].astype(np.int64)
     out = np.empty(len(row), dtype=np.int64)
     for a in range(0, len(row), step):
         out[a:a + step] = np.einsum("ij,ij->i", points[row[a:a + step]].astype(np.int64), queries[query[a:a + step]].astype(np.int64))
@@ -187,54 +202,82 @@ def _block(rows: pa.Table, anchors: pa.Table) -> Block:
                  anchors.column("anchor_id").to_numpy(), anchors.column("anchor_label").to_numpy(), _stack(anchors.column("anchor"), "<i4"))
 
 
-def _steps(block: Block, seed: int, cells: int = 1 << 19) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Slices of anchors with the bounds of their scores; about ``cells`` pairs at a time."""
-    dims = block.points.shape[1]
-    size = max(1, cells // max(1, len(block.ids)))
-    for a in range(0, len(block.slots), size):
-        part = slice(a, a + size)
-        yield part, *bounds(block.codes, grid(block.queries[part], seed), dims)
+def _tiles(block: Block, rows: np.ndarray, anchors: np.ndarray, seed: int, side: int = 256, width: int = 512) -> Iterator[tuple[np.ndarray, Iterator]]:
+    """Groups of anchors, each with tiles of rows: (rows, low, high). A tile's tables stay small enough for the processor's cache."""
+    for a in range(0, len(anchors), side):
+        part = anchors[a:a + side]
+        planes = grid(block.queries[part], seed)
+
+        def tiles(planes: Planes = planes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in range(0, len(rows), width):
+                own = rows[b:b + width]
+                codes = Codes(block.codes.bits[own], block.codes.align[own], block.codes.rest[own])
+                yield own, *bounds(codes, planes, block.points.shape[1])
+
+        yield part, tiles()
+
+
+class Tops:
+    """The best few (score, row) seen so far of each place, and what a newcomer must reach once there are ``k``."""
+
+    def __init__(self, places: int, k: int) -> None:
+        self.k, self.place, self.row, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.floor = np.full(places, -np.inf)
+
+    def add(self, place: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(place):
+            return
+        place, row, score = np.concatenate([self.place, place]), np.concatenate([self.row, row]), np.concatenate([self.score, score])
+        keep = _best(place, ids[row], score, self.k)
+        self.place, self.row, self.score = place[keep], row[keep], score[keep]
+        full = np.flatnonzero(np.bincount(self.place, minlength=len(self.floor)) == self.k)
+        lowest = np.full(len(self.floor), np.inf)
+        np.minimum.at(lowest, self.place, self.score)
+        self.floor[full] = lowest[full]
 
 
 def positives_of(block: Block, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, row, score): the ``k`` best rows of each anchor's label in the block. Rows whose upper bound is below the k-th lower bound
-    are not scored."""
+    """(anchor, row, score): the ``k`` best rows of each anchor's label in the block.
+
+    Rows are not scored when their upper bound is below the k-th best score so far or the k-th best lower bound of their tile.
+    """
     out = []
-    for part, low, high in _steps(block, seed):
-        fit = (block.own_labels[part, None] == block.labels) & (block.own_ids[part, None] != block.ids)
-        floor = _kth(np.where(fit, low, -np.inf), k)
-        anchor, row = np.nonzero(fit & (high >= floor[:, None]))
-        score = _scores(block.points, block.queries[part], row, anchor, 1 << 15)
-        keep = _best(anchor, block.ids[row], score, k)
-        out.append((anchor[keep] + part.start, row[keep], score[keep]))
+    for label in np.unique(block.own_labels):
+        rows = np.flatnonzero(block.labels == label)
+        for part, tiles in _tiles(block, rows, np.flatnonzero(block.own_labels == label), seed):
+            tops = Tops(len(part), k)
+            for own, low, high in tiles:
+                fit = block.own_ids[part, None] != block.ids[own]
+                floor = np.maximum(tops.floor, _kth(np.where(fit, low, -np.inf), k))
+                anchor, row = np.nonzero(fit & (high >= floor[:, None]))
+                tops.add(anchor, own[row], _scores(block.points[own], block.queries[part], row, anchor), block.ids)
+            out.append((part[tops.place], tops.row, tops.score))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def negatives_of(block: Block, wanted: np.ndarray, k: int, seed: int, low_share: int, high_share: int) -> tuple[np.ndarray, ...]:
+def negatives_of(block: Block, wanted: np.ma.MaskedArray, k: int, seed: int, low_share: int, high_share: int) -> tuple[np.ndarray, ...]:
     """(anchor, place, row, score): for each anchor and each of its positives the ``k`` best rows of other labels whose score lies between
     ``low_share`` and ``high_share`` hundredths of the positive's. ``wanted`` holds the positives' scores, masked where there are fewer.
 
-    Rows are scored when their interval meets a window, unless k rows lie surely inside it and surely higher.
+    Rows are scored when their interval meets a window at or above the k-th best score found in it so far.
     """
-    out = []
-    for part, low, high in _steps(block, seed):
-        fit = (block.own_labels[part, None] != block.labels) & (block.own_ids[part, None] != block.ids)
-        scores = wanted[part]
-        least = -(-low_share * scores.data // 100)
-        most = high_share * scores.data // 100
-        alive = np.zeros(fit.shape, dtype=bool)
-        for place in range(scores.shape[1]):
-            real = ~np.ma.getmaskarray(scores)[:, place]
-            inside = fit & (low >= least[:, place, None]) & (high <= most[:, place, None])
-            floor = np.maximum(_kth(np.where(inside, low, -np.inf), k), least[:, place].astype(np.float64))
-            alive |= fit & (high >= floor[:, None]) & (low <= most[:, place, None]) & real[:, None]
-        anchor, row = np.nonzero(alive)
-        score = _scores(block.points, block.queries[part], row, anchor, 1 << 15)
-        for place in range(scores.shape[1]):
-            real = ~np.ma.getmaskarray(scores)[anchor, place]
-            fits = np.flatnonzero(real & (100 * score >= low_share * scores.data[anchor, place]) & (100 * score <= high_share * scores.data[anchor, place]))
-            keep = fits[_best(anchor[fits], block.ids[row[fits]], score[fits], k)]
-            out.append((anchor[keep] + part.start, np.full(len(keep), place), row[keep], score[keep]))
+    out, places = [], wanted.shape[1]
+    for part, tiles in _tiles(block, np.arange(len(block.ids)), np.arange(len(block.slots)), seed):
+        scores, real = wanted.data[part], ~np.ma.getmaskarray(wanted)[part]
+        least, most = -(-low_share * scores // 100), high_share * scores // 100
+        tops = Tops(len(part) * places, k)
+        for own, low, high in tiles:
+            fit = (block.own_labels[part, None] != block.labels[own]) & (block.own_ids[part, None] != block.ids[own])
+            floors = np.maximum(tops.floor.reshape(len(part), places), least)
+            alive = np.zeros(fit.shape, dtype=bool)
+            for place in range(places):
+                alive |= (high >= floors[:, place, None]) & (low <= most[:, place, None]) & real[:, place, None]
+            anchor, row = np.nonzero(fit & alive)
+            score = _scores(block.points[own], block.queries[part], row, anchor)
+            inside = real[anchor] & (score[:, None] >= floors[anchor]) & (score[:, None] <= most[anchor])
+            pair, place = np.nonzero(inside)
+            tops.add(anchor[pair] * places + place, own[row[pair]], score[pair], block.ids)
+        out.append((part[tops.place // places], tops.place % places, tops.row, tops.score))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
