@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -16,10 +17,9 @@ from pyspark.sql import functions as F
 from rareclass.llm.shared import bounded_batches, scratch, stored
 from rareclass.llm.words import slices, summed
 
-#: Characters of terms: ASCII letters and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 GROUP = ["lang", "source"]
+#: Terms are ASCII letters, in lower case, and everything beyond ASCII; all else ends them.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 #: Ends the language in front of a term; it is in no term.
 _END = "\0"
@@ -44,10 +44,11 @@ def _split(texts: DataFrame, shards: int) -> DataFrame:
                 found = []
                 for i in range(a, b):
                     front = f"{langs[i]}{_END}".encode()
-                    dealt: dict[int, list[bytes]] = {}
+                    dealt: list[list[bytes]] = [[] for _ in range(shards)]
+                    add = [terms.append for terms in dealt]
                     for t in texts_[i].translate(_FOLD).split():
-                        dealt.setdefault(zlib.crc32(t) % shards, []).append(front + t)
-                    found += [(i, s, terms) for s, terms in dealt.items()]
+                        add[zlib.crc32(t) % shards](front + t)
+                    found += [(i, s, terms) for s, terms in enumerate(dealt) if terms]
                 if found:
                     yield rows(found, batch)
 
@@ -82,19 +83,19 @@ def _group_sums(vectors: DataFrame) -> DataFrame:
         .groupBy(*GROUP, "index").agg(F.sum("n").alias("n"))
 
 
-def term_counts(docs: DataFrame, min_docs: int = 10, shard_terms: int = 200_000) -> DataFrame:
+def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None) -> DataFrame:
     """(lang, source, term, n) for every kept term that a group holds; a lang keeps the terms of at least ``min_docs`` of its documents.
 
     A ``CountVectorizer`` without a limit on its vocabulary counts documents and gives the exact sparse vector of each. Terms carry their
-    language, so one fit counts every language apart, and since Spark keeps a fitted vocabulary on the driver, terms are dealt to as many
-    fits as leave each about ``shard_terms`` distinct ones at most, kept or not. Texts are cut once, all fits read their part of that table.
+    language, so one fit counts every language apart. Spark keeps a fitted vocabulary on the driver, so terms are dealt to ``shards`` fits by a
+    hash: four up to 1 GiB of text, then more with the power 0.6 of it, as vocabularies grow. Texts are cut once, all fits read their part.
     """
     spark = docs.sparkSession
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP],
                         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    words = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))
-    distinct = texts.select("lang", F.explode(words).alias("term")).agg(F.approx_count_distinct(F.xxhash64("lang", "term"), 0.02).alias("n")).first()["n"]
-    shards = max(1, -(-distinct // shard_terms))
+    if shards is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        shards = math.ceil(4 * max(1.0, size / 2**30) ** 0.6)
     cut, out = scratch(spark, "divergence-terms"), scratch(spark, "divergence-counts")
     _split(texts, shards).write.partitionBy("shard").parquet(cut)
     schema = "lang string, source string, terms array<string>, shard int"
@@ -138,14 +139,13 @@ def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _shared_terms(rows: DataFrame, tile: int, cell_rows: int = 1 << 17) -> DataFrame:
     """(lang, a, b, value), a < b: what the terms that both groups hold add to the value found from each group's own counts.
 
-    Rows are lang, term, no (of the group), p, z (the share of a term that the group lacks). Groups are cut into tiles of ``tile`` numbers,
+    Rows are lang, term, no (of the group), last (the lang's highest), p, z (the share of a term that the group lacks). Groups are cut into tiles of ``tile`` numbers,
     and a row goes to each pair of tiles that holds its own; terms are cut into cells of about ``cell_rows`` rows. A task sees one cell of one
     pair of tiles and returns a sum per pair of groups, never pairs per term.
     """
-    last = rows.groupBy("lang").agg(_div(F.max("no"), F.lit(tile)).cast("int").alias("_last"))
     cells = max(1, -(-rows.count() // cell_rows))
-    spread = rows.join(last, "lang").withColumn("_own", _div(F.col("no"), F.lit(tile)).cast("int")) \
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last")))) \
+    spread = rows.withColumn("_own", _div(F.col("no"), F.lit(tile)).cast("int")) \
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), _div(F.col("last"), F.lit(tile)).cast("int")))) \
         .select("lang", F.least("_own", "_other").alias("ta"), F.greatest("_own", "_other").alias("tb"),
                 F.pmod(F.xxhash64("term"), F.lit(cells)).alias("cell"), "term", "no", "p", "z")
 
@@ -171,7 +171,7 @@ def _shared_terms(rows: DataFrame, tile: int, cell_rows: int = 1 << 17) -> DataF
         .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shard_terms: int = 200_000, tile: int = 1024) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shards: int | None = None, tile: int = 1024) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each (lang, source) group lies from the other sources of its lang, and by which terms.
 
     Shares are whole numbers of billionths with two added to every count; see :func:`share` and :func:`gap`. Part ``pair``: the other
@@ -185,7 +185,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shard_terms: int =
     Null text, lang and source are ''. Groups without kept terms have pairs too; a lang without kept terms has pairs of value 0.
     Repeated rows are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
-    counts = stored(term_counts(docs, min_docs, shard_terms), "divergence-named")
+    counts = stored(term_counts(docs, min_docs, shards), "divergence-named")
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP]).distinct()
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
@@ -193,11 +193,13 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shard_terms: int =
     zero = F.lit(0).cast("long")
     known = groups.join(langs, "lang", "left").join(totals, GROUP, "left").na.fill(0, ["terms", "lang_total", "total"]) \
         .withColumn("no", F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1) \
+        .withColumn("last", F.max("no").over(W.partitionBy("lang"))) \
         .withColumn("z", F.when(F.col("terms") > 0, share(zero, F.col("total"), F.col("terms"))).otherwise(1))
     known = stored(known, "divergence-groups")
     shares = stored(counts.join(known, GROUP).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms"))), "divergence-shares")
 
-    against = kept.join(langs, "lang").select("lang", "term", share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"))
+    against = shares.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.max("lang_total").alias("_total"), F.max("terms").alias("_terms")) \
+        .select("lang", "term", share(F.col("lang_n"), F.col("_total"), F.col("_terms")).alias("q"))
     best = W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
     by_term = shares.join(against, ["lang", "term"]).filter("p > q") \
         .select(*GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value")) \
@@ -211,7 +213,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shard_terms: int =
     sides = mine.join(other, "lang").filter("a <> b").groupBy("lang", "a", "b", "za", "zb", "terms").agg(
         F.coalesce(F.sum(F.col("h") * (gap(F.col("p"), F.col("zb")) - both_lack)), zero).alias("side")) \
         .select("lang", "a", "b", (F.col("side") + F.when(F.col("a") < F.col("b"), F.col("terms") * both_lack).otherwise(0)).alias("value"))
-    parts = sides.unionByName(_shared_terms(shares.select("lang", "term", "no", "p", "z"), tile))
+    parts = sides.unionByName(_shared_terms(shares.select("lang", "term", "no", "last", "p", "z"), tile))
     ordered = parts.unionByName(parts.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")) \
         .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     by_pair = ordered.join(known.select("lang", F.col("no").alias("a"), "source"), ["lang", "a"]) \

@@ -54,7 +54,7 @@ def corpus():
     return rows + rows[:20]
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard_terms": 9, "tile": 3}])
+@pytest.mark.parametrize("settings", [{}, {"shards": 7, "tile": 3}])
 def test_audit_equals_dense_integers(spark, settings):
     rows = corpus()
     got = audit(spark.createDataFrame(rows, SCHEMA), min_docs=10, **settings)
