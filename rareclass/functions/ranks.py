@@ -66,6 +66,38 @@ def hash_rank(
     )
 
 
+def hash_segments(df: DataFrame, id_col: str, seed: int | str, cuts: Column, n_cuts: int, keys: Sequence[str] = (), out: str = "segment") -> DataFrame:
+    """How many of the group's cuts lie below each row's rank in md5 order of ``seed:id`` within ``keys``.
+
+    ``cuts`` is an array of ``n_cuts`` ascending ranks made of the group size ``_n`` and the keys: a row of rank r has as many segments
+    before it as there are cuts < r. Rows are not ranked. Counts per hash prefix show in which prefix each cut falls, only the rows of these
+    prefixes (ids and hashes) are ordered, and the hash found at a cut then decides for all rows, which stay where they are. Ids must be unique.
+    """
+    hashed = df.select(*keys, F.col(id_col).alias("_id"), hash_text(seed, id_col).alias("_h")).withColumn("_b", F.substring("_h", 1, 4))
+    counts = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy(*keys)
+    upto = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counts.withColumn("_n", F.sum("_c").over(whole)).withColumn("_end", F.sum("_c").over(upto)).withColumn("_cuts", cuts.cast("array<bigint>"))
+    inside = F.filter("_cuts", lambda c: (c > F.col("_end") - F.col("_c")) & (c <= F.col("_end")))
+    wanted = placed.select(*keys, "_b", F.explode(inside).alias("_cut"), (F.col("_end") - F.col("_c")).alias("_before")) \
+        .select(*keys, "_b", (F.col("_cut") - F.col("_before")).alias("_r"), F.col("_cut"))
+    # one row per prefix that holds a cut
+    prefixes = wanted.select(*keys, "_b").distinct()
+    order = W.partitionBy(*keys, "_b").orderBy("_h", "_id")
+    ordered = null_safe_join(hashed, prefixes, [*keys, "_b"]).withColumn("_r", F.row_number().over(order))
+    found = null_safe_join(ordered, wanted, [*keys, "_b", "_r"]).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_h", "_id"))).alias("_marks"))
+    none = F.size(F.filter("_cuts", lambda c: c <= 0))
+    sizes = placed.groupBy(*keys).agg(F.max(none).alias("_none"))
+    marks = null_safe_join(sizes, found, keys, "left") if keys else sizes.join(found, F.lit(True), "left")
+    own = df.withColumn("_own", F.struct(hash_text(seed, id_col).alias("_h"), F.col(id_col).alias("_id")))
+    met = null_safe_join(own, marks, keys) if keys else own.crossJoin(marks)  # one row on the right
+    depth = max(1, n_cuts.bit_length())
+    steps = F.lit([1 << j for j in reversed(range(depth))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_marks", at + step - 1) < F.col("_own"), step).otherwise(0))
+    return met.withColumn(out, (F.col("_none") + F.coalesce(below, F.lit(0))).cast("int")).drop("_own", "_none", "_marks")
+
+
 # ---------------------------------------------------------------- value order
 
 

@@ -1,7 +1,7 @@
-"""Splits, client partitions and samples, all cut from one exact hash rank.
+"""Splits, client partitions and samples, all cut at exact ranks of one hash order.
 
-A rank inside a class decides everything, so class shares are exact, the result depends only on
-(seed, row id), and no row ever has to be shuffled through one task.
+Class shares are exact and the result depends only on (seed, row id). Only the rows next to a cut are ordered; all
+others are decided where they are by the hashes found at the cuts.
 """
 
 from __future__ import annotations
@@ -12,29 +12,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rareclass.functions.ranks import hash_rank, null_safe_join
+from rareclass.functions.ranks import hash_segments, null_safe_join
 
 
 def stratified_split(df: DataFrame, id_col: str = "row_id", label: str = "label", seed: int = 42,
                      out: str = "split") -> DataFrame:
     """train/val/test 70/15/15 with exact class shares."""
-    ranked = hash_rank(df, id_col, seed, [label], "_r", "_n")
-    first, second = F.round(F.col("_n") * F.lit(0.70)), F.round(F.col("_n") * F.lit(0.85))
-    return ranked.withColumn(
-        out, F.when(F.col("_r") <= first, "train").when(F.col("_r") <= second, "val").otherwise("test")
-    ).drop("_r", "_n")
+    n = F.col("_n")
+    cuts = F.array(F.round(n * F.lit(0.70)), F.round(n * F.lit(0.85)))
+    cut = hash_segments(df, id_col, seed, cuts, 2, [label], "_s")
+    return cut.withColumn(out, F.when(F.col("_s") == 0, "train").when(F.col("_s") == 1, "val").otherwise("test")).drop("_s")
 
 
 def partition_iid(df: DataFrame, clients: int = 5, id_col: str = "row_id", seed: int = 42,
                   out: str = "client_id") -> DataFrame:
     """Near-equal random chunks; the first ``n mod K`` chunks hold one row more."""
-    ranked = hash_rank(df, id_col, seed, (), "_r", "_n")
     base, extra = F.floor(F.col("_n") / clients), F.col("_n") % clients
-    at = F.col("_r") - 1
-    big = extra * (base + 1)
-    client = F.when(at < big, F.floor(at / (base + 1))).otherwise(
-        extra + F.floor((at - big) / F.greatest(base, F.lit(1))))
-    return ranked.withColumn(out, client.cast("int")).drop("_r", "_n")
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(clients - 1)), lambda j: j * base + F.least(j, extra)) if clients > 1 else F.array()
+    return hash_segments(df, id_col, seed, cuts, clients - 1, (), out)
 
 
 def dirichlet_shares(classes: Sequence, alpha: float, clients: int, seed: int) -> dict:
@@ -47,12 +42,13 @@ def dirichlet_shares(classes: Sequence, alpha: float, clients: int, seed: int) -
 def partition_by_shares(df: DataFrame, shares: dict, id_col: str = "row_id", label: str = "label",
                         seed: int = 42, out: str = "client_id") -> DataFrame:
     """D3 core: cut each class at ``floor(cumulative share * class size)`` along its hash rank."""
-    ranked = hash_rank(df, id_col, seed, [label], "_r", "_n")
     cuts = F.lit(None).cast("array<double>")
     for value, cumulative in shares.items():
         cuts = F.when(F.col(label) == F.lit(value), F.lit(list(cumulative)).cast("array<double>")).otherwise(cuts)
-    client = F.size(F.filter(cuts, lambda s: F.floor(s * F.col("_n")) <= F.col("_r") - 1))
-    return ranked.withColumn(out, client.cast("int")).drop("_r", "_n")
+    most = max((len(c) for c in shares.values()), default=0)
+    cut = hash_segments(df, id_col, seed, F.transform(cuts, lambda s: F.floor(s * F.col("_n"))), most, [label], "_s")
+    known = F.col(label).isin(list(shares))
+    return cut.withColumn(out, F.when(known, F.col("_s"))).drop("_s")
 
 
 def partition_dirichlet(df: DataFrame, alpha: float | None, clients: int = 5, id_col: str = "row_id",
@@ -110,28 +106,27 @@ def partition_integrity(assignment: DataFrame, rows: DataFrame, id_col: str = "r
 def shuffled_split(df: DataFrame, ratio: float = 0.75, id_col: str = "row_id", seed: int = 42,
                    out: str = "split") -> DataFrame:
     """Plain shuffled train/test split at ``int(n * ratio)``."""
-    ranked = hash_rank(df, id_col, seed, (), "_r", "_n")
-    train = F.col("_r") <= F.floor(F.col("_n") * F.lit(float(ratio)))
-    return ranked.withColumn(out, F.when(train, "train").otherwise("test")).drop("_r", "_n")
+    cut = hash_segments(df, id_col, seed, F.array(F.floor(F.col("_n") * F.lit(float(ratio)))), 1, (), "_s")
+    return cut.withColumn(out, F.when(F.col("_s") == 0, "train").otherwise("test")).drop("_s")
 
 
 def partition_equal(df: DataFrame, clients: int, id_col: str = "row_id", seed: int = 42,
                     val_ratio: float = 0.0) -> DataFrame:
     """Equal-length chunks, the remainder to the last client; optional val share per client."""
-    ranked = hash_rank(df, id_col, seed, (), "_r", "_n")
     size = F.greatest(F.floor(F.col("_n") / clients), F.lit(1))
-    out = ranked.withColumn(
-        "client_id", F.least(F.floor((F.col("_r") - 1) / size), F.lit(clients - 1)).cast("int")
-    ).drop("_r", "_n")
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(clients - 1)), lambda j: j * size) if clients > 1 else F.array()
+    out = hash_segments(df, id_col, seed, cuts, clients - 1, (), "client_id")
     if val_ratio <= 0:
         return out.withColumn("split", F.lit("train"))
-    inner = hash_rank(out, id_col, f"{seed}-val", ["client_id"], "_r", "_n")
-    in_val = F.col("_r") <= F.floor(F.col("_n") * F.lit(float(val_ratio)))
-    return inner.withColumn("split", F.when(in_val, "val").otherwise("train")).drop("_r", "_n")
+    inner = hash_segments(out, id_col, f"{seed}-val", F.array(F.floor(F.col("_n") * F.lit(float(val_ratio)))), 1, ["client_id"], "_s")
+    return inner.withColumn("split", F.when(F.col("_s") == 0, "val").otherwise("train")).drop("_s")
 
 
-def _top_by_hash(df: DataFrame, id_col: str, seed, keys: Sequence[str], keep: Column) -> DataFrame:
-    return hash_rank(df, id_col, seed, keys, "_r", "_n").where(keep).drop("_r", "_n")
+def _first_by_hash(df: DataFrame, id_col: str, seed, keys: Sequence[str], quota: Column, always: Column | None = None) -> DataFrame:
+    """The first ``quota`` rows of each group in hash order, and those for which ``always`` holds."""
+    cut = hash_segments(df, id_col, seed, F.array(quota), 1, keys, "_s")
+    first = F.col("_s") == 0
+    return cut.where(first if always is None else first | always).drop("_s")
 
 
 def keep_positives(df: DataFrame, n_negatives: int | None, id_col: str = "row_id",
@@ -139,7 +134,7 @@ def keep_positives(df: DataFrame, n_negatives: int | None, id_col: str = "row_id
     """Every positive and at most ``n_negatives`` negatives (None keeps all)."""
     if n_negatives is None:
         return df
-    return _top_by_hash(df, id_col, seed, [label], (F.col(label) == 1) | (F.col("_r") <= n_negatives))
+    return _first_by_hash(df, id_col, seed, [label], F.lit(n_negatives), F.col(label) == 1)
 
 
 def balanced_subsample(df: DataFrame, cap: int | None, id_col: str = "row_id",
@@ -147,7 +142,7 @@ def balanced_subsample(df: DataFrame, cap: int | None, id_col: str = "row_id",
     """At most ``cap`` positives (None: all) and as many negatives."""
     counted = df.select(F.count_if(F.col(label) == 1).alias("n")).scalar()
     most = counted if cap is None else F.least(counted, F.lit(cap))
-    return _top_by_hash(df, id_col, seed, [label], F.col("_r") <= most)
+    return _first_by_hash(df, id_col, seed, [label], most)
 
 
 def prevalence_sample(df: DataFrame, n: int = 500, id_col: str = "row_id", label: str = "label",
@@ -156,18 +151,18 @@ def prevalence_sample(df: DataFrame, n: int = 500, id_col: str = "row_id", label
     share = df.select(F.avg(F.col(label).cast("double")).alias("p")).scalar()
     n_pos = F.greatest(F.lit(1), F.rint(F.lit(float(n)) * share).cast("int"))
     quota = F.when(F.col(label) == 1, n_pos).otherwise(F.lit(n) - n_pos)
-    return _top_by_hash(df, id_col, seed, [label], F.col("_r") <= quota)
+    return _first_by_hash(df, id_col, seed, [label], quota)
 
 
 def uniform_sample(df: DataFrame, n: int, id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """``n`` rows chosen by hash order."""
-    return _top_by_hash(df, id_col, seed, (), F.col("_r") <= n)
+    return _first_by_hash(df, id_col, seed, (), F.lit(n))
 
 
 def client_background(df: DataFrame, n: int = 100, id_col: str = "row_id",
                       client: str | None = "client_id", seed: int = 43) -> DataFrame:
     """At most ``n`` rows per client, or ``n`` rows of one pool when there are no clients."""
-    return _top_by_hash(df, id_col, seed, [client] if client else [], F.col("_r") <= n)
+    return _first_by_hash(df, id_col, seed, [client] if client else [], F.lit(n))
 
 
 def background_centroids(df: DataFrame, features: Sequence[str], k: int = 10, seed: int = 42) -> DataFrame:

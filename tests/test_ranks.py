@@ -52,3 +52,17 @@ def test_quantiles(spark):
     for k, part in pdf.groupby("k"):
         np.testing.assert_allclose(got.loc[k, ["q1", "m", "t"]].to_numpy(dtype=float),
                                    np.quantile(part["v"], [0.25, 0.5, 0.999]), rtol=0, atol=1e-12)
+
+
+def test_segments_agree_with_ranks_and_leave_rows_in_place(spark):
+    from rareclass.functions.ranks import hash_segments
+    rows = [(i, None if i % 11 == 0 else i % 3, "w" * 40) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, k int, wide string")
+    for keys, cuts in ((["k"], [0, 1, 7, 7, 200, 5000]), ((), [0, 350, 699, 700, 701]), (["k"], [])):
+        segment = hash_segments(df, "id", 5, F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), len(cuts), keys)
+        ranked = {r["id"]: r["hash_rank"] for r in hash_rank(df, "id", 5, keys).collect()}
+        got = {r["id"]: r["segment"] for r in segment.collect()}
+        assert got == {i: sum(c < r for c in cuts) for i, r in ranked.items()}
+    plan = segment._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("wide" in line for line in plan.splitlines() if "Window" in line or "Aggregate" in line or "Sort" in line)
+    assert hash_segments(df.limit(0), "id", 5, F.array(F.lit(3)), 1, ["k"]).count() == 0
