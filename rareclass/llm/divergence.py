@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,90 +25,87 @@ _END = "\0"
 
 
 def _split(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, source, terms): the terms of each document, with their language in front, dealt by a hash of the term."""
+    """(gid, terms_0, terms_1, ...): the terms of each document, with their language in front, dealt to columns by a hash of the term."""
     bounded_batches(texts.sparkSession)
+    names = [f"terms_{s}" for s in range(shards)]
 
-    def rows(found: list[tuple[int, int, list[bytes]]], batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = pa.array([i for i, _, _ in found], pa.int64())
-        ends = np.cumsum([0, *(len(t) for _, _, t in found)], dtype=np.int32)
-        flat = pa.array([t for _, _, terms in found for t in terms], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([
-            batch.column("lang").take(at), batch.column("source").take(at), pa.ListArray.from_arrays(pa.array(ends), flat),
-            pa.array([s for _, s, _ in found], pa.int32())], names=[*GROUP, "terms", "shard"])
+    def column(lists: list[list[bytes]]) -> pa.Array:
+        ends = np.cumsum([0, *(len(terms) for terms in lists)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array([t for terms in lists for t in terms], pa.binary()).cast(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in slices([len(t) for t in texts_], 1 << 20):
-                found = []
+                dealt: list[list[list[bytes]]] = [[[] for _ in range(a, b)] for _ in range(shards)]
                 for i in range(a, b):
                     front = f"{langs[i]}{_END}".encode()
-                    dealt: list[list[bytes]] = [[] for _ in range(shards)]
-                    add = [terms.append for terms in dealt]
+                    add = [lists[i - a].append for lists in dealt]
                     for t in texts_[i].translate(_FOLD).split():
                         add[zlib.crc32(t) % shards](front + t)
-                    found += [(i, s, terms) for s, terms in enumerate(dealt) if terms]
-                if found:
-                    yield rows(found, batch)
+                yield pa.RecordBatch.from_arrays([batch.column("gid").slice(a, b - a), *map(column, dealt)], names=["gid", *names])
 
-    return texts.mapInArrow(run, "lang string, source string, terms array<string>, shard int")
+    return texts.mapInArrow(run, ", ".join(["gid long", *(f"{n} array<string>" for n in names)]))
 
 
 def _group_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, source, index, n): sparse document vectors summed per group in whole numbers; tasks hold sums, not dense rows."""
+    """(gid, index, n): sparse document vectors summed per group in whole numbers; tasks hold sums, not dense rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], int] = {}
+        groups: dict[int, int] = {}
         keys, sums, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             vector = batch.column("vector")
             lists, values = vector.field("indices"), vector.field("values").flatten().to_numpy()
-            own = np.array([groups.setdefault(g, len(groups)) for g in zip(*(batch.column(c).to_pylist() for c in GROUP), strict=True)], np.int64)
+            own = np.array([groups.setdefault(g, len(groups)) for g in batch.column("gid").to_pylist()], np.int64)
             key = np.repeat(own, lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy().astype(np.int64)
-            parts.append(summed(key, values.astype(np.int64)))
-            waiting += len(parts[-1][0])
+            parts.append((key, values.astype(np.int64)))
+            waiting += len(key)
             if waiting > 1 << 20:
                 keys, sums = summed(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([sums, *(n for _, n in parts)]))
                 parts, waiting = [], 0
         keys, sums = summed(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([sums, *(n for _, n in parts)]))
-        names = list(groups)
+        names = np.array(list(groups), dtype=np.int64)
         for a in range(0, len(keys), 1 << 16):
-            own = keys[a:a + (1 << 16)] >> 32
-            yield pa.RecordBatch.from_arrays([
-                pa.array([names[g][0] for g in own.tolist()], pa.string()), pa.array([names[g][1] for g in own.tolist()], pa.string()),
-                pa.array((keys[a:a + (1 << 16)] & 0xFFFFFFFF).astype(np.int32)), pa.array(sums[a:a + (1 << 16)])], names=[*GROUP, "index", "n"])
+            own = keys[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[own >> 32]), pa.array((own & 0xFFFFFFFF).astype(np.int32)), pa.array(sums[a:a + (1 << 16)])],
+                                             names=["gid", "index", "n"])
 
-    return vectors.select(*GROUP, "vector").mapInArrow(run, "lang string, source string, index int, n long") \
-        .groupBy(*GROUP, "index").agg(F.sum("n").alias("n"))
+    return vectors.select("gid", "vector").mapInArrow(run, "gid long, index int, n long").groupBy("gid", "index").agg(F.sum("n").alias("n"))
 
 
-def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None) -> DataFrame:
-    """(lang, source, term, n) for every kept term that a group holds; a lang keeps the terms of at least ``min_docs`` of its documents.
+def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, counts, terms): lang, source, gid of every group; gid, tid, n of every kept term that a group holds; tid, term.
 
-    A ``CountVectorizer`` without a limit on its vocabulary counts documents and gives the exact sparse vector of each. Terms carry their
-    language, so one fit counts every language apart. Spark keeps a fitted vocabulary on the driver, so terms are dealt to ``shards`` fits by a
-    hash: four up to 1 GiB of text, then more with the power 0.6 of it, as vocabularies grow. Texts are cut once, all fits read their part.
+    A lang keeps the terms of at least ``min_docs`` of its documents. A ``CountVectorizer`` without a limit on its vocabulary counts documents and
+    gives the exact sparse vector of each. Terms carry their language, so one fit counts every language apart. Spark keeps a fitted vocabulary on
+    the driver, so terms are dealt to ``shards`` fits by a hash: four up to 1 GiB of text, then more with the power 0.6 of it, as vocabularies
+    grow. Texts are cut once; each fit reads its column. Groups and terms travel as numbers.
     """
     spark = docs.sparkSession
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP],
-                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).withColumn("gid", F.xxhash64(*GROUP))
+    groups = stored(texts.select(*GROUP, "gid").distinct(), "divergence-names")
+    if groups.count() != groups.select("gid").distinct().count():
+        raise RuntimeError("two groups share a 64-bit hash")
     if shards is None:
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         shards = math.ceil(4 * max(1.0, size / 2**30) ** 0.6)
-    cut, out = scratch(spark, "divergence-terms"), scratch(spark, "divergence-counts")
-    _split(texts, shards).write.partitionBy("shard").parquet(cut)
-    schema = "lang string, source string, terms array<string>, shard int"
+    cut = stored(_split(texts, shards), "divergence-terms")
+    counts, names = scratch(spark, "divergence-counts"), scratch(spark, "divergence-vocabulary")
     # keeps a vocabulary from being empty, which CountVectorizer refuses
     filler = spark.range(min_docs).select(F.array(F.lit(_END)).alias("terms"))
     for shard in range(shards):
-        own = spark.read.schema(schema).parquet(cut).filter(F.col("shard") == shard)
+        own = cut.select("gid", F.col(f"terms_{shard}").alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1) \
             .fit(own.select("terms").unionByName(filler))
-        terms = model.vocabulary
-        named = spark.createDataFrame(pa.table({"index": pa.array(np.arange(len(terms), dtype=np.int32)), "term": pa.array(terms, pa.string())}))
-        _group_sums(model.transform(own)).join(named, "index").select(*GROUP, F.substring_index("term", _END, -1).alias("term"), "n") \
-            .write.parquet(f"{out}/shard={shard}")
-    return spark.read.schema("lang string, source string, term string, n long, shard int").parquet(out).drop("shard")
+        terms = pa.array(model.vocabulary, pa.string())
+        spark.createDataFrame(pa.table({"tid": pa.array(np.arange(len(terms)) + (shard << 32)), "term": terms})) \
+            .select("tid", F.substring_index("term", _END, -1).alias("term")).write.parquet(f"{names}/{shard}")
+        _group_sums(model.transform(own)).select("gid", (F.col("index") + F.lit(shard << 32)).alias("tid"), "n").write.parquet(f"{counts}/{shard}")
+    folders = [str(shard) for shard in range(shards)]
+    return (groups, spark.read.schema("gid long, tid long, n long").parquet(*(f"{counts}/{f}" for f in folders)),
+            spark.read.schema("tid long, term string").parquet(*(f"{names}/{f}" for f in folders)))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -139,7 +135,7 @@ def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _shared_terms(rows: DataFrame, tile: int, cell_rows: int = 1 << 17) -> DataFrame:
     """(lang, a, b, value), a < b: what the terms that both groups hold add to the value found from each group's own counts.
 
-    Rows are lang, term, no (of the group), last (the lang's highest), p, z (the share of a term that the group lacks). Groups are cut into tiles of ``tile`` numbers,
+    Rows are lang, tid (of the term), no (of the group), last (the lang's highest), p, z (the share of a term that the group lacks). Groups are cut into tiles of ``tile`` numbers,
     and a row goes to each pair of tiles that holds its own; terms are cut into cells of about ``cell_rows`` rows. A task sees one cell of one
     pair of tiles and returns a sum per pair of groups, never pairs per term.
     """
@@ -147,13 +143,13 @@ def _shared_terms(rows: DataFrame, tile: int, cell_rows: int = 1 << 17) -> DataF
     spread = rows.withColumn("_own", _div(F.col("no"), F.lit(tile)).cast("int")) \
         .withColumn("_other", F.explode(F.sequence(F.lit(0), _div(F.col("last"), F.lit(tile)).cast("int")))) \
         .select("lang", F.least("_own", "_other").alias("ta"), F.greatest("_own", "_other").alias("tb"),
-                F.pmod(F.xxhash64("term"), F.lit(cells)).alias("cell"), "term", "no", "p", "z")
+                F.pmod(F.xxhash64("tid"), F.lit(cells)).alias("cell"), "tid", "no", "p", "z")
 
     def found(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("term", "ascending"), ("no", "ascending")]).combine_chunks()
         lang, ta, tb = (table.column(c)[0].as_py() for c in ("lang", "ta", "tb"))
-        term = pc.rank(table.column("term"), tiebreaker="dense").to_numpy()
-        no, p, z = (table.column(c).to_numpy().astype(np.int64) for c in ("no", "p", "z"))
+        term, no, p, z = (table.column(c).to_numpy().astype(np.int64) for c in ("tid", "no", "p", "z"))
+        order = np.lexsort((no, term))
+        term, no, p, z = term[order], no[order], p[order], z[order]
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step = np.arange(len(term)), 1
         while len(at := at[at + step < len(term)]) and len(at := at[term[at] == term[at + step]]):
@@ -185,24 +181,26 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shards: int | None
     Null text, lang and source are ''. Groups without kept terms have pairs too; a lang without kept terms has pairs of value 0.
     Repeated rows are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
-    counts = stored(term_counts(docs, min_docs, shards), "divergence-named")
-    groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP]).distinct()
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
+    groups, counts, terms = term_counts(docs, min_docs, shards)
+    totals = counts.groupBy("gid").agg(F.sum("n").alias("total"))
+    kept = counts.groupBy("tid").agg(F.min("gid").alias("gid"), F.sum("n").alias("lang_n"))  # any group of the term's lang
+    langs = kept.join(groups, "gid").groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     zero = F.lit(0).cast("long")
-    known = groups.join(langs, "lang", "left").join(totals, GROUP, "left").na.fill(0, ["terms", "lang_total", "total"]) \
+    known = groups.join(langs, "lang", "left").join(totals, "gid", "left").na.fill(0, ["terms", "lang_total", "total"]) \
         .withColumn("no", F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1) \
         .withColumn("last", F.max("no").over(W.partitionBy("lang"))) \
         .withColumn("z", F.when(F.col("terms") > 0, share(zero, F.col("total"), F.col("terms"))).otherwise(1))
     known = stored(known, "divergence-groups")
-    shares = stored(counts.join(known, GROUP).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms"))), "divergence-shares")
+    shares = stored(counts.join(known, "gid").withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
+                    .select("lang", "gid", "tid", "no", "last", "n", "p", "z", "terms", "lang_total"), "divergence-shares")
 
-    against = shares.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.max("lang_total").alias("_total"), F.max("terms").alias("_terms")) \
-        .select("lang", "term", share(F.col("lang_n"), F.col("_total"), F.col("_terms")).alias("q"))
+    against = shares.groupBy("tid").agg(F.sum("n").alias("_n"), F.max("lang_total").alias("_total"), F.max("terms").alias("_terms")) \
+        .select("tid", share(F.col("_n"), F.col("_total"), F.col("_terms")).alias("q"))
     best = W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
-    by_term = shares.join(against, ["lang", "term"]).filter("p > q") \
-        .select(*GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value")) \
+    # all that tie with the last one stay until their names decide
+    near = shares.select("gid", "tid", "p").join(against, "tid").filter("p > q").select("gid", "tid", gap(F.col("p"), F.col("q")).alias("value")) \
+        .withColumn("_r", F.rank().over(W.partitionBy("gid").orderBy(F.desc("value")))).filter(F.col("_r") <= top)
+    by_term = near.join(terms, "tid").join(groups, "gid").select(*GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), "value") \
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
     own = shares.groupBy("lang", "no", "p").agg(F.count("*").alias("h"))
@@ -213,7 +211,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, shards: int | None
     sides = mine.join(other, "lang").filter("a <> b").groupBy("lang", "a", "b", "za", "zb", "terms").agg(
         F.coalesce(F.sum(F.col("h") * (gap(F.col("p"), F.col("zb")) - both_lack)), zero).alias("side")) \
         .select("lang", "a", "b", (F.col("side") + F.when(F.col("a") < F.col("b"), F.col("terms") * both_lack).otherwise(0)).alias("value"))
-    parts = sides.unionByName(_shared_terms(shares.select("lang", "term", "no", "last", "p", "z"), tile))
+    parts = sides.unionByName(_shared_terms(shares.select("lang", "tid", "no", "last", "p", "z"), tile))
     ordered = parts.unionByName(parts.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")) \
         .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     by_pair = ordered.join(known.select("lang", F.col("no").alias("a"), "source"), ["lang", "a"]) \
