@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from rareclass.llm.hnsw import nearest
+import pytest
+
+from rareclass.llm.hnsw import BEAM, SHARD_ROWS, build, nearest, search
 
 SCHEMA = "vec_id long, embedding array<float>, score double"
 
@@ -57,3 +59,18 @@ def test_small_tables_are_exact(spark):
     got = by_query(nearest(spark.createDataFrame(rows, SCHEMA)))
     assert got == {0: [(1, 20, 1.0), (2, 3, 0.5), (3, 6, -1.0)], 20: [(1, 0, 1.0), (2, 3, 0.5), (3, 6, -1.0)]}
     assert nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_a_full_shard(clustered):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((SHARD_ROWS, 64))
+    if clustered:
+        x[:SHARD_ROWS // 3] = x[0] + 0.05 * rng.standard_normal((SHARD_ROWS // 3, 64))
+    graph, order = build(x, np.arange(SHARD_ROWS))
+    nodes = x[order]
+    queries = nodes[rng.choice(SHARD_ROWS, 200, replace=False)]
+    found, _ = search(graph, queries, 21, BEAM)
+    exact = queries @ nodes.T
+    floor = np.sort(exact, axis=1)[:, -21] - 1e-9
+    assert np.mean([(exact[i, f[f >= 0]] >= floor[i]).sum() / 21 for i, f in enumerate(found)]) >= 0.95
