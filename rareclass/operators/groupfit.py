@@ -1,149 +1,42 @@
-"""Per-client model fitting, group-weighted combination and round histories.
-
-Rows never move: each optimiser step is one job in which every partition sums its clients' gradients, and
-only per-client sums are combined. Parameters (clients x features numbers) travel as literals.
-"""
+"""Per-client model fitting, group-weighted combination and round histories."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rareclass.functions.ranks import null_safe_join, running_totals
 from rareclass.operators import metrics as m
+from rareclass.operators.solver import solve_clients
 
 LOGISTIC_C = 1.0
-HINGE_ALPHA, HINGE_PASSES = 1e-4, 5
+HINGE_ALPHA = 1e-4
 PATIENCE = 10
-GROUP_PARAMETERS = 5_000_000  # doubles per step in one process (parameters, and curvature for Newton): 40 MB
 
 
 # ------------------------------------------------------------------ fitting
 
 
-@dataclass
-class ClientSums:
-    n: float
-    positives: float
-    loss: float
-    grad: np.ndarray
-    hess: np.ndarray | None
-
-
-def _client_sums(rows: DataFrame, params: dict, d: int, kind: str) -> dict:
-    """Loss, gradient (and Hessian for the logistic loss) sums of every client at its parameters."""
-    second = kind == "logistic"
-    size = 3 + (d + 1) + ((d + 1) ** 2 if second else 0)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for c, part in batch.groupby("c", sort=False):
-                x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
-                y = part["y"].to_numpy(dtype=np.float64)
-                z = x @ params[c]
-                out = sums.setdefault(c, np.zeros(size))
-                out[0] += len(part)
-                out[1] += y.sum()
-                if second:
-                    mu = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
-                    out[2] += (np.logaddexp(0.0, z) - y * z).sum()
-                    out[3:4 + d] += x.T @ (mu - y)
-                    out[4 + d:] += (x.T @ (x * (mu * (1 - mu))[:, None])).ravel()
-                else:
-                    s = 2.0 * y - 1.0
-                    short = 1.0 - s * z
-                    active = short > 0
-                    out[2] += short[active].sum()
-                    out[3:4 + d] += x[active].T @ (-s[active])
-        for c, v in sums.items():
-            yield pd.DataFrame({"c": c, "pos": np.arange(size), "v": v})
-
-    found: dict = {}
-    for r in rows.mapInPandas(partial, "c string, pos int, v double").groupBy("c", "pos").agg(
-            F.sum("v").alias("v")).toLocalIterator():
-        found.setdefault(r["c"], np.zeros(size))[r["pos"]] = r["v"]
-    return {c: ClientSums(v[0], v[1], v[2], v[3:4 + d], v[4 + d:].reshape(d + 1, d + 1) if second else None)
-            for c, v in found.items()}
-
-
-def _fit_rows(df: DataFrame, client: str, vec: str, label: str) -> DataFrame:
-    return df.select(F.col(client).cast("string").alias("c"), F.col(vec).cast("array<double>").alias("x"),
-                     F.col(label).cast("double").alias("y"))
-
-
 def fit_clients(df: DataFrame, clients: Sequence, d: int, kind: str = "logistic", start: dict | None = None,
                 steps: int | None = None, tol: float = 1e-8, c: float = LOGISTIC_C, alpha: float = HINGE_ALPHA,
                 client: str = "client_id", vec: str = "features", label: str = "label") -> tuple[dict, dict]:
-    """All clients' models at once, warm-started; returns (weights, rows used) per client.
+    """The named clients' models, warm-started, as (weights, rows used) per client in the driver.
 
-    ``logistic``: Newton steps on half the squared weights plus C times the summed log loss, intercept free, until no weight
-    moves by ``tol``; ``steps`` stops earlier on purpose (a step that is halved counts as well).
-    ``hinge``: ``steps`` (5 unless given) full passes of subgradient descent on the mean hinge loss plus alpha/2 squared weights.
-    A client with one class keeps the weights it came with. More clients than one process should hold the sums of are
-    fitted in groups.
+    For few clients; :func:`rareclass.operators.solver.solve_clients` gives the same as a table for any number. ``logistic`` and ``hinge`` are
+    solved until no weight moves by ``tol``; ``steps`` stops earlier on purpose. A client with one class, or without rows, keeps the
+    weights it came with.
     """
-    per_client = (d + 1) * (d + 1 if kind == "logistic" else 1)
     names = [str(k) for k in clients]
-    group = max(1, GROUP_PARAMETERS // per_client)
-    rows = _fit_rows(df, client, vec, label).persist(StorageLevel.MEMORY_AND_DISK)
-    weights: dict = {}
-    counts: dict = {}
-    try:
-        for a in range(0, len(names), group):
-            own = names[a:a + group]
-            part = rows if len(names) <= group else rows.join(
-                rows.sparkSession.createDataFrame([(k,) for k in own], "c string"), "c", "left_semi")
-            w, n = _fit_group(part, own, d, kind, start, steps, tol, c, alpha)
-            weights |= w
-            counts |= n
-    finally:
-        rows.unpersist()
-    return weights, counts
-
-
-def _fit_group(rows: DataFrame, names: list[str], d: int, kind: str, start: dict | None, steps: int | None, tol: float,
-               c: float, alpha: float) -> tuple[dict, dict]:
-    w = {k: np.zeros(d + 1) if start is None else np.array(start[k], dtype=float) for k in names}
-    prior = {k: (w[k], np.inf) for k in names}
-    pen = np.append(np.ones(d), 0.0)
-    limit = HINGE_PASSES if steps is None and kind == "hinge" else steps
-    counts: dict = {}
-    open_, t = set(names), 0
-    while open_ and (limit is None or t < limit):
-        t += 1
-        sums = _client_sums(rows, w, d, kind)
-        counts = {k: s.n for k, s in sums.items()}
-        for k in list(open_):
-            s = sums.get(k)
-            if s is None or s.positives in (0.0, s.n):
-                open_.discard(k)
-                continue
-            if kind == "hinge":
-                grad = s.grad / s.n + alpha * pen * w[k]
-                w[k] = w[k] - grad / np.sqrt(t)
-                continue
-            loss = 0.5 * float((pen * w[k] ** 2).sum()) + c * s.loss
-            if loss > prior[k][1] + 1e-10 * abs(prior[k][1]):  # overshot: halve the step
-                w[k] = 0.5 * (w[k] + prior[k][0])
-                if np.abs(w[k] - prior[k][0]).max() < tol:
-                    open_.discard(k)
-                continue
-            grad = pen * w[k] + c * s.grad
-            step = np.linalg.lstsq(np.diag(pen) + c * s.hess, grad, rcond=None)[0]
-            prior[k] = (w[k].copy(), loss)
-            w[k] = w[k] - step
-            if np.abs(step).max() < tol:
-                open_.discard(k)
-    return w, counts
+    own = df.where(F.col(client).cast("string").isin(names))
+    begin = df.sparkSession.createDataFrame([(k, [float(v) for v in start[k]]) for k in names], "c string, w array<double>") if start else None
+    found = solve_clients(own, d, kind, begin, steps, tol, c, alpha, client, vec, label).collect()
+    weights = {k: np.zeros(d + 1) if start is None else np.array(start[k], dtype=float) for k in names}
+    return weights | {r["c"]: np.array(r["w"]) for r in found}, {r["c"]: float(r["rows"]) for r in found}
 
 
 def weights_table(spark, weights: dict, layer: str = "linear", **columns) -> DataFrame:

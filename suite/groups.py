@@ -8,11 +8,12 @@ from rareclass.functions.hashing import hash_uniform
 from rareclass.functions.ranks import running_totals
 from rareclass.operators import groupfit as r
 from rareclass.operators import trees as t
+from rareclass.operators.solver import solve_clients
 from rareclass.operators.splits import stratified_split
 from rareclass.plans.grouped import grouped_run, round_weights
 from rareclass.session import cut_lineage
 from suite.common import SCORED, curve_sql, md5_uniform, rounded, scored, split_sql, table
-from suite.explanations import explained
+from suite.explanations import EXPLAINED, explained
 from suite.scores import AT_CUT, COUNTS, f1_cte, point_cte
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -141,9 +142,15 @@ def local_fits(kind):
     return run
 
 
-def grouped(kind):
+def two_features(spark, sf_dir):
+    """R1 as a table: the weights of every client on the first two features."""
+    rows = explained(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
+    return rounded(solve_clients(rows, 2).select(F.col("c").alias("client_id"), "rows", F.posexplode("w").alias("pos", "w")), 6)
+
+
+def grouped(kind, steps=None, **how):
     def run(spark, sf_dir):
-        return rounded(grouped_run(split_clients(spark, sf_dir), SEGMENTS, 3, kind, rounds=20)[0], 6)
+        return rounded(grouped_run(split_clients(spark, sf_dir), SEGMENTS, 3, kind, rounds=20, steps=steps, **how)[0], 6)
     return run
 
 
@@ -207,6 +214,7 @@ def batch_scores(spark, sf_dir):
 
 QUERIES = {
     "r1_local_logistic": local_fits("logistic"),
+    "r1_two_features": two_features,
     "r2_local_hinge": local_fits("hinge"),
     "r3_keep_incoming": kept,
     "r4_average_by_rows": lambda s, d: rounded(r.combine_parameters(params(s, d), updates(s, d))),
@@ -217,6 +225,7 @@ QUERIES = {
     "r8_local_auprc": lambda s, d: rounded(r.local_auprc(scored(s, d, "toxic"), "source")),
     "r10_grouped_run_logistic": grouped("logistic"),
     "r10_grouped_run_hinge": grouped("hinge"),
+    "r10_grouped_run_accuracy": grouped("logistic", weighting="accuracy"),
     "r11_first_splits": first_splits(),
     "r11_first_splits_by_level": first_splits(task_cells=0),
     "r11_r12_best_booster": best_booster,
@@ -264,7 +273,22 @@ best AS (SELECT * FROM w WHERE gain > 1e-9 QUALIFY ROW_NUMBER() OVER (PARTITION
 SELECT client_id, coalesce(feature, -1) AS feature, round(cut, 9) AS cut, round(-0.1::DOUBLE * gl / (hl + 1), 9) AS below, round(-0.1::DOUBLE * (g - gl) / (h - hl + 1), 9) AS above
 FROM (SELECT client_id FROM x GROUP BY client_id HAVING MIN(y) <> MAX(y)) LEFT JOIN best USING (client_id)"""
 
+NEWTON = f"""WITH RECURSIVE x AS (SELECT client_id, label::DOUBLE AS y, features[1] AS a, features[2] AS b FROM ({EXPLAINED})),
+nw AS (SELECT 0 AS it, client_id, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 0.0::DOUBLE AS c FROM x GROUP BY client_id
+ UNION ALL SELECT it + 1, client_id,
+  u - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / det,
+  v - (h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / det,
+  c - (h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / det
+ FROM (SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS det FROM (
+  SELECT it, client_id, u, v, c, u + SUM((m - y) * a) AS g1, v + SUM((m - y) * b) AS g2, SUM(m - y) AS g3, 1 + SUM(s * a * a) AS h11, SUM(s * a * b) AS h12,
+   SUM(s * a) AS h13, 1 + SUM(s * b * b) AS h22, SUM(s * b) AS h23, SUM(s) AS h33
+  FROM (SELECT *, m * (1 - m) AS s FROM (SELECT nw.*, y, a, b, 1 / (1 + exp(-(u * a + v * b + c))) AS m FROM nw JOIN x USING (client_id)))
+  GROUP BY it, client_id, u, v, c)) WHERE it < 25),
+n AS (SELECT client_id, COUNT(*) AS rows FROM x GROUP BY client_id)
+SELECT client_id, rows, i::INT AS pos, round([u, v, c][i + 1], 6) + 0.0 AS w FROM nw JOIN n USING (client_id), range(3) t(i) WHERE it = 25"""
+
 ORACLES = {
+    "r1_two_features": NEWTON,
     "r11_first_splits": FIRST_SPLITS,
     "r11_first_splits_by_level": FIRST_SPLITS,
     "r3_keep_incoming": """SELECT client_id, CASE WHEN lo < hi THEN mx ELSE mn END AS w, lo = hi AS skipped FROM (
