@@ -48,8 +48,11 @@ def _split(texts: DataFrame, shards: int) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(["gid long", *(f"{n} array<string>" for n in names)]))
 
 
-def _group_sums(vectors: DataFrame) -> DataFrame:
-    """(gid, index, n): sparse document vectors summed per group in whole numbers; tasks hold sums, not dense rows."""
+def _group_sums(vectors: DataFrame, cells: int) -> DataFrame:
+    """(gid, index, n): sparse document vectors summed per group in whole numbers; tasks hold sums, not dense rows.
+
+    Sums of a task travel as arrays, one for each of ``cells`` parts of the vocabulary, and are merged part by part.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, int] = {}
         keys, sums, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -66,12 +69,22 @@ def _group_sums(vectors: DataFrame) -> DataFrame:
                 parts, waiting = [], 0
         keys, sums = summed(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([sums, *(n for _, n in parts)]))
         names = np.array(list(groups), dtype=np.int64)
-        for a in range(0, len(keys), 1 << 16):
-            own = keys[a:a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[own >> 32]), pa.array((own & 0xFFFFFFFF).astype(np.int32)), pa.array(sums[a:a + (1 << 16)])],
-                                             names=["gid", "index", "n"])
+        part = (keys & 0xFFFFFFFF) % cells
+        for cell in range(cells if len(keys) else 0):
+            own = keys[part == cell]
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([x.astype("<i8").tobytes()]) for x in (
+                    names[own >> 32], own & 0xFFFFFFFF, sums[part == cell]))], names=["cell", "gid", "index", "n"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        gid, index, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("gid", "index", "n"))
+        order = np.lexsort((index, gid))
+        gid, index = gid[order], index[order]
+        first = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (index[1:] != index[:-1]))))
+        return pa.table({"gid": gid[first], "index": index[first], "n": np.add.reduceat(n[order], first)})
 
-    return vectors.select("gid", "vector").mapInArrow(run, "gid long, index int, n long").groupBy("gid", "index").agg(F.sum("n").alias("n"))
+    return vectors.select("gid", "vector").mapInArrow(run, "cell int, gid binary, index binary, n binary") \
+        .groupBy("cell").applyInArrow(merge, "gid long, index long, n long")
 
 
 def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,7 +115,7 @@ def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None)
         terms = pa.array(model.vocabulary, pa.string())
         spark.createDataFrame(pa.table({"tid": pa.array(np.arange(len(terms)) + (shard << 32)), "term": terms})) \
             .select("tid", F.substring_index("term", _END, -1).alias("term")).write.parquet(f"{names}/{shard}")
-        _group_sums(model.transform(own)).select("gid", (F.col("index") + F.lit(shard << 32)).alias("tid"), "n").write.parquet(f"{counts}/{shard}")
+        _group_sums(model.transform(own), max(8, len(terms) // 4096 + 1)).select("gid", (F.col("index") + F.lit(shard << 32)).alias("tid"), "n").write.parquet(f"{counts}/{shard}")
     folders = [str(shard) for shard in range(shards)]
     return (groups, spark.read.schema("gid long, tid long, n long").parquet(*(f"{counts}/{f}" for f in folders)),
             spark.read.schema("tid long, term string").parquet(*(f"{names}/{f}" for f in folders)))
