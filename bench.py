@@ -16,7 +16,7 @@ HEADLINE = (
     "o1_smote", "o2_adasyn", "g14_nearest_segments", "g18_minority_census",
     "e1_linear_attribution", "e2_sampled_shapley", "e11_stability_guarded",
     "r1_local_logistic", "r5_average_by_accuracy", "r10_grouped_run_logistic", "r18_pooled_logistic",
-    "r18_pooled_boosted", "r13_select_prefix", "r20_early_stop_flag",
+    "r18_pooled_boosted", "r11_first_splits", "r11_r12_best_booster", "r25_standalone_clients", "r13_select_prefix", "r20_early_stop_flag",
     "l9_verify_hashes", "l14_migrate_summary", "s6_split_store",
 )
 

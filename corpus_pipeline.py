@@ -34,7 +34,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: drops documents scored toxic. The model is learned from all labels that have a document here; without, all stay."""
+    """Operator 8: drops documents scored toxic. The model is learned from labels that have a document here, about 20,000 rows of each label at most
+    (``sample`` of :func:`toxicity.learn`); without labels of both kinds all stay. Null texts count as empty; repeated rows are judged alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = toxicity.with_toxicity(docs, toxicity.learn(docs.select("doc_id", "text"), labels))
     return judged.filter(F.col("_llm_toxicity") < TOXIC).select(*docs.columns)
