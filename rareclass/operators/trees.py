@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,19 +41,14 @@ def margin_scores(model, df: DataFrame, vec: str = "features", out: str = "score
     return scored.withColumn(out, vector_to_array(source)[1]).select(*df.columns, out)
 
 
-def fit_pooled(df: DataFrame, model: str, vec: str = "features", label: str = "label", c: float = 1.0):
-    """A pooled linear baseline on the training rows: ``lr`` or ``svm``.
+def fit_pooled(df: DataFrame, vec: str = "features", label: str = "label", c: float = 1.0):
+    """A pooled logistic model by Spark ML, to be stored and scored in batches.
 
-    The penalty of the linear models is given per summed loss (C), Spark's per mean loss: 1 / (C * n).
+    The penalty is given per summed loss (C), Spark's per mean loss: 1 / (C * n).
     """
     train = with_vector(df, vec)
     reg = 1.0 / (c * max(df.count(), 1))
-    common = dict(featuresCol="_vec", labelCol=label, regParam=reg, standardization=False, maxIter=1000)
-    if model == "lr":
-        return LogisticRegression(**common).fit(train)
-    if model == "svm":
-        return LinearSVC(**{**common, "maxIter": 100}).fit(train)
-    raise ValueError(f"unknown pooled model {model!r}")
+    return LogisticRegression(featuresCol="_vec", labelCol=label, regParam=reg, standardization=False, maxIter=1000).fit(train)
 
 
 def best_prefix(forest: DataFrame, val: DataFrame, vec: str = "features", label: str = "label", client: str = "client_id") -> DataFrame:
@@ -86,19 +81,20 @@ def pooled_baseline(df: DataFrame, model: str, split: str = "split", vec: str =
     df = cut_lineage(df)  # fitted on, tuned on and scored: the split below it is made once
     train, rest = df.where(F.col(split) == "train"), df.where(F.col(split).isin("val", "test"))
     prefix = None
-    if model == "lr":
-        # few Newton steps over summed gradients instead of up to a thousand first-order steps
+    if model in ("lr", "svm"):
+        # half the squared weights plus C times the summed loss for both; the hinge solver counts per mean loss
         width = len(train.select(vec).first()[0])
-        fitted = fit_clients(train.withColumn("_pool", F.lit("pool")), ["pool"], width, client="_pool", vec=vec, label=label, **settings)[0]["pool"]
+        how = dict(kind="logistic") if model == "lr" else dict(kind="hinge", alpha=1.0 / max(train.count(), 1))
+        fitted = fit_clients(train.withColumn("_pool", F.lit("pool")), ["pool"], width, client="_pool", vec=vec, label=label, **how, **settings)[0]["pool"]
         terms = F.zip_with(F.col(vec).cast("array<double>"), F.lit([float(v) for v in fitted[:-1]]), lambda a, b: a * b)
-        scored = rest.withColumn("score", 1.0 / (1.0 + F.exp(-F.aggregate(terms, F.lit(float(fitted[-1])), lambda a, v: a + v))))
+        margin = F.aggregate(terms, F.lit(float(fitted[-1])), lambda a, v: a + v)
+        scored = rest.withColumn("score", 1.0 / (1.0 + F.exp(-margin)) if model == "lr" else margin)
     elif model == "gbm":
         fitted = fit_boosters(train.withColumn("_pool", F.lit("pool")), "_pool", vec, label, **settings)
         prefix = best_prefix(fitted, rest.where(F.col(split) == "val"), vec, label, "_pool").first()["prefix"]
         scored = prefix_probability(fitted, "pool", rest, prefix, "_pool", vec)
     else:
-        fitted = fit_pooled(train, model, vec, label, **settings)
-        scored = margin_scores(fitted, rest, vec)
+        raise ValueError(f"unknown pooled model {model!r}")
     calibrated = m.calibration(scored, label, "score", [split], is_probability=model != "svm")
     return fitted, m.tuned_metrics(scored, split, label).join(calibrated, split).withColumn("n_trees", F.lit(prefix).cast("int"))
 

@@ -208,7 +208,7 @@ def standalone(spark, sf_dir):
 
 def batch_scores(spark, sf_dir):
     df = split_clients(spark, sf_dir)
-    fitted = t.fit_pooled(df.where("split = 'train'"), "lr")
+    fitted = t.fit_pooled(df.where("split = 'train'"))
     return rounded(t.margin_scores(fitted, df.where("split <> 'train'").select("row_id", "split", "features")).drop("features"), 6)
 
 
