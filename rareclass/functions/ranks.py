@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rareclass.functions.hashing import hash_text
+from rareclass.session import written
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -79,23 +80,27 @@ def hash_segments(df: DataFrame, id_col: str, seed: int | str, cuts: Column, n_c
     upto = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = counts.withColumn("_n", F.sum("_c").over(whole)).withColumn("_end", F.sum("_c").over(upto)).withColumn("_cuts", cuts.cast("array<bigint>"))
     inside = F.filter("_cuts", lambda c: (c > F.col("_end") - F.col("_c")) & (c <= F.col("_end")))
-    wanted = placed.select(*keys, "_b", F.explode(inside).alias("_cut"), (F.col("_end") - F.col("_c")).alias("_before")) \
-        .select(*keys, "_b", (F.col("_cut") - F.col("_before")).alias("_r"), F.col("_cut"))
-    # one row per prefix that holds a cut
-    prefixes = wanted.select(*keys, "_b").distinct()
-    order = W.partitionBy(*keys, "_b").orderBy("_h", "_id")
-    ordered = null_safe_join(hashed, prefixes, [*keys, "_b"]).withColumn("_r", F.row_number().over(order))
-    found = null_safe_join(ordered, wanted, [*keys, "_b", "_r"]).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_h", "_id"))).alias("_marks"))
-    none = F.size(F.filter("_cuts", lambda c: c <= 0))
-    sizes = placed.groupBy(*keys).agg(F.max(none).alias("_none"))
-    marks = null_safe_join(sizes, found, keys, "left") if keys else sizes.join(found, F.lit(True), "left")
-    own = df.withColumn("_own", F.struct(hash_text(seed, id_col).alias("_h"), F.col(id_col).alias("_id")))
-    met = null_safe_join(own, marks, keys) if keys else own.crossJoin(marks)  # one row on the right
+    # the prefixes that hold a cut and each group's first one: written, so that Spark knows how few they are
+    held = placed.select(*keys, "_b", (F.col("_end") - F.col("_c")).alias("_before"), inside.alias("_inside"),
+                         F.size(F.filter("_cuts", lambda c: c <= 0)).alias("_none")).where((F.col("_before") == 0) | (F.size("_inside") > 0))
+    held = written(held, "cut-prefixes")
+    near = null_safe_join(hashed, held.where(F.size("_inside") > 0), [*keys, "_b"])
+    first = held.where(F.col("_before") == 0).select(*keys, "_none")  # a row for every group, with or without a cut inside
+    near = written(near.unionByName(first, allowMissingColumns=True), "cut-rows")
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_h", "_id"))
+    here = F.transform(F.filter("_inside", lambda c: c == F.col("_rank")), lambda c: F.struct("_h", "_id"))
+    marks = near.withColumn("_rank", rank).groupBy(*keys).agg(
+        F.max("_none").alias("_none"), F.array_sort(F.flatten(F.collect_list(here))).alias("_marks"))
+    # a group may hold most rows: its marks come once per salt, so its rows are spread over tasks where the join has to shuffle
+    width = shuffle_width(df)
+    salted = marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    own = df.withColumn("_own", F.struct(hash_text(seed, id_col).alias("_h"), F.col(id_col).alias("_id"))).withColumn(
+        "_salt", F.pmod(F.xxhash64(id_col), F.lit(width)).cast("int"))
+    met = null_safe_join(own, salted, [*keys, "_salt"])
     depth = max(1, n_cuts.bit_length())
     steps = F.lit([1 << j for j in reversed(range(depth))])
     below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_marks", at + step - 1) < F.col("_own"), step).otherwise(0))
-    return met.withColumn(out, (F.col("_none") + F.coalesce(below, F.lit(0))).cast("int")).drop("_own", "_none", "_marks")
+    return met.withColumn(out, (F.col("_none") + F.coalesce(below, F.lit(0))).cast("int")).drop("_own", "_salt", "_none", "_marks")
 
 
 # ---------------------------------------------------------------- value order

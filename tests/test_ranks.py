@@ -1,10 +1,12 @@
 """Exact ranks, running totals and quantiles against pandas, with hot groups, ties and NULL keys."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rareclass.functions.ranks import exact_quantiles, hash_rank, running_totals
+from rareclass.functions.ranks import exact_quantiles, hash_rank, hash_segments, running_totals
 
 
 def frame(n=3000, seed=1):
@@ -66,3 +68,23 @@ def test_segments_agree_with_ranks_and_leave_rows_in_place(spark):
     plan = segment._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and not any("wide" in line for line in plan.splitlines() if "Window" in line or "Aggregate" in line or "Sort" in line)
     assert hash_segments(df.limit(0), "id", 5, F.array(F.lit(3)), 1, ["k"]).count() == 0
+
+
+def test_segments_of_a_hot_group_are_spread_over_tasks(spark):
+    """One class holds nearly all rows: no task may hold more than its share, also where every join shuffles."""
+    pdf = pd.DataFrame({"id": np.arange(4000), "y": (np.arange(4000) % 100 == 0).astype(int)})
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        cuts = F.array(F.floor(F.col("_n") * 0.25), F.floor(F.col("_n") * 0.5))
+        got = hash_segments(spark.createDataFrame(pdf).repartition(8), "id", 3, cuts, 2, ["y"]).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got.groupby("task").size().max() < 0.7 * len(pdf)
+    pdf["h"] = [hashlib.md5(f"3:{i}".encode()).hexdigest() for i in pdf["id"]]
+    pdf["rank"] = pdf.sort_values(["h", "id"]).groupby("y").cumcount() + 1
+    n = pdf.groupby("y")["id"].transform("size")
+    want = (pdf["rank"] > n // 4).astype(int) + (pdf["rank"] > n // 2).astype(int)
+    assert (got.sort_values("id")["segment"].to_numpy() == want.to_numpy()).all()
