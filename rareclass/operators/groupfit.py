@@ -230,16 +230,20 @@ def history_wide(long: DataFrame, metrics: Sequence[str], keys: Sequence[str] =
 
 
 def best_round(history: DataFrame, keys: Sequence[str] = ("run_id",), include_round_zero: bool = False,
-               val: str = "val_auprc", test: str = "test_auprc") -> DataFrame:
-    """First round with the highest validation score; without validation scores the test score decides."""
+               val: str = "val_auprc", test: str = "test_auprc", carry: Sequence[str] = ()) -> DataFrame:
+    """First round with the highest validation score; without validation scores the test score decides.
+
+    ``carry`` columns of that round come along as ``best_<col>``, from the same aggregate.
+    """
     rows = history if include_round_zero else history.where(F.col("round") >= 1)
 
     def first_max(c: str) -> Column:
-        return F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), (-F.col("round")).alias("neg"))))
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), (-F.col("round")).alias("neg"), *carry)))
 
     found = rows.groupBy(*keys).agg(first_max(val).alias("_v"), first_max(test).alias("_t"), F.max("round").alias("final_round"))
     best = F.coalesce("_v", "_t")
-    return found.select(*keys, (-best["neg"]).alias("best_round"), best["v"].alias("best_value"), "final_round")
+    return found.select(*keys, (-best["neg"]).alias("best_round"), best["v"].alias("best_value"), "final_round",
+                        *[best[c].alias(f"best_{c}") for c in carry])
 
 
 def final_test_row(history: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

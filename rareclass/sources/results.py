@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareclass.operators.groupfit import best_round, metrics_at_best
+from rareclass.operators.groupfit import best_round
 from rareclass.operators.ledger import SUMMARY_COLUMNS, blank
 from rareclass.functions.ranks import null_safe_join
 
@@ -48,8 +48,8 @@ def utc_stamp() -> F.Column:
 def grouped_summary(runs: DataFrame, history: DataFrame, keys: Sequence[str] = ("dataset", "run_name"),
                     include_round_zero: bool = False) -> DataFrame:
     """Summary rows of grouped runs: best round and its metrics, completed rounds, run columns."""
-    best = best_round(history, keys, include_round_zero)
-    found = metrics_at_best(best, history, ["val_f1", "val_precision", "val_recall", "val_recall_at_fpr"], keys)
+    # no join with the history: where it is unfolded from small rows, Spark takes it for small and would broadcast it whole
+    found = best_round(history, keys, include_round_zero, carry=["val_f1", "val_precision", "val_recall", "val_recall_at_fpr"])
     counts = history.groupBy(*keys).agg(F.count_if(F.coalesce(F.col("round"), F.lit(1)) >= 1).alias("rounds_completed"))
     joined = null_safe_join(null_safe_join(runs, found, keys, "left"), counts, keys, "left")
     return typed_summary(joined.withColumnRenamed("best_value", "best_val_auprc").drop("final_round"))

@@ -90,3 +90,16 @@ def test_run_names_are_parsed_in_order(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string").select(*artifacts.run_parts("n", ["lr_big", "lr"]))
     assert [tuple(r) for r in df.collect()] == [("lr", "dirichlet", "smote", 0.5), ("lr_big", "iid", "none", None),
                                                 ("lr", "centralized", "none", None), (None, "iid", "none", None)]
+
+
+def test_grouped_summary_never_joins_the_history(spark):
+    """A history unfolded from one small row per run looks small to Spark, which would broadcast all its rounds through the driver."""
+    runs = spark.createDataFrame([("d", "a", "5"), ("d", "b", "5")], "dataset string, run_name string, rounds_configured string")
+    rounds = runs.select("dataset", "run_name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("round"))
+    r = F.col("round")
+    history = rounds.select("dataset", "run_name", "round", (r * 3 % 4 / 10).alias("val_auprc"), F.lit(None).cast("double").alias("test_auprc"),
+                            (r / 10).alias("val_f1"), (r / 20).alias("val_precision"), (r / 40).alias("val_recall"), (r / 80).alias("val_recall_at_fpr"))
+    df = results.grouped_summary(runs, history)
+    got = {x["run_name"]: (x["best_round"], x["best_val_auprc"], x["best_val_f1"], x["rounds_completed"]) for x in df.collect()}
+    assert got == {"a": (1, 0.3, 0.1, 3), "b": (1, 0.3, 0.1, 3)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
