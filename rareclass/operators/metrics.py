@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rareclass.functions.ranks import null_safe_join, range_cuts, running_totals
 from rareclass.session import cut_lineage
@@ -345,13 +348,16 @@ def weighted_batch_mean(df: DataFrame, values: Sequence[str], weight: str,
         (F.sum(F.col(v) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias(v) for v in values])
 
 
+@F.pandas_udf(StringType())
+def four_places(values: pd.Series) -> pd.Series:
+    """Four decimals, rounded from the exact binary value as C's printf does: 1/32 is 0.0312. Java's formatter rounds the shortest text, half up."""
+    names = {np.inf: "Infinity", -np.inf: "-Infinity"}
+    return values.map(lambda v: None if v is None or v != v else names.get(v) or f"{v:.4f}")
+
+
 def operating_point_text(df: DataFrame, budget: float = FPR_BUDGET, out: str = "line") -> DataFrame:
     """One line per operating point; a missing number reads ``NA``."""
-    def shown(c: str) -> Column:
-        return F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("NA"))
-
-    safe = {c: F.when(F.col(c).isNotNull(), shown(c)).otherwise(F.lit("NA"))
-            for c in ("recall_at_fpr", "threshold_at_fpr", "actual_fpr")}
+    safe = {c: F.when(F.isnan(c), "NaN").otherwise(F.coalesce(four_places(F.col(c)), F.lit("NA"))) for c in ("recall_at_fpr", "threshold_at_fpr", "actual_fpr")}
     return df.withColumn(out, F.concat(
         F.lit(f"recall@{budget * 100:g}%fpr="), safe["recall_at_fpr"],
         F.lit(" (thr="), safe["threshold_at_fpr"], F.lit(", fpr="), safe["actual_fpr"], F.lit(")")))

@@ -69,3 +69,12 @@ def test_calibration(spark):
     assert got["one"]["brier"] is None
     margins = m.calibration_for_test(df, keys=["g"], is_probability=False).collect()
     assert all(r["test_brier"] is None and r["test_cal_slope"] is None for r in margins)
+
+
+def test_operating_point_text_rounds_the_binary_value(spark):
+    """1/32 lies halfway and goes to the even digit; 0.00015 is stored above and 0.00025 below the half; missing numbers read NA."""
+    rows = [(1, 0.03125, float("inf"), 0.00015), (2, None, 0.00025, -0.03125), (3, 1.0, float("nan"), None)]
+    df = spark.createDataFrame(rows, "id int, recall_at_fpr double, threshold_at_fpr double, actual_fpr double")
+    got = {r["id"]: r["line"] for r in m.operating_point_text(df).collect()}
+    assert got == {1: f"recall@5%fpr=0.0312 (thr=Infinity, fpr={0.00015:.4f})", 2: f"recall@5%fpr=NA (thr={0.00025:.4f}, fpr=-0.0312)",
+                   3: "recall@5%fpr=1.0000 (thr=NaN, fpr=NA)"}
