@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rareclass.functions.hashing import hash_uniform
-from rareclass.functions.ranks import exact_quantiles, null_safe_join
+from rareclass.functions.ranks import exact_quantiles, null_safe_join, shuffle_width
+from rareclass.session import written
 
 TOP_K = 5
 NEAR_ZERO = 1e-9
@@ -37,7 +38,8 @@ def linear_attribution(rows: DataFrame, weights: DataFrame, background: DataFram
     """
     means = background.groupBy(client, "feature").agg(F.avg("value").alias("_mean"))
     on = [client, "feature"] if client in weights.columns else ["feature"]
-    params = means.join(weights, on).select(client, "feature", "w", "_mean")
+    # a row per client and feature: written, so that Spark knows how few they are and the rows are not dealt by feature
+    params = written(means.join(weights, on).select(client, "feature", "w", "_mean"), "attribution-params")
     return rows.join(params, "feature").select(
         client, "row_id", "feature", (F.col("w") * (F.col("value") - F.col("_mean"))).alias("phi"))
 
@@ -86,13 +88,18 @@ def sampled_shapley(rows: DataFrame, background: DataFrame, score: Callable[[Dat
     """
     masks, coefficients = coalition_design(n_features, samples, seed)
     full = [[0] * n_features, *masks.tolist(), [1] * n_features]
-    spark = rows.sparkSession
-    table = spark.createDataFrame(list(enumerate(full)), "coalition int, mask array<int>")
-    backs = background.select(client, F.col("weight").cast("double").alias("weight"),
-                              F.col("features").cast("array<double>").alias("_b"))
-    asked = rows.select(client, "row_id", F.col("features").cast("array<double>").alias("_x"),
-                        F.explode(F.sequence(F.lit(0), F.lit(len(full) - 1))).alias("coalition"))
-    mixed = asked.join(table, "coalition").join(backs, client).select(
+    # few points per client: written, so that Spark knows their size and the rows need not be dealt by client, of which one may hold most
+    backs = written(background.where(F.col(client).isNotNull()).groupBy(client).agg(F.collect_list(F.struct(
+        F.col("weight").cast("double").alias("weight"), F.col("features").cast("array<double>").alias("b"))).alias("_backs")), "background")
+    width = shuffle_width(rows)
+    salted = backs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    # dealt by row before they are unfolded: both sums below find their rows together
+    own = rows.where(F.col(client).isNotNull()).select(client, "row_id", F.col("features").cast("array<double>").alias("_x")).repartition(
+        width, client, "row_id").withColumn(
+        "_salt", F.pmod(F.xxhash64("row_id"), F.lit(width)).cast("int"))
+    table = F.lit([[float(on) for on in mask] for mask in full])
+    mixed = own.join(salted, [client, "_salt"]).select(client, "row_id", "_x", F.explode("_backs").alias("_back")).select(
+        client, "row_id", F.col("_back.weight").alias("weight"), "_x", F.col("_back.b").alias("_b"), F.posexplode(table).alias("coalition", "mask")).select(
         client, "row_id", "coalition", "weight",
         F.transform(F.arrays_zip("mask", "_x", "_b"), lambda t: F.when(t["mask"] == 1, t["_x"]).otherwise(t["_b"])).alias("features"))
     value = (F.sum(F.col("weight") * F.col("margin")) / F.sum("weight")).alias("v")

@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rareclass.operators import explain as e
 
@@ -79,3 +80,21 @@ def test_sampled_shapley_of_a_product(spark):
             assert got[i][j] == pytest.approx(want, abs=1e-9)
     few = e.sampled_shapley(rows, back, score, 4, samples=8)
     assert e.additivity_error(few).first()["max_error"] < 1e-9
+
+
+def test_sampled_shapley_spreads_a_hot_client_over_tasks(spark):
+    """One client holds nearly all rows: where joins shuffle, its rows must not be scored by one task."""
+    rows = spark.range(2000).select(F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("client_id"), F.col("id").alias("row_id"),
+                                    F.array(F.col("id") / 10.0, F.lit(1.0)).alias("features"))
+    background = spark.createDataFrame([("a", 1.0, [0.0, 0.0]), ("b", 1.0, [1.0, 1.0])], "client_id string, weight double, features array<double>")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        task = lambda d: d.withColumn("margin", F.spark_partition_id().cast("double"))
+        got = e.sampled_shapley(rows, background, task, 2).toPandas()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(got) == 2000
+    assert got.groupby("margin").size().max() < 0.8 * len(got)
