@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rareclass.operators.groupfit import HINGE_ALPHA, LOGISTIC_C, local_auprc, round_evaluation
 from rareclass.operators.solver import combined as mean_weights
 from rareclass.operators.solver import packed, solve_clients
-from rareclass.session import cut_lineage
+from rareclass.session import cut_lineage, written
 
 ROUNDS = 20
 
@@ -78,13 +78,17 @@ def round_weights(train: DataFrame, clients: Sequence, d: int, kind: str = "logi
     spark = train.sparkSession
     path, local = [np.zeros(d + 1)], []
     solved: DataFrame | None = None
+    parts: DataFrame | None = None
     for done in range(rounds):
         start = spark.createDataFrame([([float(v) for v in path[-1]],)], "_b array<double>")
         if solved is None or steps is not None:
             begin = blocks.select("c").distinct().crossJoin(start).select("c", F.col("_b").alias("w"))  # one row on the right
             solved = solve_clients(rows, d, kind, begin, steps, c=LOGISTIC_C, alpha=HINGE_ALPHA, blocks=blocks)
         here = solved.crossJoin(start).withColumn("w", F.when(F.col("two"), F.col("w")).otherwise(F.col("_b"))).drop("_b")
-        found = mean_weights(shares(here, rows, client, vec, label, weighting, sizes), "share")
+        if parts is None or steps is not None:
+            # a client solved once keeps its share: one with one class has precision 0, whatever its weights
+            parts = written(shares(here, rows, client, vec, label, weighting, sizes).select("c", "share"), "client-shares")
+        found = mean_weights(here.join(parts, "c"), "share")
         if found is None:
             raise RuntimeError("no client returned a result: the run fails")
         path.append(found)

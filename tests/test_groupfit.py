@@ -107,3 +107,17 @@ def test_best_round(spark):
     got = {x["run_id"]: (x["best_round"], x["final_round"]) for x in r.best_round(h).collect()}
     assert got == {"a": (1, 2), "b": (1, 2)}
     assert r.best_round(h, include_round_zero=True).where("run_id = 'a'").first()["best_round"] == 0
+
+
+def test_accuracy_is_measured_once_for_clients_solved_once(spark, monkeypatch):
+    from rareclass.plans import grouped
+    df, *_ = data(spark, 300)
+    asked, plain = [], grouped.local_auprc
+    monkeypatch.setattr(grouped, "local_auprc", lambda *a, **k: asked.append(1) or plain(*a, **k))
+    whole, local = round_weights(df, ["a", "b", "none"], 3, rounds=3, weighting="accuracy")
+    assert len(asked) == 1 and len(whole) == 4
+    ap = {x["c"]: x["local_auprc"] for x in plain(df.withColumn("c", F.col("client_id")).withColumn("score", grouped.margin(
+        F.col("features"), F.when(F.col("c") == "a", F.lit(local[-1]["a"].tolist())).otherwise(F.lit(local[-1]["b"].tolist())))), "c").collect()}
+    n = {x["client_id"]: x["count"] for x in df.groupBy("client_id").count().collect()}
+    share = {k: n[k] * ap[k] for k in ("a", "b")}  # the client with one class has precision 0
+    np.testing.assert_allclose(whole[-1], sum(share[k] * local[-1][k] for k in share) / sum(share.values()), atol=1e-9)
