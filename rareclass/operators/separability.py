@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window as W
 
 from rareclass.functions.ranks import exact_quantiles, null_safe_join, range_cuts, running_totals
 from rareclass.operators.neighbors import BLOCK_ROWS, knn_join, nearest_segments, stack
-from rareclass.session import cut_lineage
+from rareclass.session import cut_lineage, written
 
 TYPOLOGY_K = 5
 OVERLAP_BINS = 199
+TREE_ROWS = 2048  # rows of a block of the spanning tree; a task holds the distances of two blocks
 
 
 # ------------------------------------------------------------------ neighbourhoods
@@ -66,25 +68,39 @@ def n2_ratio(df: DataFrame, id_col: str = "row_id", vec: str = "features", label
 
 
 def _block_tree(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning tree of the rows of one block pair."""
+    """Edges of a minimum spanning tree of the rows of one block pair.
+
+    One matrix product gives all squared distances; where they are so small that rounding shows, they come from direct differences, as do
+    the lengths of the edges.
+    """
     n = len(v)
+    centred = v - v.mean(0)
+    norm = (centred * centred).sum(1)
+    square = norm[:, None] + norm[None, :]
+    square -= 2.0 * (centred @ centred.T)
+    for start in range(0, n, 256):
+        rows, cols = np.nonzero(square[start:start + 256] < 1e-6 * norm.max())
+        for s in range(0, len(rows), 100_000):
+            i, j = rows[s:s + 100_000] + start, cols[s:s + 100_000]
+            gap = v[i] - v[j]
+            square[i, j] = (gap * gap).sum(1)
     best, parent, open_ = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-    a, b, d = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
+    a, b = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64)
     at = 0
     open_[0] = False
     for i in range(n - 1):
-        gap = v - v[at]
-        dist = np.sqrt((gap * gap).sum(1))
-        closer = open_ & (dist < best)
-        best[closer], parent[closer] = dist[closer], at
-        at = int(np.where(open_, best, np.inf).argmin())
+        closer = np.flatnonzero((square[at] < best) & open_)
+        best[closer], parent[closer] = square[at, closer], at
+        at = int(best.argmin())
         open_[at] = False
-        a[i], b[i], d[i] = parent[at], at, best[at]
-    return a, b, d
+        a[i], b[i] = parent[at], at
+        best[at] = np.inf
+    gap = v[a] - v[b]
+    return a, b, np.sqrt((gap * gap).sum(1))
 
 
 def spanning_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features",
-                  block_rows: int = 1024) -> DataFrame:
+                  block_rows: int = TREE_ROWS) -> DataFrame:
     """Minimum spanning tree edges (a_id, b_id, distance) of the points.
 
     The tree of all points lies inside the union of the trees of every pair of blocks, so each task
@@ -116,39 +132,40 @@ def spanning_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features",
     if blocks <= 1:
         return edges
     # (ca, cb): components joined by the edge; (a_id, b_id): its end points
-    live = cut_lineage(edges.distinct().select("*", F.col("a_id").alias("ca"), F.col("b_id").alias("cb")))
-    tree_edges = live.limit(0).select("a_id", "b_id", "distance")
+    live = written(edges.distinct().select("*", F.col("a_id").alias("ca"), F.col("b_id").alias("cb")), "tree-edges")
+    picked = []
     while True:
         both = live.select("distance", "a_id", "b_id", "ca", "cb").union(
             live.select("distance", "a_id", "b_id", "cb", "ca"))
         pick = both.groupBy("ca").agg(F.min(F.struct("distance", "a_id", "b_id", "cb")).alias("m")).select(
             F.col("ca").alias("c"), F.col("m.cb").alias("to"), "m.distance", "m.a_id", "m.b_id")
-        pick = cut_lineage(pick)
+        pick = written(pick, "tree-picks")
         if pick.isEmpty():
             break
-        tree_edges = cut_lineage(tree_edges.union(pick.select("a_id", "b_id", "distance").distinct()))
+        picked.append(pick.select("a_id", "b_id", "distance"))
         # of two components that picked each other the smaller one becomes the root
         back = pick.select(F.col("c").alias("to"), F.col("to").alias("back"))
         link = pick.select("c", "to").join(back, "to", "left").select(
             "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c"))
             .otherwise(F.col("to")).alias("to"))
-        link = cut_lineage(link)
         while True:
-            hop = link.select(F.col("c").alias("to"), F.col("to").alias("next"))
-            jumped = cut_lineage(link.join(hop, "to", "left").select(
-                "c", F.coalesce("next", "to").alias("next"), (F.coalesce("next", "to") != F.col("to")).alias("moved")))
-            link = jumped.select("c", F.col("next").alias("to"))
-            if jumped.where("moved").isEmpty():
+            for _ in range(2):  # links lead four times as far after each table
+                hop = link.select(F.col("c").alias("to"), F.col("to").alias("next"))
+                far = F.coalesce("next", "to")
+                link = link.join(hop, "to", "left").select("c", far.alias("to"), (far != F.col("to")).alias("moved"))
+            link = written(link, "tree-links")
+            if link.where("moved").isEmpty():
                 break
+            link = link.drop("moved")
         a = link.select(F.col("c").alias("ca"), F.col("to").alias("na"))
         b = link.select(F.col("c").alias("cb"), F.col("to").alias("nb"))
-        live = cut_lineage(live.join(a, "ca").join(b, "cb").where(F.col("na") != F.col("nb")).select(
-            "a_id", "b_id", "distance", F.col("na").alias("ca"), F.col("nb").alias("cb")))
-    return tree_edges
+        live = written(live.join(a, "ca").join(b, "cb").where(F.col("na") != F.col("nb")).select(
+            "a_id", "b_id", "distance", F.col("na").alias("ca"), F.col("nb").alias("cb")), "tree-edges")
+    return reduce(DataFrame.union, picked).distinct() if picked else live.select("a_id", "b_id", "distance")
 
 
 def n1_boundary(df: DataFrame, id_col: str = "row_id", vec: str = "features", label: str = "label",
-                block_rows: int = 1024) -> DataFrame:
+                block_rows: int = TREE_ROWS) -> DataFrame:
     """Share of points on a tree edge that joins the two classes."""
     labels = df.select(F.col(id_col).alias("id"), F.col(label).alias("y"))
     edges = spanning_tree(df, id_col, vec, block_rows)

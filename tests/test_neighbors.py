@@ -98,3 +98,28 @@ def test_two_clouds(spark):
     kinds = g.minority_typology(clear).first()
     assert kinds["safe"] == kinds["n_minority"] == 200
     assert g.overlap_coefficient(g.lda_projection(clear)).first()["overlap"] < 0.02
+
+
+def test_block_tree_with_copies_far_from_the_origin():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(800, 64)) + 100.0
+    v[:40] = v[40:80] + rng.normal(size=(40, 64)) * 1e-6  # near copies, and some that are equal
+    v[80:90] = v[90]
+    a, b, d = g._block_tree(v)
+    best, open_, at, total = np.full(800, np.inf), np.ones(800, dtype=bool), 0, 0.0
+    open_[0] = False
+    for _ in range(799):
+        best = np.minimum(best, np.sqrt(((v - v[at]) ** 2).sum(1)))
+        at = int(np.where(open_, best, np.inf).argmin())
+        open_[at], total = False, total + best[at]
+    assert d.sum() == pytest.approx(total, rel=1e-12) and (d == 0).sum() == 10 and len(d) == 799
+
+
+def test_spanning_tree_takes_few_jobs(spark):
+    x, y, _ = clustered(90)
+    spark.sparkContext.setJobGroup("tree", "tree")
+    try:
+        assert len(g.spanning_tree(points(spark, x, y), block_rows=45).collect()) == 89
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("tree")) <= 70  # 94 with a checkpoint per link
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
