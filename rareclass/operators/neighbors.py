@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from rareclass.functions.hashing import hash_text
-from rareclass.session import cut_lineage
+from rareclass.functions.ranks import null_safe_join
+from rareclass.session import cut_lineage, written
 
 BLOCK_ROWS = 4096
+SEGMENT_ROWS = 2048
 STEP_CELLS = 4_000_000  # distances held at once while rows are compared with pivots
 
 
@@ -222,17 +224,155 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "row_id"
         *by, "query_id", *keep, "nn_rank", "nn_id", "distance", *names)
 
 
+def _segment_gaps(x: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of a point from the segments between the rows ``a`` and ``b`` of ``v``; zero-length ones are infinitely far."""
+    out = np.full(len(a), np.inf)
+    for s in range(0, len(a), 50_000):
+        start, along = v[a[s:s + 50_000]], v[b[s:s + 50_000]] - v[a[s:s + 50_000]]
+        length, rel = (along * along).sum(1), x - start
+        t = np.clip((rel * along).sum(1) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+        gap = rel - t[:, None] * along
+        out[s:s + 50_000] = np.where(length > 0, np.sqrt((gap * gap).sum(1)), np.inf)
+    return out
+
+
+def _opposite(s: np.ndarray, tol: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs i < j with ``|s_i + s_j| <= tol_i + tol_j``, each at least once; None where there are more than ``most`` to look at.
+
+    Values are sorted once; a value meets those within twice its own tolerance of its opposite, so the wider one of a pair finds it.
+    """
+    order = np.argsort(s)
+    low = np.searchsorted(s[order], -s - 2 * tol, "left")
+    count = np.searchsorted(s[order], -s + 2 * tol, "right") - low
+    if count.sum() > most:
+        return None
+    i = np.repeat(np.arange(len(s)), count)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + low[i]]
+    near = (i != j) & (np.abs(s[i] + s[j]) <= tol[i] + tol[j])
+    return np.minimum(i, j)[near], np.maximum(i, j)[near]
+
+
+def segments_within(x: np.ndarray, most: np.ndarray, v: np.ndarray, owner: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first end, second end, distance) of each point's nearest segment no farther than ``most``; infinite where none is.
+
+    ``crossing``: only segments between ends of different ``owner``. Seen from a point at distance d, the ends of a segment lie in opposite
+    directions but for asin(d / distance) at either end, so along any one direction the two unit vectors nearly cancel: sorted values find
+    the few pairs that can be so near. Where ``most`` rules too little out, or is NULL, all pairs are compared.
+    """
+    n = len(v)
+    best, a_best, b_best = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+    axis = np.random.default_rng(n).normal(size=v.shape[1])
+    axis /= np.linalg.norm(axis)
+    centre = v.mean(0)
+    ends, heights, slack = v - centre, (v - centre) @ axis, 1e-14 * v.shape[1]
+    step, hard = max(1, STEP_CELLS // n), []
+    for start in range(0, len(x), step):
+        part = x[start:start + step] - centre
+        far = distances(part, ends)
+        size = max(1e-300, (part * part).sum(1).max(initial=0.0) + (ends * ends).sum(1).max())
+        close = np.nonzero(far * far < 1e-4 * size)
+        gap = part[close[0]] - ends[close[1]]
+        far[close] = np.sqrt((gap * gap).sum(1))
+        for k in range(len(part)):
+            at, r, limit = start + k, far[k], most[start + k]
+            if not np.isfinite(limit) or not np.isfinite(r).all():
+                hard.append(at)
+                continue
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sight = np.where(r > 0, np.clip((heights - part[k] @ axis) / r, -1.0, 1.0), 0.0)
+                ratio = limit / r
+                # an end no farther than the limit may be the foot itself and goes with every other one
+                tol = np.where(ratio < 0.999, np.arcsin(np.minimum(ratio, 1.0)) * (1 + 1e-9) + slack * (size / (r * r) + 1), 2.0)
+            found = _opposite(sight, tol, max(STEP_CELLS // 8, 8 * n))
+            if found is None:
+                hard.append(at)
+                continue
+            i, j = found
+            if crossing:
+                i, j = (z[owner[i] != owner[j]] for z in (i, j))
+            if len(i):
+                d = _segment_gaps(x[at], v, i, j)
+                first = np.lexsort((j, i, d))[0]
+                if d[first] <= limit:
+                    best[at], a_best[at], b_best[at] = d[first], i[first], j[first]
+    if hard:
+        own = np.array(hard)
+        best[own], a_best[own], b_best[own] = _all_segments(x[own], v, owner, crossing)
+    return a_best, b_best, best
+
+
+def _all_segments(x: np.ndarray, v: np.ndarray, owner: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, first end, second end) of each point's nearest segment of all."""
+    best = np.full(len(x), np.inf)
+    a_best, b_best = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+    for a in range(len(v) - 1):
+        wanted = (owner[a + 1:] != owner[a]) if crossing else np.ones(len(v) - a - 1, dtype=bool)
+        others = np.nonzero(wanted)[0] + a + 1
+        along = v[others] - v[a]
+        length = (along * along).sum(1)
+        others, along, length = others[length > 0], along[length > 0], length[length > 0]
+        if not len(others):
+            continue
+        rel = x - v[a]
+        step = max(1, STEP_CELLS // max(1, along.size))
+        for s in range(0, len(x), step):
+            # summed like the lengths, so that a point on an end is at distance 0 from all its segments
+            t = np.clip((rel[s:s + step, None, :] * along[None]).sum(2) / length, 0.0, 1.0)
+            gap = rel[s:s + step, None, :] - t[:, :, None] * along[None]
+            d = np.sqrt((gap * gap).sum(2))
+            at = d.argmin(1)
+            low = d[np.arange(len(d)), at]
+            better = low < best[s:s + step]
+            idx = np.nonzero(better)[0] + s
+            best[idx], a_best[idx], b_best[idx] = low[better], a, others[at[better]]
+    return best, a_best, b_best
+
+
+def _shortest_around(x: np.ndarray, v: np.ndarray, around: int = 6) -> np.ndarray:
+    """Distance of each point from the nearest segment between two of the ends next to it."""
+    out = np.full(len(x), np.inf)
+    around = min(around, len(v))
+    i, j = np.triu_indices(around, 1)
+    step = max(1, STEP_CELLS // len(v))
+    for start in range(0, len(x), step):
+        near = np.argpartition(distances(x[start:start + step], v), around - 1, axis=1)[:, :around]
+        for k, own in enumerate(near):
+            out[start + k] = _segment_gaps(x[start + k], v, own[i], own[j]).min(initial=np.inf)
+    return out
+
+
 def nearest_segments(points: DataFrame, ends: DataFrame, id_col: str = "row_id", vec: str = "features",
-                     by: Sequence[str] = (), block_rows: int = 512) -> DataFrame:
+                     by: Sequence[str] = (), block_rows: int = SEGMENT_ROWS) -> DataFrame:
     """For each point the nearest segment between two ``ends`` rows of the same ``by`` group.
 
     Point-to-segment distance with the foot clipped to the segment; zero-length pairs are ignored and
     the pair first in (a, b) id order wins a tie. Tasks see one block of points and two of ends and
-    return one segment per point; no pair of ends is ever written out.
+    return one segment per point; no pair of ends is ever written out. Points on a segment but for rounding are found first, in time
+    that grows with the ends, not with their pairs; the others follow with the distance of a segment next to them as their limit.
     """
     by = list(by)
     p = points.select(*by, F.col(id_col).alias("point_id"), F.col(vec).cast("array<double>").alias("_v"))
-    e = ends.select(*by, F.col(id_col).alias("end_id"), F.col(vec).cast("array<double>").alias("_v"))
+    p = written(p.withColumn("_most", F.lit(1e-7) * F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))), "segment-points")
+    e = written(ends.select(*by, F.col(id_col).alias("end_id"), F.col(vec).cast("array<double>").alias("_v")), "segment-ends")
+    found = written(_segments_of(p, e, by, block_rows, True), "segments")
+    best = found.groupBy(*by, "point_id").agg(
+        F.min(F.when(F.col("a_id").isNotNull(), F.struct("residual", "a_id", "b_id"))).alias("_m"), F.min("residual").alias("_most"))
+    best = written(best, "segments-best")
+    # a point without any row has only ends it cannot be measured from; it comes again, without a limit
+    open_ = null_safe_join(p.drop("_most"), best.withColumn("_done", F.col("_m").isNotNull()).drop("_m"), [*by, "point_id"], "left").where(
+        ~F.coalesce("_done", F.lit(False))).drop("_done")
+    open_ = written(open_.withColumn("_most", F.col("_most") * (1 + 1e-9)), "segments-open")
+    best = best.where(F.col("_m").isNotNull()).drop("_most")
+    if not open_.isEmpty():
+        rest = _segments_of(open_, e, by, block_rows, False)
+        best = best.unionByName(rest.groupBy(*by, "point_id").agg(F.min(F.struct("residual", "a_id", "b_id")).alias("_m")))
+    return best.select(*by, "point_id", F.col("_m.a_id").alias("a_id"), F.col("_m.b_id").alias("b_id"),
+                       F.col("_m.residual").alias("residual"))
+
+
+def _segments_of(p: DataFrame, e: DataFrame, by: list[str], block_rows: int, limits: bool) -> DataFrame:
+    """(by, point_id, a_id, b_id, residual): a row per point and pair of blocks that holds a segment within the point's ``_most``; where
+    ``limits``, one without ids for the others, whose residual is that of some segment."""
     counts = e.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_E"))
     n_points = p.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_P"))
     if by:
@@ -263,31 +403,15 @@ def nearest_segments(points: DataFrame, ends: DataFrame, id_col: str = "row_id",
         i, j = right["_i"].iloc[0], right["_j"].iloc[0]
         right = right.sort_values("end_id")
         ids, owner, v = right["end_id"].to_numpy(), right["_b"].to_numpy(), stack(right["_v"])
-        x = stack(left["_v"])
-        best = np.full(len(x), np.inf)
-        a_best, b_best = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
-        for a in range(len(ids) - 1):
-            wanted = (owner[a + 1:] != owner[a]) if i != j else np.ones(len(ids) - a - 1, dtype=bool)
-            others = np.nonzero(wanted)[0] + a + 1
-            along = v[others] - v[a]
-            length = (along * along).sum(1)
-            others, along, length = others[length > 0], along[length > 0], length[length > 0]
-            if not len(others):
-                continue
-            rel = x - v[a]
-            t = np.clip((rel @ along.T) / length, 0.0, 1.0)
-            step = max(1, 4_000_000 // max(1, along.size))
-            for s in range(0, len(x), step):
-                gap = rel[s:s + step, None, :] - t[s:s + step, :, None] * along[None]
-                d = np.sqrt((gap * gap).sum(2))
-                at = d.argmin(1)
-                low = d[np.arange(len(d)), at]
-                better = low < best[s:s + step]
-                idx = np.nonzero(better)[0] + s
-                best[idx], a_best[idx], b_best[idx] = low[better], a, others[at[better]]
+        x, most = stack(left["_v"]), left["_most"].to_numpy(dtype=np.float64)
+        a, b, best = segments_within(x, most, v, owner, i != j)
         found = np.isfinite(best)
         out = left[[*by, "point_id"]][found].reset_index(drop=True)
-        out["a_id"], out["b_id"], out["residual"] = ids[a_best[found]], ids[b_best[found]], best[found]
+        out["a_id"], out["b_id"], out["residual"] = ids[a[found]], ids[b[found]], best[found]
+        if limits and not found.all():
+            more = left[[*by, "point_id"]][~found].reset_index(drop=True)
+            more["a_id"], more["b_id"], more["residual"] = None, None, _shortest_around(x[~found], v)
+            out = pd.concat([out.astype({"a_id": object, "b_id": object}), more[np.isfinite(more["residual"])]])
         return out
 
     id_type = e.schema["end_id"].dataType
@@ -295,7 +419,4 @@ def nearest_segments(points: DataFrame, ends: DataFrame, id_col: str = "row_id",
                            T.StructField("b_id", id_type), T.StructField("residual", T.DoubleType())])
     task = [*one, "_pb", "_i", "_j"]
     placed_e = placed_e.toDF(*placed_e.columns)
-    found = placed_p.groupBy(*task).cogroup(placed_e.groupBy(*task)).applyInPandas(block, schema)
-    best = found.groupBy(*by, "point_id").agg(F.min(F.struct("residual", "a_id", "b_id")).alias("_m"))
-    return best.select(*by, "point_id", F.col("_m.a_id").alias("a_id"), F.col("_m.b_id").alias("b_id"),
-                       F.col("_m.residual").alias("residual"))
+    return placed_p.groupBy(*task).cogroup(placed_e.groupBy(*task)).applyInPandas(block, schema)

@@ -123,3 +123,30 @@ def test_spanning_tree_takes_few_jobs(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("tree")) <= 70  # 94 with a checkpoint per link
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_points_on_segments_are_found_without_all_pairs(monkeypatch):
+    from rareclass.operators import neighbors as nb
+    rng = np.random.default_rng(3)
+    v, owner = rng.normal(size=(1500, 16)) + 20.0, rng.integers(0, 2, 1500)
+    v[700] = v[701]  # a zero-length pair
+    a, b = rng.integers(0, 1500, 60), rng.integers(0, 1500, 60)
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    t = rng.random(len(a))
+    x = v[a] + t[:, None] * (v[b] - v[a])
+    x[0] = v[a[0]]  # an end itself: every segment from it is at distance 0, the first one wins
+    plain = nb._all_segments
+    wide = x[1:6] + rng.normal(size=(5, 16)) * 0.3  # not on a segment: the limit rules less out, or nothing
+    for crossing in (False, True):
+        want = plain(np.vstack([x[:1], wide]), v, owner, crossing)
+        limits = np.array([1e-7, *(want[0][1:4] * 1.01), np.nan, np.inf])
+        got = nb.segments_within(np.vstack([x[:1], wide]), limits, v, owner, crossing)
+        np.testing.assert_allclose(got[2], want[0], atol=1e-9)
+        assert (got[0] == want[1]).all() and (got[1] == want[2]).all()
+    assert np.isinf(nb.segments_within(wide, np.full(5, 1e-6), v, owner, False)[2]).all()
+
+    def never(*_):
+        raise AssertionError("all pairs compared")
+    monkeypatch.setattr(nb, "_all_segments", never)
+    i, j, d = nb.segments_within(x[1:], np.full(len(x) - 1, 1e-6), v, owner, False)
+    assert (i == a[1:]).all() and (j == b[1:]).all() and d.max() < 1e-12
