@@ -1,10 +1,9 @@
 """Exact nearest-neighbour joins over vector columns.
 
 Both sides are cut into bounded blocks and joined block against block; a task sees at most
-``block_rows`` rows of each side and returns at most ``k`` candidates per query, which a ranked
-window merges. Reference rows are grouped around pivots, one per block of rows or as many as the square
-root of the table, and distance bounds decide which groups a query has to visit, so far groups are skipped without
-changing the result. A group holding most rows is simply split into more blocks.
+``block_rows`` rows of each side (up to eight times as many of a large table) and returns at most ``k`` candidates per query, which a ranked
+window merges. Reference rows are grouped around pivots, one per block of rows, and distance bounds decide which groups a chunk of
+queries has to visit, so far groups are skipped without changing the result. A group holding most rows is simply split into more blocks.
 """
 
 from __future__ import annotations
@@ -55,7 +54,7 @@ def nearest_in_block(q: np.ndarray, r: np.ndarray, r_id: np.ndarray, k: int,
         mask = barred(start, start + len(part))
         if mask is not None:
             square[mask] = np.inf
-        kth = np.partition(square, k - 1, axis=1)[:, k - 1]
+        kth = square.min(1) if k == 1 else np.partition(square, k - 1, axis=1)[:, k - 1]
         slack = 1e-9 * (norm + r_norm.max() + 1.0)
         rows, cols = np.nonzero((square <= (kth + slack)[:, None]) & np.isfinite(square))
         exact = np.empty(len(rows))
@@ -107,29 +106,24 @@ def _pivot_bounds(refs: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     return refs.groupBy(*group).agg(F.min("_rad").alias("_min"), F.max("_rad").alias("_max")).join(small, group)
 
 
-def _route(queries: DataFrame, by: Sequence[str], pivots: np.ndarray, stats: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """One row per (query, pivot group) whose lower distance bound is within the query's upper bound.
+def _visits(queries: DataFrame, by: Sequence[str], pivots: np.ndarray, stats: DataFrame, k: int) -> DataFrame:
+    """(by, _own, _chunk, _cell): the pivot groups in which a query of a chunk may have a neighbour, by distance bounds.
 
-    Queries of a group go in blocks to tasks that hold the group's bounds: a row per pivot, never a row per reference.
+    Queries of a chunk share their nearest pivot, so they look at much the same groups. A task holds one chunk and a row per group; it returns
+    no vectors, the join that follows takes them to the groups.
     """
-    by = list(by)
-    one = [] if by else ["_one"]
-    if one:
-        queries, stats = queries.withColumn("_one", F.lit(0)), stats.withColumn("_one", F.lit(0))
-    keys = [*by, *one]
-    chunks = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_chunks"))
-    asked = queries.join(chunks, keys).withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.col("_chunks")).cast("int"))
-    held = stats.join(chunks, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    columns = [c for c in queries.columns if c != "_one"]
+    task = [*by, "_own", "_chunk"]
+    chunks = queries.select(*task).distinct()
+    held = chunks.join(stats, list(by)) if by else chunks.crossJoin(stats)
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*columns, "_cell"])
+            return pd.DataFrame(columns=[*task, "_cell"])
         cells, low, high = (right[c].to_numpy() for c in ("_cell", "_min", "_max"))
         small = np.full((len(right), k), np.inf)
         for i, values in enumerate(right["_small"]):
             small[i, :len(values)] = values
-        v, parts = stack(left["_v"]), []
+        v, seen = stack(left["_v"]), np.zeros(len(cells), dtype=bool)
         step = max(1, STEP_CELLS // (max(len(pivots), k * len(cells))))
         for a in range(0, len(v), step):
             d = distances(v[a:a + step], pivots)
@@ -140,14 +134,29 @@ def _route(queries: DataFrame, by: Sequence[str], pivots: np.ndarray, stats: Dat
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = np.where(gap > 0, (dc ** 2 - (d.min(1) ** 2)[:, None]) / (2 * gap), 0.0)
             lower = np.maximum(np.maximum(dc - high, low - dc), plane)
-            rows, cols = np.nonzero(lower <= (upper * (1 + 1e-7) + 1e-7)[:, None])
-            parts.append(left.iloc[rows + a][columns].assign(_cell=cells[cols].astype("int32")))
-        return pd.concat(parts)
+            seen |= (lower <= (upper * (1 + 1e-7) + 1e-7)[:, None]).any(0)
+        out = pd.DataFrame({"_cell": cells[seen].astype("int32")})
+        return out.assign(**{c: left[c].iloc[0] for c in task})[[*task, "_cell"]]
 
-    schema = T.StructType([*_fields(queries, columns), T.StructField("_cell", T.IntegerType())])
-    task = [*keys, "_chunk"]
+    schema = T.StructType([*_fields(queries, task), T.StructField("_cell", T.IntegerType())])
     held = held.toDF(*held.columns)
-    return asked.groupBy(*task).cogroup(held.groupBy(*task)).applyInPandas(visit, schema)
+    return queries.select(*task, "_v").groupBy(*task).cogroup(held.groupBy(*task)).applyInPandas(visit, schema)
+
+
+def _visit_blocks(q: DataFrame, r: DataFrame, by: Sequence[str], pivots: np.ndarray, k: int, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns of their tasks: chunks of at most about ``rows`` queries meet blocks of as many references."""
+    by = list(by)
+    r = cut_lineage(_assign(r, pivots))
+    own = _assign(q, pivots).drop("_rad").withColumnRenamed("_cell", "_own")
+    own = written(own, "knn-queries")
+    many = own.groupBy(*by, "_own").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_chunks"))
+    own = own.join(many, [*by, "_own"]).withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.col("_chunks"))).drop("_chunks")
+    visits = written(_visits(own, by, pivots, _pivot_bounds(r.select(*by, "_cell", "_rad"), by, k), k), "knn-visits")
+    blocks = r.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_R"))
+    met = visits.join(blocks, [*by, "_cell"])
+    left = own.join(met, [*by, "_own", "_chunk"]).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_R") - 1))).drop("_R")
+    right = r.drop("_rad").join(met, [*by, "_cell"]).withColumn("_rb", F.pmod(F.xxhash64("nn_id"), F.col("_R"))).drop("_R")
+    return left, right, [*by, "_cell", "_own", "_chunk", "_rb"]
 
 
 def pair_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str,
@@ -185,19 +194,16 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "row_id"
         F.col("_n") <= (k + 1 if exclude_self else k)).drop("_h", "_n")
     r = cut_lineage(r)  # counted, sampled, bounded and joined below
     n_refs = r.count()
-    # pivots grow with the square root of the table, so a row is compared with few of them and a group holds few blocks
-    width = max(1, min(n_refs // block_rows, isqrt(n_refs)))
+    # blocks grow with the table up to a bound, so that rows meet few of them; pivots are one per block
+    rows = max(block_rows, min(8 * block_rows, n_refs // 16))
+    width = max(1, min(n_refs // rows, isqrt(n_refs)))
     chosen = r.orderBy(hash_text("pivot", "nn_id"), "nn_id").select("_v").limit(width).collect()
     if width == 1 or not chosen:
         q, r = q.withColumn("_cell", F.lit(0)), r.withColumn("_cell", F.lit(0))
+        q, r = pair_blocks(q, r, [*by, "_cell"], "query_id", "nn_id", rows)
+        task = [*by, "_cell", "_lb", "_rb"]
     else:
-        pivots = np.array([c["_v"] for c in chosen], dtype=np.float64)
-        r = cut_lineage(_assign(r, pivots))
-        need = k + 1 if exclude_self else k
-        q = _route(q, by, pivots, _pivot_bounds(r.select(*by, "_cell", "_rad"), by, need), need, block_rows)
-        r = r.drop("_rad")
-    keys = [*by, "_cell"]
-    q, r = pair_blocks(q, r, keys, "query_id", "nn_id", block_rows)
+        q, r, task = _visit_blocks(q, r, by, np.array([c["_v"] for c in chosen], dtype=np.float64), k + 1 if exclude_self else k, rows)
     names = [f"nn_{c}" for c in carry]
     keep, by = list(keep), list(by)
 
@@ -216,7 +222,6 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "row_id"
     schema = T.StructType([
         *_fields(q, [*by, "query_id", *keep]), *_fields(r, ["nn_id"]), T.StructField("distance", T.DoubleType()),
         *_fields(r, names)])
-    task = [*keys, "_lb", "_rb"]
     r = r.toDF(*r.columns)  # own column ids when both sides come from one table
     found = q.groupBy(*task).cogroup(r.groupBy(*task)).applyInPandas(block, schema)
     rank = F.row_number().over(W.partitionBy(*by, "query_id").orderBy("distance", "nn_id"))

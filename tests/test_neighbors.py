@@ -150,3 +150,20 @@ def test_points_on_segments_are_found_without_all_pairs(monkeypatch):
     monkeypatch.setattr(nb, "_all_segments", never)
     i, j, d = nb.segments_within(x[1:], np.full(len(x) - 1, 1e-6), v, owner, False)
     assert (i == a[1:]).all() and (j == b[1:]).all() and d.max() < 1e-12
+
+
+def test_knn_tasks_are_bounded_and_routes_carry_no_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from rareclass.operators import neighbors as nb
+    x = np.random.default_rng(8).normal(size=(600, 12))  # bounds rule nothing out, every chunk visits every group
+    df = points(spark, x, np.zeros(600))
+    q = df.select(F.col("row_id").alias("query_id"), F.col("features").alias("_v"))
+    r = df.select(F.col("row_id").alias("nn_id"), F.col("features").alias("_v"))
+    left, right, task = nb._visit_blocks(q, r, [], x[:15], 3, 40)
+    for side in (left, right):
+        assert max(c["count"] for c in side.groupBy(*task).count().collect()) <= 3 * 40
+    own = nb._assign(q, x[:15]).withColumnRenamed("_cell", "_own").withColumn("_chunk", F.lit(0).cast("bigint"))
+    bounds = nb._pivot_bounds(nb._assign(r, x[:15]).select("_cell", "_rad"), [], 3)
+    visits = nb._visits(own, [], x[:15], bounds, 3)
+    assert visits.columns == ["_own", "_chunk", "_cell"] and visits.count() <= 15 * 15
