@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rareclass.functions.ranks import range_cuts, running_totals
-from rareclass.session import cut_lineage
+from rareclass.session import cut_lineage, written
 
 #: Gradients are counted in this part of one.
 SCALE = 1 << 24
@@ -159,12 +159,14 @@ def choose(hist: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where(some, feature, -1), bin_, sums
 
 
-def grow_alone(bins: np.ndarray, y: np.ndarray, keys: np.ndarray, width: int, s: Settings) -> list[Growth]:
-    """All trees of one client whose rows are in this task."""
+def grow_alone(bins: np.ndarray, y: np.ndarray, keys: np.ndarray, width: int, s: Settings, times: np.ndarray | None = None) -> list[Growth]:
+    """All trees of one client whose rows are in this task, each ``times`` over."""
     code, margin, out = np.zeros(len(y), dtype=np.int64), np.zeros(len(y)), []
     for t in range(s.trees):
         tree, slot, seen = Growth.start(1, s.depth), np.zeros(len(y), dtype=np.int64), drawn(keys, t, s)
         g, h = gradients(margin, y)
+        if times is not None:
+            g, h = g * times, h * times
         for level in range(s.depth):
             first = (1 << level) - 1
             rows = np.flatnonzero(seen & (slot >= first))
@@ -194,7 +196,7 @@ def fit_forest(df: DataFrame, client: str = "client_id", vec: str = "features",
                settings: Settings | None = None, task_cells: int = 1 << 22, group: int = 64, store_every: int = 10) -> DataFrame:
     """One booster per client from scratch, as rows (client, tree, feature, cut, value); one-class clients have none.
 
-    A client with at most ``task_cells`` feature values is grown inside one task. Larger ones, ``group`` of them together, take one job per
+    A client with at most ``task_cells`` feature values (equal rows once, where no tree draws rows) is grown inside one task. Larger ones, ``group`` of them together, take one job per
     level; margins are written every ``store_every`` trees and the trees since then run again in each job. Both give the same trees.
     ``row_id`` decides which rows a subsampled tree sees (else a hash of the row, which equal rows share). Rows without a label or a client
     are left out.
@@ -216,8 +218,20 @@ def fit_forest(df: DataFrame, client: str = "client_id", vec: str = "features",
         trees = grow_alone(bins, table.column("_y").to_numpy(), table.column("_key").to_numpy().view(np.uint64), width, s)
         return _table([table.column(client)[0].as_py()] * len(trees), _flat_rows(trees, 0, cuts, s), table.schema.field(client))
 
-    small = rows.join(sizes.where(F.col("_rows") * d <= task_cells).select(client), client)
-    forest = small.groupBy(client).applyInArrow(alone, schema)
+    def merged(table: pa.Table) -> pa.Table:
+        bins = np.frombuffer(b"".join(table.column("_bins").to_pylist()), "<u2").reshape(-1, d)
+        y, times = table.column("_y").to_numpy(), table.column("_times").to_numpy().astype(np.float64)
+        trees = grow_alone(bins, y, np.zeros(len(y), np.uint64), width, s, times)
+        return _table([table.column(client)[0].as_py()] * len(trees), _flat_rows(trees, 0, cuts, s), table.schema.field(client))
+
+    if s.subsample >= 1:
+        # without draws, rows of equal bins and label stay together in every tree: one of them stands for all, so many times over
+        source = written(_counted(rows.join(sizes.select(client), client), client, cuts, d), "boosting-kinds")
+        sizes = source.groupBy(client).agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        source = rows
+    small = source.join(sizes.where(F.col("_rows") * d <= task_cells).select(client), client)
+    forest = small.groupBy(client).applyInArrow(merged if s.subsample >= 1 else alone, schema)
     # at most all cells / task_cells of them
     large = sorted(r[client] for r in sizes.where(F.col("_rows") * d > task_cells).collect())
     for a in range(0, len(large), group):
@@ -225,6 +239,20 @@ def fit_forest(df: DataFrame, client: str = "client_id", vec: str = "features",
     return cut_lineage(forest)
 
 
+def _counted(rows: DataFrame, client: str, cuts: list[np.ndarray], d: int) -> DataFrame:
+    """(client, _bins, _y, _times): how many rows of a client have the same bins and label."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = np.ascontiguousarray(binned(_matrix(batch.column("_x"), d), cuts).astype("<u2"))
+                whole = pa.array([b.tobytes() for b in bins], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(client), whole, batch.column("_y")], names=[client, "_bins", "_y"])
+
+    kind = rows.schema[client].dataType.simpleString()
+    each = rows.select(client, "_x", "_y").mapInArrow(run, f"`{client}` {kind}, _bins binary, _y double")
+    return each.groupBy(client, "_bins", "_y").agg(F.count(F.lit(1)).alias("_times"))
+
+
 def _table(clients: list, rows: list[tuple], field: pa.Field) -> pa.Table:
     return pa.table([pa.array(clients, field.type), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                      pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.list_(pa.float64()))],

@@ -139,3 +139,15 @@ def test_margins_and_prefixes(spark):
     assert all(abs(got[c][1] - want[c][1]) < 1e-12 for c in want)
     one_class = {r["client_id"]: (r["prefix"], r["auprc"]) for r in t.best_prefix(forest, df.where("label = 1")).collect()}
     assert one_class == {1: (6, 0.0), 2: (6, 0.0)}
+
+
+def test_equal_rows_of_a_large_client_are_grown_in_one_task(spark, monkeypatch):
+    rows = [(k * 1000 + r[0], *r[1:]) for k in range(6) for r in rows_of()]
+    df = spark.createDataFrame(rows, SCHEMA)
+    how = dict(row_id="row_id", settings=b.Settings(4, depth=3))
+    whole = sorted(tuple(map(str, r)) for r in b.fit_forest(df, **how).collect())
+
+    def never(*_):
+        raise AssertionError("level by level")
+    monkeypatch.setattr(b, "_grow_together", never)
+    assert sorted(tuple(map(str, r)) for r in b.fit_forest(df, task_cells=1500, **how).collect()) == whole
