@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rareclass.functions.ranks import range_cuts, running_totals
+from rareclass.functions.ranks import range_cuts, running_totals, shuffle_width
 from rareclass.session import cut_lineage, written
 
 #: Gradients are counted in this part of one.
@@ -160,13 +160,19 @@ def choose(hist: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def grow_alone(bins: np.ndarray, y: np.ndarray, keys: np.ndarray, width: int, s: Settings, times: np.ndarray | None = None) -> list[Growth]:
-    """All trees of one client whose rows are in this task, each ``times`` over."""
+    """All trees of one client whose rows are in this task.
+
+    ``times``: how many equal rows each stands for, as one number or, where trees draw rows, as the number that each tree sees.
+    """
     code, margin, out = np.zeros(len(y), dtype=np.int64), np.zeros(len(y)), []
     for t in range(s.trees):
-        tree, slot, seen = Growth.start(1, s.depth), np.zeros(len(y), dtype=np.int64), drawn(keys, t, s)
+        tree, slot = Growth.start(1, s.depth), np.zeros(len(y), dtype=np.int64)
         g, h = gradients(margin, y)
-        if times is not None:
-            g, h = g * times, h * times
+        if times is None:
+            seen = drawn(keys, t, s)
+        else:
+            many = times[:, t] if times.ndim == 2 else times
+            g, h, seen = g * many, h * many, many > 0
         for level in range(s.depth):
             first = (1 << level) - 1
             rows = np.flatnonzero(seen & (slot >= first))
@@ -196,8 +202,10 @@ def fit_forest(df: DataFrame, client: str = "client_id", vec: str = "features",
                settings: Settings | None = None, task_cells: int = 1 << 22, group: int = 64, store_every: int = 10) -> DataFrame:
     """One booster per client from scratch, as rows (client, tree, feature, cut, value); one-class clients have none.
 
-    A client with at most ``task_cells`` feature values (equal rows once, where no tree draws rows) is grown inside one task. Larger ones, ``group`` of them together, take one job per
-    level; margins are written every ``store_every`` trees and the trees since then run again in each job. Both give the same trees.
+    Rows of a client with equal bins and label go the same way in every tree, so one of them stands for all, with the number of them; where trees draw
+    rows, with the number that each tree draws. A client with at most ``task_cells`` feature values (or draw counts) is grown inside one task. Larger ones,
+    ``group`` of them together, take one job per level; margins are written every ``store_every`` trees and the trees since then run again in each job.
+    All ways give the same trees.
     ``row_id`` decides which rows a subsampled tree sees (else a hash of the row, which equal rows share). Rows without a label or a client
     are left out.
     """
@@ -220,20 +228,28 @@ def fit_forest(df: DataFrame, client: str = "client_id", vec: str = "features",
 
     def merged(table: pa.Table) -> pa.Table:
         bins = np.frombuffer(b"".join(table.column("_bins").to_pylist()), "<u2").reshape(-1, d)
-        y, times = table.column("_y").to_numpy(), table.column("_times").to_numpy().astype(np.float64)
+        y = table.column("_y").to_numpy()
+        times = table.column("_times").to_numpy().astype(np.float64) if s.subsample >= 1 \
+            else np.frombuffer(b"".join(table.column("_draws").to_pylist()), "<i8").reshape(len(y), -1).astype(np.float64)
         trees = grow_alone(bins, y, np.zeros(len(y), np.uint64), width, s, times)
         return _table([table.column(client)[0].as_py()] * len(trees), _flat_rows(trees, 0, cuts, s), table.schema.field(client))
 
-    if s.subsample >= 1:
-        # without draws, rows of equal bins and label stay together in every tree: one of them stands for all, so many times over
-        source = written(_counted(rows.join(sizes.select(client), client), client, cuts, d), "boosting-kinds")
-        sizes = source.groupBy(client).agg(F.count(F.lit(1)).alias("_rows"))
-    else:
-        source = rows
-    small = source.join(sizes.where(F.col("_rows") * d <= task_cells).select(client), client)
-    forest = small.groupBy(client).applyInArrow(merged if s.subsample >= 1 else alone, schema)
+    kinds = written(_counted(rows.join(sizes.select(client), client), client, cuts, d), "boosting-kinds")
+    number = kinds.groupBy(client).agg(F.count(F.lit(1)).alias("_kinds"))
+    held, fits = F.col("_kinds") * (d if s.subsample >= 1 else max(d, s.trees)), F.col("_rows") * d <= task_cells
+    # counting draws pays where a row stands for many, or where the rows are too many for a task
+    merge = (held <= task_cells) if s.subsample >= 1 else (held <= task_cells) & ((F.col("_kinds") * 2 <= F.col("_rows")) | ~fits)
+    sizes = written(sizes.join(number, client).select(client, F.when(merge, "merged").when(fits & F.lit(s.subsample < 1), "alone").otherwise("large").alias("_way")), "boosting-ways")
+    # a task per client, few bytes as they are: they take long to grow
+    width_ = shuffle_width(rows)
+    few = sizes.where("_way = 'merged'").select(client)
+    source = kinds.join(few, client) if s.subsample >= 1 else _drawn_counts(rows.join(few, client), client, cuts, d, s)
+    forest = source.repartition(width_, client).groupBy(client).applyInArrow(merged, schema)
+    if s.subsample < 1:
+        own = rows.join(sizes.where("_way = 'alone'").select(client), client)
+        forest = forest.unionByName(own.repartition(width_, client).groupBy(client).applyInArrow(alone, schema))
     # at most all cells / task_cells of them
-    large = sorted(r[client] for r in sizes.where(F.col("_rows") * d > task_cells).collect())
+    large = sorted(r[client] for r in sizes.where("_way = 'large'").collect())
     for a in range(0, len(large), group):
         forest = forest.unionByName(_grow_together(rows, large[a:a + group], client, schema, cuts, width, s, store_every))
     return cut_lineage(forest)
@@ -253,6 +269,55 @@ def _counted(rows: DataFrame, client: str, cuts: list[np.ndarray], d: int) -> Da
     return each.groupBy(client, "_bins", "_y").agg(F.count(F.lit(1)).alias("_times"))
 
 
+def _drawn_counts(rows: DataFrame, client: str, cuts: list[np.ndarray], d: int, s: Settings, flush: int = 1 << 18, cells: int = 64) -> DataFrame:
+    """(client, _bins, _y, _draws): how many rows of a client with the same bins and label each tree draws, as packed whole numbers.
+
+    Tasks count ``flush`` rows at a time; counts of a client are then added up in ``cells`` parts, so no task sees them once per task.
+    """
+    kind = rows.schema[client].dataType.simpleString()
+
+    def counted(codes: np.ndarray, bins: np.ndarray, y: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of one row of each kind, counts of (kinds, trees))."""
+        whole = np.ascontiguousarray(np.column_stack([codes.astype("<i8").view("<u2").reshape(len(y), 4), bins, y.astype("<f8").view("<u2").reshape(len(y), 4)]))
+        _, first, at = np.unique(whole.view(f"V{whole.shape[1] * 2}").ravel(), return_index=True, return_inverse=True)
+        return first, np.stack([np.bincount(at, drawn(keys, t, s), len(first)) for t in range(s.trees)], axis=1).astype("<i8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict = {}
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            codes, bins, y, keys = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            first, draws = counted(codes, bins, y, keys)
+            own = list(names)
+            return pa.RecordBatch.from_arrays([
+                pa.array([own[c] for c in codes[first].tolist()], arrow), pa.array([b.tobytes() for b in bins[first]], pa.binary()), pa.array(y[first]),
+                pa.array([v.tobytes() for v in draws], pa.binary())], names=[client, "_bins", "_y", "_draws"])
+
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.array([names.setdefault(c, len(names)) for c in batch.column(client).to_pylist()], np.int64)
+                waiting.append((codes, binned(_matrix(batch.column("_x"), d), cuts).astype("<u2"), batch.column("_y").to_numpy(), batch.column("_key").to_numpy().view(np.uint64)))
+            if sum(len(w[0]) for w in waiting) >= flush:
+                yield out()
+                waiting.clear()
+        if waiting:
+            yield out()
+
+    def added(table: pa.Table) -> pa.Table:
+        bins, y, draws = (table.column(c).to_pylist() for c in ("_bins", "_y", "_draws"))
+        sums: dict[tuple, np.ndarray] = {}
+        for place, v in zip(zip(bins, y, strict=True), draws, strict=True):
+            v = np.frombuffer(v, "<i8")
+            sums[place] = sums[place] + v if place in sums else v
+        return pa.table([pa.array([table.column(client)[0].as_py()] * len(sums), arrow), pa.array([b for b, _ in sums], pa.binary()), pa.array([v for _, v in sums], pa.float64()),
+                         pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=[client, "_bins", "_y", "_draws"])
+
+    arrow, schema = to_arrow_type(rows.schema[client].dataType), f"`{client}` {kind}, _bins binary, _y double, _draws binary"
+    return rows.select(client, "_x", "_y", "_key").mapInArrow(run, schema).withColumn("_cell", F.pmod(F.xxhash64("_bins"), F.lit(cells))) \
+        .groupBy(client, "_cell").applyInArrow(added, schema)
+
+
 def _table(clients: list, rows: list[tuple], field: pa.Field) -> pa.Table:
     return pa.table([pa.array(clients, field.type), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                      pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.list_(pa.float64()))],
@@ -402,6 +467,33 @@ def tree_margins(forest: DataFrame, clients: Sequence, df: DataFrame, trees: int
     return source.mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<double>")).schema)
 
 
+def stacked_kinds(forest: DataFrame, clients: Sequence, df: DataFrame, trees: int | None = None, client: str = "client_id", vec: str = "features",
+                  label: str = "label", out: str = "stack") -> DataFrame:
+    """R16 for fitting: (client, label, out, times), the margins of :func:`tree_margins` once for all rows of a client and label that share them.
+
+    Rows between the same cuts of all trees take the same ways. They are counted by these places, and a place's margins come from its lower ends;
+    so there are no more rows than places, however long the table.
+    """
+    used = forest.select(F.explode(F.arrays_zip("feature", "cut")).alias("_s")).select("_s.feature", "_s.cut").where("feature >= 0").distinct().collect()
+    d = len(df.select(vec).first()[0])
+    cuts = [np.array(sorted({r["cut"] for r in used if r["feature"] == j})) for j in range(d)]
+    ends = [np.concatenate([[-np.inf], c]) for c in cuts]
+    rows = df.where(F.col(label).isNotNull() & F.col(client).isNotNull()).select(client, F.col(vec).cast("array<double>").alias("_x"), F.col(label).cast("double").alias("_y"))
+    counted = written(_counted(rows, client, cuts, d), "stack-kinds")
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column("_bins").to_pylist()), "<u2").reshape(-1, d)
+            x = np.column_stack([e[bins[:, j]] for j, e in enumerate(ends)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(client), batch.column("_y"), batch.column("_times"), lists], names=[client, label, "times", vec])
+
+    kind = df.schema[client].dataType.simpleString()
+    # few bytes but long margins: over all tasks
+    places = counted.repartition(shuffle_width(df)).mapInArrow(back, f"`{client}` {kind}, `{label}` double, times long, `{vec}` array<double>")
+    return tree_margins(forest, clients, places, trees, client, vec, out).drop(vec)
+
+
 def prefix_counts(forest: DataFrame, df: DataFrame, client: str = "client_id", vec: str = "features", label: str = "label") -> DataFrame:
     """(client, prefix, score, tp_at, n_at): every client's first ``prefix`` trees on all rows of ``df``; equal scores of a batch are merged."""
     loaded = load(forest, client)

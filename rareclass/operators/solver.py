@@ -24,34 +24,37 @@ TRIED = {"logistic": (1.0,), "hinge": (1.0, 0.4, 0.1, 0.02, 0.004)}
 BLOCK_ROWS = 4096
 
 
-def packed(df: DataFrame, client: str, vec: str, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(c, x, y): rows of one client and at most ``block_rows`` of them per block, as bytes. Rows without client or label are left out."""
+def packed(df: DataFrame, client: str, vec: str, label: str, block_rows: int = BLOCK_ROWS, times: str | None = None) -> DataFrame:
+    """(c, x, y, n): rows of one client and at most ``block_rows`` of them per block, as bytes. Rows without client or label are left out.
+
+    ``times`` names a column that says how many equal rows a row stands for; one each without it.
+    """
     rows = df.where(F.col(client).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(client).cast("string").alias("c"), F.col(vec).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"))
+        F.col(client).cast("string").alias("c"), F.col(vec).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"),
+        (F.col(times) if times else F.lit(1)).cast("double").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
         n = 0
 
         def out(names: list[str]) -> pa.RecordBatch:
             parts = [held.pop(k) for k in names]
-            return pa.RecordBatch.from_arrays([
-                pa.array(names, pa.string()), pa.array([np.concatenate([x for x, _ in p]).tobytes() for p in parts], pa.binary()),
-                pa.array([np.concatenate([y for _, y in p]).tobytes() for p in parts], pa.binary())], names=["c", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(
+                pa.array([np.concatenate([b[i] for b in p]).tobytes() for p in parts], pa.binary()) for i in range(3))], names=["c", "x", "y", "n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = batch.column("x")
             x = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1)
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype("<f8")
+            y, t = (batch.column(k).to_numpy(zero_copy_only=False).astype("<f8") for k in ("y", "n"))
             names, code = np.unique(np.array(batch.column("c").to_pylist(), dtype=object), return_inverse=True)
             order = np.argsort(code, kind="stable")
             ends = np.cumsum(np.bincount(code))
             for k, own in zip(names.tolist(), np.split(order, ends[:-1]), strict=True):
                 for a in range(0, len(own), block_rows):
-                    held.setdefault(k, []).append((x[own[a:a + block_rows]], y[own[a:a + block_rows]]))
-                    if sum(len(v) for _, v in held[k]) >= block_rows:
+                    held.setdefault(k, []).append(tuple(v[own[a:a + block_rows]] for v in (x, y, t)))
+                    if sum(len(b[1]) for b in held[k]) >= block_rows:
                         yield out([k])
             n += len(y)
             if n > 16 * block_rows:
@@ -60,23 +63,25 @@ def packed(df: DataFrame, client: str, vec: str, label: str, block_rows: int = B
         if held:
             yield out(list(held))
 
-    return rows.mapInArrow(run, "c string, x binary, y binary")
+    return rows.mapInArrow(run, "c string, x binary, y binary, n binary")
 
 
-def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Each row counts ``n`` times."""
     z = x @ w
     mu = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
-    return float((np.logaddexp(0.0, z) - y * z).sum()), x.T @ (mu - y), x.T @ (x * (mu * (1 - mu))[:, None])
+    return float((n * (np.logaddexp(0.0, z) - y * z)).sum()), x.T @ (n * (mu - y)), x.T @ (x * (n * mu * (1 - mu))[:, None])
 
 
-def hinge_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, width: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Hinge loss with its corner replaced by a parabola of the given width."""
+def hinge_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, width: float, n: np.ndarray | float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Hinge loss with its corner replaced by a parabola of the given width; each row counts ``n`` times."""
     s = 2.0 * y - 1.0
     short = 1.0 - s * (x @ w)
     bent, straight = (short > 0) & (short < width), short >= width
-    loss = (short[bent] ** 2).sum() / (2 * width) + (short[straight] - width / 2).sum()
-    slope = np.where(straight, 1.0, np.where(bent, short / width, 0.0))
-    return float(loss), -x.T @ (s * slope), x[bent].T @ x[bent] / width
+    n = np.broadcast_to(n, len(s))
+    loss = (n[bent] * short[bent] ** 2).sum() / (2 * width) + (n[straight] * (short[straight] - width / 2)).sum()
+    slope = n * np.where(straight, 1.0, np.where(bent, short / width, 0.0))
+    return float(loss), -x.T @ (s * slope), x[bent].T @ (x[bent] * n[bent, None]) / width
 
 
 def advance(state: dict, n: float, positives: float, sums: list[tuple[float, np.ndarray, np.ndarray]], kind: str, c: float, alpha: float,
@@ -157,17 +162,17 @@ def solve_clients(df: DataFrame, d: int, kind: str = "logistic", start: DataFram
     return solved.select("c", "w", "rows", "two", "loss", "steps", "settled")
 
 
-def _sums(x: np.ndarray, y: np.ndarray, state: dict, kind: str) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def _sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, state: dict, kind: str) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Loss, slope and curvature at each tried point of a client's state."""
     w, step = np.array(state["w"]), np.array(state["step"])
-    return [logistic_sums(x, y, w - part * step) if kind == "logistic" else hinge_sums(x, y, w - part * step, WIDTHS[state["stage"]])
+    return [logistic_sums(x, y, w - part * step, n) if kind == "logistic" else hinge_sums(x, y, w - part * step, WIDTHS[state["stage"]], n)
             for part in TRIED[kind]]
 
 
-def _rows(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A block's rows with a last column of ones, and labels."""
+def _rows(x: bytes, y: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's rows with a last column of ones, labels, and how often each row counts."""
     labels = np.frombuffer(y, "<f8")
-    return np.column_stack([np.frombuffer(x, "<f8").reshape(len(labels), -1), np.ones(len(labels))]), labels
+    return np.column_stack([np.frombuffer(x, "<f8").reshape(len(labels), -1), np.ones(len(labels))]), labels, np.frombuffer(n, "<f8")
 
 
 KINDS = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.float64(), pa.int32()]
@@ -181,16 +186,16 @@ def _alone(blocks: DataFrame, state: DataFrame, d: int, kind: str, c: float, alp
     """Clients whose rows fit a task, each solved in one by the same steps."""
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         own = right.to_pylist()[0]
-        rows = [_rows(x, y) for x, y in zip(left.column("x").to_pylist(), left.column("y").to_pylist(), strict=True)]
-        x, y = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        rows = [_rows(*cells) for cells in zip(*(left.column(k).to_pylist() for k in ("x", "y", "n")), strict=True)]
+        x, y, n = (np.concatenate([r[i] for r in rows]) for i in range(3))
         for _ in range(passes):
-            own = advance(own, len(y), y.sum(), _sums(x, y, own, kind), kind, c, alpha, tol, limit)
+            own = advance(own, n.sum(), (n * y).sum(), _sums(x, y, n, own, kind), kind, c, alpha, tol, limit)
             if own["done"]:
                 break
         return _state_row(own, right.column_names)
 
     columns = [f.split()[0] for f in STATE.split(", ")]
-    left = blocks.select(F.col("c").alias("_c"), "x", "y")  # states come from the blocks: another name for the key
+    left = blocks.select(F.col("c").alias("_c"), "x", "y", "n")  # states come from the blocks: another name for the key
     return left.groupBy("_c").cogroup(state.select(*columns).groupBy("c")).applyInArrow(solve, STATE)
 
 
@@ -201,10 +206,10 @@ def _stepped(blocks: DataFrame, state: DataFrame, d: int, kind: str, c: float, a
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for name, x_, y_, w, step, stage, part in zip(*(batch.column(k).to_pylist() for k in ("c", "x", "y", "w", "step", "stage", "part")), strict=True):
-                x, y = _rows(x_, y_)
-                found = _sums(x, y, {"w": w, "step": step, "stage": stage}, kind)
-                new = np.concatenate([[len(y), y.sum()], *(v for loss, grad, hess in found for v in ([loss], grad, hess.ravel()))])
+            for name, x_, y_, n_, w, step, stage, part in zip(*(batch.column(k).to_pylist() for k in ("c", "x", "y", "n", "w", "step", "stage", "part")), strict=True):
+                x, y, n = _rows(x_, y_, n_)
+                found = _sums(x, y, n, {"w": w, "step": step, "stage": stage}, kind)
+                new = np.concatenate([[n.sum(), (n * y).sum()], *(v for loss, grad, hess in found for v in ([loss], grad, hess.ravel()))])
                 held[name, part] = held[name, part] + new if (name, part) in held else new
         for (name, part), v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([v.astype("<f8").tobytes()])], names=["c", "part", "v"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rareclass.operators import metrics as m
-from rareclass.operators.boosting import Settings, fit_forest, margins_of_clients, prefix_counts, tree_margins
+from rareclass.operators.boosting import Settings, fit_forest, margins_of_clients, prefix_counts, stacked_kinds, tree_margins
 from rareclass.operators.groupfit import fit_clients, truncate_margins
 from rareclass.session import cut_lineage
 

@@ -64,17 +64,21 @@ def margin(x, w):
 
 def round_weights(train: DataFrame, clients: Sequence, d: int, kind: str = "logistic", rounds: int = ROUNDS,
                   steps: int | None = None, client: str = "client_id", vec: str = "features",
-                  label: str = "label", sizes: dict | None = None, weighting: str = "rows") -> tuple[list[np.ndarray], list[ClientWeights]]:
+                  label: str = "label", sizes: dict | None = None, weighting: str = "rows",
+                  times: str | None = None) -> tuple[list[np.ndarray], list[ClientWeights]]:
     """Combined weights of rounds 0..n and the client weights behind them.
 
     Round 0 is the start. In a round every client starts from the combined weights, fits on its own rows, and the
     results are averaged (:func:`shares`). Rows are packed once; client weights stay in tables, and only the combined weights, as long as the
     model, reach the driver. The problem of a client has one solution, whatever the start, so without ``steps`` it is solved in the first round,
     to convergence, and later rounds go on with it; a client with one class comes back with the weights of the round before, which moves the
-    mean. With ``steps`` every round takes so many steps from the combined weights.
+    mean. With ``steps`` every round takes so many steps from the combined weights. ``times`` names a column with the number of equal rows that a row
+    stands for (with ``weighting`` rows only).
     """
+    if times and weighting != "rows":
+        raise ValueError("merged rows have no precision of their own: weigh by rows")
     rows = train.where(F.col(client).cast("string").isin([str(c) for c in clients]))
-    blocks = cut_lineage(packed(rows, client, vec, label))
+    blocks = cut_lineage(packed(rows, client, vec, label, times=times))
     spark = train.sparkSession
     path, local = [np.zeros(d + 1)], []
     solved: DataFrame | None = None

@@ -187,11 +187,10 @@ def stacked(spark, sf_dir):
     """R16 + R17: margins of all clients' trees, weights for them learnt per client and averaged by rows."""
     forest, df = boosted(spark, sf_dir, **STACK)
     width = STACK["iterations"] * len(SEGMENTS)
-    features = t.tree_margins(forest, SEGMENTS, df, out="stack").drop("features")
-    sizes = {x["client_id"]: x["n"] for x in df.where("split = 'train'").groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    train = features.where("split = 'train'")
-    combined, _ = round_weights(train, SEGMENTS, width, rounds=1, vec="stack", sizes=sizes)
+    train = df.where("split = 'train'")
+    sizes = {x["client_id"]: x["n"] for x in train.groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = t.stacked_kinds(forest, SEGMENTS, train)
+    combined, _ = round_weights(kinds, SEGMENTS, width, rounds=1, vec="stack", sizes=sizes, times="times")
     return rounded(r.weights_table(spark, {"combined": combined[-1]}), 6)
 
 

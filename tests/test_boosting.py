@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rareclass.operators import boosting as b
 from rareclass.operators import trees as t
 from rareclass.operators.groupfit import select_prefix
+from rareclass.plans.grouped import round_weights
 
 SCHEMA = "row_id long, client_id int, label int, features array<double>"
 
@@ -151,3 +152,37 @@ def test_equal_rows_of_a_large_client_are_grown_in_one_task(spark, monkeypatch):
         raise AssertionError("level by level")
     monkeypatch.setattr(b, "_grow_together", never)
     assert sorted(tuple(map(str, r)) for r in b.fit_forest(df, task_cells=1500, **how).collect()) == whole
+
+
+def test_drawn_equal_rows_of_a_large_client_are_grown_in_one_task(spark, monkeypatch):
+    rows = [(k * 1000 + r[0], *r[1:]) for k in range(6) for r in rows_of()]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    how = dict(row_id="row_id", settings=b.Settings(4, depth=3, subsample=0.7))
+    together = sorted(tuple(map(str, r)) for r in b.fit_forest(df, task_cells=0, **how).collect())
+
+    def never(*_):
+        raise AssertionError("level by level")
+    monkeypatch.setattr(b, "_grow_together", never)
+    assert sorted(tuple(map(str, r)) for r in b.fit_forest(df, task_cells=2000, **how).collect()) == together
+    assert sorted(tuple(map(str, r)) for r in b.fit_forest(df, **how).collect()) == together
+
+
+def test_stack_is_fitted_on_places_instead_of_rows(spark):
+    rows = [(k * 1000 + r[0], r[1], r[2], [r[3][0], r[3][1], None if r[0] % 11 == 0 else r[3][2]]) for k in range(3) for r in rows_of()]
+    df = spark.createDataFrame(rows, SCHEMA)
+    forest = t.fit_boosters(df, row_id="row_id", iterations=4, depth=3, subsample=0.8)
+    whole = b.tree_margins(forest, [1, 2, 9], df, out="stack")
+    kinds = b.stacked_kinds(forest, [1, 2, 9], df)
+    got = {}
+    for r in kinds.collect():
+        key = r["client_id"], r["label"], tuple(r["stack"])
+        got[key] = got.get(key, 0) + r["times"]
+    want = {}
+    for r in whole.collect():
+        key = r["client_id"], r["label"], tuple(r["stack"])
+        want[key] = want.get(key, 0) + 1
+    assert got == want and kinds.count() * 3 <= len(rows)
+    for kind in ("logistic", "hinge"):
+        by_rows, _ = round_weights(whole, [1, 2, 9], 12, kind, rounds=1, vec="stack")
+        by_kinds, _ = round_weights(kinds, [1, 2, 9], 12, kind, rounds=1, vec="stack", times="times")
+        assert np.allclose(by_rows[-1], by_kinds[-1], atol=1e-7 if kind == "logistic" else 1e-3)
