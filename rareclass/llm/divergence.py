@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +25,104 @@ _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else
 _END = "\0"
 
 
-def _split(texts: DataFrame, shards: int) -> DataFrame:
-    """(gid, terms_0, terms_1, ...): the terms of each document, with their language in front, dealt to columns by a hash of the term."""
-    bounded_batches(texts.sparkSession)
-    names = [f"terms_{s}" for s in range(shards)]
+#: A task writes what it has counted when it holds so many different terms or counts of a group.
+_TERMS, _COUNTS = 1 << 19, 1 << 20
+
+
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class _Counted:
+    """Whole numbers added up by (major, minor) keys; new ones wait until there are many."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums, self.parts, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, major: np.ndarray, minor: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((major << 32 | minor, n))
+        self.waiting += len(n)
+        if self.waiting > _COUNTS:
+            self.merge()
 
-    def column(lists: list[list[bytes]]) -> pa.Array:
-        ends = np.cumsum([0, *(len(terms) for terms in lists)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array([t for terms in lists for t in terms], pa.binary()).cast(pa.string()))
+    def merge(self) -> int:
+        self.keys, self.sums = summed(np.concatenate([self.keys, *(k for k, _ in self.parts)]), np.concatenate([self.sums, *(n for _, n in self.parts)]))
+        self.parts, self.waiting = [], 0
+        return len(self.keys)
+
+
+def _split(texts: DataFrame, shards: int, min_docs: int = 10) -> DataFrame:
+    """(gid, weight, seen_0, ..., held_0, ...): the terms of many documents at once, with their language in front, dealt to columns by a hash of the term.
+
+    A task counts its documents in bounded portions and writes rows that stand for a portion, not for a document. ``seen``: ``min_docs`` rows, of which a term
+    is in as many as the portion has documents with it, in all of them from ``min_docs`` on; so the term is in at least ``min_docs`` rows of the table
+    exactly when it is in at least ``min_docs`` documents. ``held``: a row for each group and binary digit of a count, ``weight`` that digit's value, with the
+    terms that the group holds a number of times with that digit; so weights over the rows that hold a term add up to its exact count.
+    """
+    bounded_batches(texts.sparkSession)
+    columns = [f"{kind}_{s}" for kind in ("seen", "held") for s in range(shards)]
+
+    def rows(gid: np.ndarray, weight: int, kind: int, terms: pa.Array, shard: np.ndarray, row: np.ndarray, pick: np.ndarray) -> pa.RecordBatch:
+        """Row ``row`` of ``gid`` gets term ``pick``, in the column of its shard; rows ascend."""
+        lists = [pa.ListArray.from_arrays(pa.array(np.zeros(len(gid) + 1, np.int32)), pa.array([], pa.string()))] * (2 * shards)
+        for s in range(shards):
+            own = shard[pick] == s
+            ends = np.cumsum(np.bincount(row[own], minlength=len(gid)))
+            lists[kind * shards + s] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), terms.take(pa.array(pick[own])))
+        return pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array([weight] * len(gid), pa.int64()), *lists], names=["gid", "weight", *columns])
+
+    def portion(ids: _Numbers, langs: _Numbers, groups: _Numbers, lang_of: dict[int, int], docs: _Counted, counts: _Counted) -> Iterator[pa.RecordBatch]:
+        docs.merge(), counts.merge()
+        words, fronts = list(ids), [f"{lang}{_END}".encode() for lang in langs]
+        major, minor = docs.keys >> 32, docs.keys & 0xFFFFFFFF
+        terms = pa.array([fronts[a] + words[b] for a, b in zip(major.tolist(), minor.tolist())], pa.binary()).cast(pa.string())
+        shard = np.fromiter((zlib.crc32(t) % shards for t in words), np.int64, len(words))[minor]
+        for j in range(min_docs):
+            pick = np.flatnonzero(docs.sums > j)
+            if len(pick):
+                yield rows(np.zeros(1, np.int64), 0, 0, terms, shard, np.zeros(len(pick), np.int64), pick)
+        gids = np.array(list(groups), np.int64)
+        lang = np.array([lang_of[g] for g in range(len(groups))], np.int64)
+        group = counts.keys >> 32
+        place = np.searchsorted(docs.keys, lang[group] << 32 | counts.keys & 0xFFFFFFFF)
+        for digit in range(int(counts.sums.max(initial=0)).bit_length()):
+            own = np.flatnonzero(counts.sums >> digit & 1)
+            if len(own):
+                named, row = np.unique(group[own], return_inverse=True)
+                yield rows(gids[named], 1 << digit, 1, terms, shard, row, place[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ids, langs, groups, lang_of, docs, counts = _Numbers(), _Numbers(), _Numbers(), {}, _Counted(), _Counted()
         for batch in batches:
-            texts_, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            texts_ = batch.column("text").to_pylist()
+            own = np.array([groups[g] for g in batch.column("gid").to_pylist()], np.int64)
+            spoken = np.array([langs[x] for x in batch.column("lang").to_pylist()], np.int64)
+            lang_of.update(zip(own.tolist(), spoken.tolist()))
             for a, b in slices([len(t) for t in texts_], 1 << 20):
-                dealt: list[list[list[bytes]]] = [[[] for _ in range(a, b)] for _ in range(shards)]
-                for i in range(a, b):
-                    front = f"{langs[i]}{_END}".encode()
-                    add = [lists[i - a].append for lists in dealt]
-                    for t in texts_[i].translate(_FOLD).split():
-                        add[zlib.crc32(t) % shards](front + t)
-                yield pa.RecordBatch.from_arrays([batch.column("gid").slice(a, b - a), *map(column, dealt)], names=["gid", *names])
-
-    return texts.mapInArrow(run, ", ".join(["gid long", *(f"{n} array<string>" for n in names)]))
+                lists = [t.translate(_FOLD).split() for t in texts_[a:b]]
+                sizes = np.array([len(terms) for terms in lists], np.int64)
+                key = np.repeat(np.arange(a, b), sizes) << 32 | np.fromiter(map(ids.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum())
+                if not len(key):
+                    continue
+                key.sort()
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                doc, term = key[first] >> 32, key[first] & 0xFFFFFFFF
+                docs.add(spoken[doc], term, np.ones(len(first), np.int64))
+                counts.add(own[doc], term, np.diff(np.append(first, len(key))))
+                if len(ids) > _TERMS or len(counts.keys) > _COUNTS:
+                    yield from portion(*held)
+                    ids.clear(), docs.__init__(), counts.__init__()
+        yield from portion(*held)
+
+    return texts.select("gid", "lang", "text").mapInArrow(run, ", ".join(["gid long", "weight long", *(f"{n} array<string>" for n in columns)]))
 
 
 def _group_sums(vectors: DataFrame, cells: int) -> DataFrame:
-    """(gid, index, n): sparse document vectors summed per group in whole numbers; tasks hold sums, not dense rows.
+    """(gid, index, n): sparse vectors times their rows' weights, summed per group in whole numbers; tasks hold sums, not dense rows.
 
     Sums of a task travel as arrays, one for each of ``cells`` parts of the vocabulary, and are merged part by part.
     """
@@ -61,8 +134,9 @@ def _group_sums(vectors: DataFrame, cells: int) -> DataFrame:
             vector = batch.column("vector")
             lists, values = vector.field("indices"), vector.field("values").flatten().to_numpy()
             own = np.array([groups.setdefault(g, len(groups)) for g in batch.column("gid").to_pylist()], np.int64)
-            key = np.repeat(own, lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy().astype(np.int64)
-            parts.append((key, values.astype(np.int64)))
+            sizes = lists.value_lengths().to_numpy()
+            key = np.repeat(own, sizes) << 32 | lists.flatten().to_numpy().astype(np.int64)
+            parts.append((key, values.astype(np.int64) * np.repeat(batch.column("weight").to_numpy(), sizes)))
             waiting += len(key)
             if waiting > 1 << 20:
                 keys, sums = summed(np.concatenate([keys, *(k for k, _ in parts)]), np.concatenate([sums, *(n for _, n in parts)]))
@@ -83,17 +157,18 @@ def _group_sums(vectors: DataFrame, cells: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (index[1:] != index[:-1]))))
         return pa.table({"gid": gid[first], "index": index[first], "n": np.add.reduceat(n[order], first)})
 
-    return vectors.select("gid", "vector").mapInArrow(run, "cell int, gid binary, index binary, n binary") \
+    return vectors.select("gid", "weight", "vector").mapInArrow(run, "cell int, gid binary, index binary, n binary") \
         .groupBy("cell").applyInArrow(merge, "gid long, index long, n long")
 
 
 def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups, counts, terms): lang, source, gid of every group; gid, tid, n of every kept term that a group holds; tid, term.
 
-    A lang keeps the terms of at least ``min_docs`` of its documents. A ``CountVectorizer`` without a limit on its vocabulary counts documents and
-    gives the exact sparse vector of each. Terms carry their language, so one fit counts every language apart. Spark keeps a fitted vocabulary on
+    A lang keeps the terms of at least ``min_docs`` of its documents. A ``CountVectorizer`` without a limit on its vocabulary counts the rows that hold
+    a term and gives the exact sparse vector of each row. Its rows stand for portions of many documents and lead to the same terms and sums, see
+    :func:`_split`. Terms carry their language, so one fit counts every language apart. Spark keeps a fitted vocabulary on
     the driver, so terms are dealt to ``shards`` fits by a hash: four up to 1 GiB of text, then more with the power 0.6 of it, as vocabularies
-    grow. Texts are cut once; each fit reads its column. Groups and terms travel as numbers.
+    grow. Texts are cut once; each fit reads its columns. Groups and terms travel as numbers.
     """
     spark = docs.sparkSession
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP],
@@ -104,18 +179,18 @@ def term_counts(docs: DataFrame, min_docs: int = 10, shards: int | None = None)
     if shards is None:
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         shards = math.ceil(4 * max(1.0, size / 2**30) ** 0.6)
-    cut = stored(_split(texts, shards), "divergence-terms")
+    cut = stored(_split(texts, shards, min_docs), "divergence-terms")
     counts, names = scratch(spark, "divergence-counts"), scratch(spark, "divergence-vocabulary")
     # keeps a vocabulary from being empty, which CountVectorizer refuses
     filler = spark.range(min_docs).select(F.array(F.lit(_END)).alias("terms"))
     for shard in range(shards):
-        own = cut.select("gid", F.col(f"terms_{shard}").alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1) \
-            .fit(own.select("terms").unionByName(filler))
+        seen = cut.select(F.col(f"seen_{shard}").alias("terms")).where(F.size("terms") > 0)
+        held = cut.select("gid", "weight", F.col(f"held_{shard}").alias("terms")).where(F.size("terms") > 0)
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(seen.unionByName(filler))
         terms = pa.array(model.vocabulary, pa.string())
         spark.createDataFrame(pa.table({"tid": pa.array(np.arange(len(terms)) + (shard << 32)), "term": terms})) \
             .select("tid", F.substring_index("term", _END, -1).alias("term")).write.parquet(f"{names}/{shard}")
-        _group_sums(model.transform(own), max(8, len(terms) // 4096 + 1)).select("gid", (F.col("index") + F.lit(shard << 32)).alias("tid"), "n").write.parquet(f"{counts}/{shard}")
+        _group_sums(model.transform(held), max(8, len(terms) // 4096 + 1)).select("gid", (F.col("index") + F.lit(shard << 32)).alias("tid"), "n").write.parquet(f"{counts}/{shard}")
     folders = [str(shard) for shard in range(shards)]
     return (groups, spark.read.schema("gid long, tid long, n long").parquet(*(f"{counts}/{f}" for f in folders)),
             spark.read.schema("tid long, term string").parquet(*(f"{names}/{f}" for f in folders)))

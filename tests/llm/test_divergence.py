@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rareclass.llm.divergence import audit, share
+from rareclass.llm import divergence
+from rareclass.llm.divergence import _split, audit, share
 
 SCHEMA = "doc_id long, text string, lang string, source string, rank int, term string"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -71,3 +72,19 @@ def test_shares_stay_exact_in_large_corpora(spark):
     df = spark.createDataFrame(cases, "c long, n long, v long")
     got = [r[0] for r in df.select(share(F.col("c"), F.col("n"), F.col("v"))).collect()]
     assert got == [1 + 10**9 * (c + 2) // (n + 2 * v) for c, n, v in cases]
+
+
+def test_rows_stand_for_portions_of_documents(spark):
+    text, n = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)), 400
+    texts = spark.range(n, numPartitions=1).select(F.lit(7).cast("long").alias("gid"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(text).cast("binary").alias("text"))
+    cut = _split(texts, 3)
+    lists = [F.coalesce(F.size(name), F.lit(0)) for name, kind in cut.dtypes if kind == "array<string>"]
+    written = cut.select(F.sum(sum(lists[1:], lists[0]))).first()[0]
+    assert written <= 300 * (10 + n.bit_length())
+
+
+def test_small_portions_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "_TERMS", 20)
+    monkeypatch.setattr(divergence, "_COUNTS", 50)
+    rows = corpus()
+    assert sorted(tuple(r) for r in audit(spark.createDataFrame(rows, SCHEMA), min_docs=10).collect()) == dense(rows, 10)
