@@ -25,6 +25,7 @@ from rareclass.session import cut_lineage, written
 BLOCK_ROWS = 4096
 SEGMENT_ROWS = 2048
 STEP_CELLS = 4_000_000  # distances held at once while rows are compared with pivots
+TILE_ROWS, TILE_COLS = 256, 2048  # a tile of single-precision distances stays in a core's cache
 
 
 def stack(vectors: pd.Series) -> np.ndarray:
@@ -71,6 +72,103 @@ def nearest_in_block(q: np.ndarray, r: np.ndarray, r_id: np.ndarray, k: int,
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
 
 
+def _nearest_kept(own: np.ndarray, other: np.ndarray, square: np.ndarray, k: int, slack: np.ndarray, gaps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest ``other`` of each ``own`` among candidates with squared distances known to within half of ``slack``; ties to the lower one."""
+    order = np.lexsort((square, own))
+    own, other, square = own[order], other[order], square[order]
+    first, end = np.searchsorted(own, own, "left"), np.searchsorted(own, own, "right")
+    near = square <= square[np.minimum(first + k, end) - 1] + slack[own]
+    own, other = own[near], other[near]
+    d = gaps(own, other)
+    order = np.lexsort((other, d, own))
+    own, other, d = own[order], other[order], d[order]
+    keep = np.arange(len(own)) - np.searchsorted(own, own, "left") < k
+    return own[keep], other[keep], d[keep]
+
+
+def nearest_of_both(x: np.ndarray, y: np.ndarray, k: int, same: bool = False,
+                    most: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """[(row, other row, distance)] of the k nearest rows of ``y`` to every row of ``x``, then of ``x`` to every row of ``y``; ties to the lower row.
+
+    ``most``: for the rows of both, a distance beyond which nothing is wanted (a few such rows may be returned); without it, some rows of the other side give one.
+    Each product of matrices serves both sides. It is taken in single precision where the distances that count are far above its
+    rounding; what may be among the k by a certain bound of that rounding is measured by direct differences. ``same``: ``y`` is ``x``, there is
+    one result and no row is its own neighbour.
+    """
+    centre = x.mean(0)
+    a, b = x - centre, y - centre
+    norms = [(z * z).sum(1) for z in (a, b)]
+    slack = [4.0 * (x.shape[1] + 4) * (norms[s] + norms[1 - s].max()) for s in (0, 1)]  # in units of rounding
+    # some rows bound the k-th distance: more of them cost more products, fewer leave more rows to be measured
+    taken = [np.arange(0, len(z), max(1, len(z) // isqrt(20 * k * len(z)))) for z in (a, b)]
+    nth = k + same
+
+    def kth(square: np.ndarray) -> np.ndarray:
+        return np.partition(square, nth - 1, axis=1)[:, nth - 1] if square.shape[1] >= nth else np.full(len(square), np.inf)
+
+    some = np.arange(0, len(a), max(1, len(a) // 64))
+    usual = np.median(kth(distances(a[some], b[taken[1]]) ** 2) if most is None else most[0][some] ** 2)
+    single = np.finfo(np.float32).eps
+    kind = np.float32 if usual > 64 * single * np.median(slack[0]) and norms[0].max() + norms[1].max() < 1e30 else np.float64
+    slack = [z * np.finfo(kind).eps for z in slack]
+    left = np.column_stack([-2.0 * a, norms[0], np.ones(len(a))]).astype(kind)
+    right = np.column_stack([b, np.ones(len(b)), norms[1]]).astype(kind)
+    sides, limits = (left, right), []
+    for s in (0, 1)[:1 if same else 2]:
+        if most is not None:
+            limits.append(most[s] ** 2 + slack[s])
+            continue
+        other = sides[1 - s][taken[1 - s]].T
+        step = max(1, STEP_CELLS // other.shape[1])
+        limits.append(np.concatenate([kth(sides[s][i:i + step] @ other) for i in range(0, len(sides[s]), step)]) + slack[s])
+
+    def gaps(i: np.ndarray, j: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for s in range(0, len(i), 100_000):
+            gap = u[i[s:s + 100_000]] - v[j[s:s + 100_000]]
+            out[s:s + 100_000] = np.sqrt((gap * gap).sum(1))
+        return out
+
+    def merged(held: list, s: int) -> list:
+        own, other, square = (np.concatenate(z) for z in zip(*held))
+        u, v = (x, y) if s == 0 else (y, x)
+        own, other, d = _nearest_kept(own, other, square, k, slack[s], lambda i, j: gaps(i, j, u, v))
+        full = np.flatnonzero(np.arange(len(own)) - np.searchsorted(own, own, "left") == k - 1)
+        limits[s][own[full]] = np.minimum(limits[s][own[full]], d[full] ** 2 + slack[s][own[full]])
+        return [(own, other, d * d)]
+
+    def result(held: list, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, other, square = merged(held, s)[0] if held else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return own, other, gaps(own, other, *((x, y) if s == 0 else (y, x)))
+
+    limits = [z.astype(kind) for z in limits]
+    found, back = [], []
+    for top in range(0, len(a), TILE_ROWS):
+        held = []
+        for at in range(0, len(b), TILE_COLS):
+            square = left[top:top + TILE_ROWS] @ right[at:at + TILE_COLS].T
+            mask = square <= limits[0][top:top + TILE_ROWS, None]
+            if not same:
+                mask |= square <= limits[1][None, at:at + TILE_COLS]
+            hit = np.flatnonzero(mask)
+            i, j = np.divmod(hit, square.shape[1])
+            value, i, j = square.ravel()[hit], i + top, j + at
+            mine = value <= limits[0][i]
+            if same:
+                mine &= i != j
+            held.append((i[mine], j[mine], value[mine]))
+            if sum(len(z[0]) for z in held[1:]) > STEP_CELLS // 4:
+                held = merged(held, 0)
+            if not same:
+                theirs = value <= limits[1][j]
+                back.append((j[theirs], i[theirs], value[theirs]))
+                if sum(len(z[0]) for z in back[1:]) > STEP_CELLS // 4:
+                    back = merged(back, 1)
+        found.append(result(held, 0))
+    out = [tuple(np.concatenate(z) for z in zip(*found))]
+    return out if same else [*out, result(back, 1)]
+
+
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType, True) for n in names]
 

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from rareclass.functions.ranks import exact_quantiles, null_safe_join, range_cuts, running_totals
-from rareclass.operators.neighbors import BLOCK_ROWS, knn_join, nearest_segments, stack
+from rareclass.operators.neighbors import BLOCK_ROWS, knn_join, nearest_in_block, nearest_of_both, nearest_segments, pair_blocks, stack
 from rareclass.session import cut_lineage, written
 
 TYPOLOGY_K = 5
 OVERLAP_BINS = 199
-TREE_ROWS = 2048  # rows of a block of the spanning tree; a task holds the distances of two blocks
+TREE_ROWS = 2048  # points whose spanning tree one task grows from all distances, and the least rows of a block of points
+TREE_NEAR = 8  # nearest points that each point of a larger tree knows
+TREE_EDGES = 1_000_000  # edges between components that one task merges
 
 
 # ------------------------------------------------------------------ neighbourhoods
@@ -99,69 +101,214 @@ def _block_tree(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, np.sqrt((gap * gap).sum(1))
 
 
-def spanning_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features",
-                  block_rows: int = TREE_ROWS) -> DataFrame:
-    """Minimum spanning tree edges (a_id, b_id, distance) of the points.
+def _near_lists(points: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """(id, near): the ``TREE_NEAR`` nearest other points, nearest first.
 
-    The tree of all points lies inside the union of the trees of every pair of blocks, so each task
-    works on two blocks and returns a tree; what remains is a sparse edge table. Component merging over
-    that table (every component takes its shortest outgoing edge, labels follow the links) finishes
-    the tree in a logarithmic number of checkpointed rounds.
+    Points meet those of their own block first; what they find bounds what they look for in the others. A task holds two blocks and serves
+    both with the same products of matrices.
     """
-    v = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("_v"))
-    blocks = -(-v.count() // block_rows)
-    last = F.lit(blocks - 1).cast("bigint")
-    placed = v.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1)))).withColumn(
-        "_o", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    if blocks > 1:  # two different blocks always, so a block never meets itself alone
-        placed = placed.where(F.col("_o") != F.col("_b"))
-    placed = placed.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame(columns=["a_id", "b_id", "distance"])
+    rows = max(block_rows, min(16 * block_rows, n // 12))
+    blocks = -(-n // rows)
+    id_type = points.schema["id"].dataType
+    lists = [T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("other", T.ArrayType(id_type))]
+
+    def found(side: pd.DataFrame, other: pd.DataFrame, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        own, at, d = near
+        cuts, ids = np.searchsorted(own, np.arange(1, len(side))), other["id"].to_numpy()
+        return pd.DataFrame({"id": side["id"].to_numpy(), "d": np.split(d, cuts), "other": np.split(ids[at], cuts)})
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        a, b, d = _block_tree(stack(pdf["_v"]))
-        return pd.DataFrame({"a_id": ids[np.minimum(a, b)], "b_id": ids[np.maximum(a, b)], "distance": d})
+        x = stack(pdf["_v"])
+        return found(pdf, pdf, nearest_of_both(x, x, TREE_NEAR, True)[0]).assign(_v=pdf["_v"].to_numpy(), _b=pdf["_b"].to_numpy())
 
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        sides = [pdf[pdf["_b"] == b] for b in (pdf["_i"].iloc[0], pdf["_j"].iloc[0])]
+        if not min(map(len, sides)):
+            return pd.DataFrame(columns=["id", "d", "other"])
+        x, y = (stack(side["_v"]) for side in sides)
+        near = nearest_of_both(x, y, TREE_NEAR, most=tuple(side["_most"].to_numpy() for side in sides))
+        return pd.concat([found(sides[0], sides[1], near[0]), found(sides[1], sides[0], near[1])])
+
+    placed = points.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("bigint")))
+    schema = T.StructType([T.StructField("id", id_type), *lists, points.schema["_v"], T.StructField("_b", T.LongType())])
+    first = written(placed.repartition(4 * blocks, "_b").groupBy("_b").applyInPandas(alone, schema), "tree-blocks")
+    most = F.when(F.size("d") < TREE_NEAR, F.lit(float("inf"))).otherwise(F.get("d", F.lit(TREE_NEAR - 1)))
+    placed = first.select("id", "_v", "_b", most.alias("_most")).withColumn(
+        "_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).where(F.col("_o") != F.col("_b"))
+    placed = placed.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o")
+    rest = placed.repartition(2 * blocks * (blocks - 1), "_i", "_j").groupBy("_i", "_j").applyInPandas(
+        meet, T.StructType([T.StructField("id", id_type), *lists]))
+    every = F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("d").alias("distance"), F.col("other").alias("other")))))
+    return first.select("id", "d", "other").union(rest.where(F.size("d") > 0)).groupBy("id").agg(F.slice(every, 1, TREE_NEAR).alias("near"))
+
+
+def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Tree edges and the new name of every component, from all edges between components; a component takes its shortest edge where no
+    unknown one can be shorter (``bound``)."""
+    pdf = pdf.sort_values(["distance", "a_id", "b_id"])
+    d = pdf["distance"].to_numpy()
+    names, ends = np.unique(np.concatenate([pdf["ca"].to_numpy(), pdf["cb"].to_numpy()]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    bound = np.empty(len(names))
+    for e, c in zip(ends, ("ba", "bb")):
+        bound[e] = pdf[c].to_numpy()
+    root, picked, live = np.arange(len(names)), [], np.arange(len(d))
+    while True:
+        a, b = root[ends[0][live]], root[ends[1][live]]
+        apart = a != b
+        live, a, b = live[apart], a[apart], b[apart]
+        first = np.full(len(names), -1)
+        for e in (a, b):  # the last one written stays: the shortest
+            own = np.full(len(names), -1)
+            own[e[::-1]] = np.arange(len(live))[::-1]
+            first = np.where((own >= 0) & ((first < 0) | (own < first)), own, first)
+        c = np.flatnonzero(first >= 0)
+        c = c[d[live[first[c]]] <= bound[c]]
+        if not len(c):
+            break
+        at = first[c]
+        to = np.arange(len(names))
+        to[c] = a[at] + b[at] - c
+        mutual = (to[to] == np.arange(len(names))) & (np.arange(len(names)) < to)
+        to[mutual] = np.flatnonzero(mutual)
+        while (to[to] != to).any():
+            to = to[to]
+        picked.append(np.unique(live[at]))
+        least = np.full(len(names), np.inf)
+        np.minimum.at(least, to, bound)
+        root, bound = to[root], least
+    edges = pdf.iloc[np.concatenate(picked) if picked else []][["a_id", "b_id", "distance"]]
+    return pd.concat([edges.assign(c=None, to=None), pd.DataFrame({"a_id": None, "b_id": None, "distance": np.nan, "c": names, "to": names[root]})])
+
+
+def _roots(pick: DataFrame) -> DataFrame:
+    """(c, to): the component in which each picking one ends up; of two that picked each other the smaller one becomes the root."""
+    back = pick.select(F.col("c").alias("to"), F.col("to").alias("back"))
+    link = pick.select("c", "to").join(back, "to", "left").select(
+        "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c"))
+        .otherwise(F.col("to")).alias("to"))
+    while True:
+        for _ in range(2):  # links lead four times as far after each table
+            hop = link.select(F.col("c").alias("to"), F.col("to").alias("next"))
+            far = F.coalesce("next", "to")
+            link = link.join(hop, "to", "left").select("c", far.alias("to"), (far != F.col("to")).alias("moved"))
+        link = written(link, "tree-links")
+        if link.where("moved").isEmpty():
+            return link.drop("moved")
+        link = link.drop("moved")
+
+
+def _outside(points: DataFrame, state: DataFrame, open_: DataFrame, block_rows: int) -> DataFrame:
+    """(id, c, distance, other, co): the nearest point of another component, for the points of the components ``open_`` that may be
+    nearer to one than the component's shortest known edge."""
+    placed = points.join(state, "id")
+    near = F.col("known").isNull() | (F.col("bound") < F.col("known"))
+    q = placed.join(open_, "c").where(near).select(F.lit(0).alias("_k"), F.col("id").alias("query_id"), "_v", "c")
+    r = placed.select(F.lit(0).alias("_k"), F.col("id").alias("nn_id"), "_v", F.col("c").alias("co"))
+    q, r = pair_blocks(q, r, ["_k"], "query_id", "nn_id", block_rows)
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["id", "c", "distance", "other", "co"])
+        own, far = left["c"].to_numpy(), right["co"].to_numpy()
+        codes = np.unique(np.concatenate([own, far]), return_inverse=True)[1]
+        a, b = codes[:len(own)], codes[len(own):]
+        i, j, d = nearest_in_block(stack(left["_v"]), stack(right["_v"]), right["nn_id"].to_numpy(), 1,
+                                   lambda s, e: a[s:e, None] == b[None, :])
+        return pd.DataFrame({"id": left["query_id"].to_numpy()[i], "c": own[i], "distance": d,
+                             "other": right["nn_id"].to_numpy()[j], "co": far[j]})
+
+    id_type = points.schema["id"].dataType
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c == "distance" else id_type) for c in ("id", "c", "distance", "other", "co")])
+    task, r = ["_lb", "_rb"], r.toDF(*r.columns)
+    found = q.groupBy(*task).cogroup(r.groupBy(*task)).applyInPandas(block, schema)
+    return found.groupBy("id", "c").agg(F.min(F.struct("distance", "other", "co")).alias("m")).select("id", "c", "m.*")
+
+
+def _canonical(df: DataFrame, a: str, b: str, ca: str, cb: str) -> DataFrame:
+    low = F.col(a) < F.col(b)
+    pick = [F.when(low, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in
+            (("a_id", a, b), ("b_id", b, a), ("ca", ca, cb), ("cb", cb, ca))]
+    return df.select(*pick[:2], "distance", *pick[2:])
+
+
+def spanning_tree(df: DataFrame, id_col: str = "row_id", vec: str = "features",
+                  block_rows: int = TREE_ROWS) -> DataFrame:
+    """Minimum spanning tree edges (a_id, b_id, distance) of the points; a point whose vector is NULL or holds NULL, NaN or infinity has none.
+
+    Equal points are one, with edges of length 0 to the lowest id. Every point finds its nearest others, and components grow along
+    those edges: one takes its shortest known edge if that is no longer than the k-th distance of all its points, beyond which there may be unknown
+    ones. Where too few components can, all but the largest look for their nearest point outside, and go on. What is left of the edges
+    between components is merged in one task once it is small.
+    """
+    v = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("_v")).where(
+        F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    points = written(v.groupBy("_v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_n")), "tree-points")
+    first = points.where("_n > 1").select("_v", F.col("id").alias("a_id"))
+    copies = v.join(first, "_v").where(F.col("id") != F.col("a_id")).select("a_id", F.col("id").alias("b_id"), F.lit(0.0).alias("distance"))
+    points = points.select("id", "_v")
+    n = points.count()
     id_type = v.schema["id"].dataType
-    schema = T.StructType([T.StructField("a_id", id_type), T.StructField("b_id", id_type),
-                           T.StructField("distance", T.DoubleType())])
-    edges = placed.groupBy("_i", "_j").applyInPandas(tree, schema)
-    if blocks <= 1:
-        return edges
-    # (ca, cb): components joined by the edge; (a_id, b_id): its end points
-    live = written(edges.distinct().select("*", F.col("a_id").alias("ca"), F.col("b_id").alias("cb")), "tree-edges")
-    picked = []
+    edge = [T.StructField("a_id", id_type), T.StructField("b_id", id_type), T.StructField("distance", T.DoubleType())]
+    if n <= block_rows:
+        def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+            if len(pdf) < 2:
+                return pd.DataFrame(columns=["a_id", "b_id", "distance"])
+            pdf = pdf.sort_values("id")
+            ids = pdf["id"].to_numpy()
+            a, b, d = _block_tree(stack(pdf["_v"]))
+            return pd.DataFrame({"a_id": ids[np.minimum(a, b)], "b_id": ids[np.maximum(a, b)], "distance": d})
+
+        return points.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(tree, T.StructType(edge)).union(copies)
+
+    near = written(_near_lists(points, n, block_rows), "tree-near")
+    beyond = F.when(F.size("near") < TREE_NEAR, F.lit(float("inf"))).otherwise(F.get("near", F.lit(TREE_NEAR - 1))["distance"])
+    # c: a point's component; ca, cb: those joined by an edge
+    state = near.select("id", F.col("id").alias("c"), beyond.alias("bound"))
+    pairs = near.select("id", F.explode("near").alias("m")).select("id", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
+    live = written(_canonical(pairs, "id", "other", "id", "other").distinct(), "tree-edges")
+    picked = [copies]
     while True:
         both = live.select("distance", "a_id", "b_id", "ca", "cb").union(
             live.select("distance", "a_id", "b_id", "cb", "ca"))
-        pick = both.groupBy("ca").agg(F.min(F.struct("distance", "a_id", "b_id", "cb")).alias("m")).select(
-            F.col("ca").alias("c"), F.col("m.cb").alias("to"), "m.distance", "m.a_id", "m.b_id")
-        pick = written(pick, "tree-picks")
-        if pick.isEmpty():
+        shortest = both.groupBy(F.col("ca").alias("c")).agg(F.min(F.struct("distance", "a_id", "b_id", "cb")).alias("m"))
+        parts = state.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("bound").alias("bound")).join(shortest, "c", "left").select(
+            "c", "n", "bound", F.col("m.cb").alias("to"), "m.distance", "m.a_id", "m.b_id")
+        parts = written(parts.withColumn("sure", F.coalesce(F.col("distance") <= F.col("bound"), F.lit(False))), "tree-picks")
+        size = parts.agg(F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("sure"), F.max(F.struct("n", "c")).alias("largest")).first()
+        if size["n"] <= 1:
             break
-        picked.append(pick.select("a_id", "b_id", "distance"))
-        # of two components that picked each other the smaller one becomes the root
-        back = pick.select(F.col("c").alias("to"), F.col("to").alias("back"))
-        link = pick.select("c", "to").join(back, "to", "left").select(
-            "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c"))
-            .otherwise(F.col("to")).alias("to"))
-        while True:
-            for _ in range(2):  # links lead four times as far after each table
-                hop = link.select(F.col("c").alias("to"), F.col("to").alias("next"))
-                far = F.coalesce("next", "to")
-                link = link.join(hop, "to", "left").select("c", far.alias("to"), (far != F.col("to")).alias("moved"))
-            link = written(link, "tree-links")
-            if link.where("moved").isEmpty():
+        if size["sure"] and live.count() <= TREE_EDGES:
+            sides = [parts.select(F.col("c").alias(c), F.col("bound").alias(b)) for c, b in (("ca", "ba"), ("cb", "bb"))]
+            whole = live.join(sides[0], "ca").join(sides[1], "cb")
+            schema = T.StructType([*edge, T.StructField("c", id_type), T.StructField("to", id_type)])
+            grown = written(whole.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_grow, schema), "tree-grown")
+            picked.append(grown.where(F.col("c").isNull()).select("a_id", "b_id", "distance"))
+            link = grown.where(F.col("c").isNotNull()).select("c", "to")
+            end = link.agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("low"), F.max("to").alias("high")).first()
+            if end["n"] == size["n"] and end["low"] == end["high"]:
+                break
+        elif 2 * size["sure"] >= size["n"] - 1:
+            pick = parts.where("sure")
+            picked.append(pick.select("a_id", "b_id", "distance"))
+            link = _roots(pick)
+        else:
+            open_ = parts.where(~F.col("sure") & (F.col("c") != F.lit(size["largest"]["c"]))).select("c", F.col("distance").alias("known"))
+            out = written(_outside(points, state, open_, BLOCK_ROWS), "tree-outside")
+            if out.isEmpty():  # distances beyond the largest double
                 break
-            link = link.drop("moved")
-        a = link.select(F.col("c").alias("ca"), F.col("to").alias("na"))
-        b = link.select(F.col("c").alias("cb"), F.col("to").alias("nb"))
-        live = written(live.join(a, "ca").join(b, "cb").where(F.col("na") != F.col("nb")).select(
-            "a_id", "b_id", "distance", F.col("na").alias("ca"), F.col("nb").alias("cb")), "tree-edges")
-    return reduce(DataFrame.union, picked).distinct() if picked else live.select("a_id", "b_id", "distance")
+            farther = out.select("id", F.col("distance").alias("_d"))
+            state = written(state.join(farther, "id", "left").withColumn("bound", F.greatest("bound", "_d")).drop("_d"), "tree-state")
+            live = written(live.unionByName(_canonical(out, "id", "other", "c", "co")).distinct(), "tree-edges")
+            continue
+        now = F.coalesce("to", "c")
+        state = written(state.join(link, "c", "left").select("id", now.alias("c"), "bound"), "tree-state")
+        for c in ("ca", "cb"):
+            live = live.join(link.withColumnRenamed("c", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        live = written(live.where(F.col("ca") != F.col("cb")), "tree-edges")
+    return reduce(DataFrame.union, picked).distinct()
 
 
 def n1_boundary(df: DataFrame, id_col: str = "row_id", vec: str = "features", label: str = "label",

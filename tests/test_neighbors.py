@@ -167,3 +167,38 @@ def test_knn_tasks_are_bounded_and_routes_carry_no_vectors(spark):
     bounds = nb._pivot_bounds(nb._assign(r, x[:15]).select("_cell", "_rad"), [], 3)
     visits = nb._visits(own, [], x[:15], bounds, 3)
     assert visits.columns == ["_own", "_chunk", "_cell"] and visits.count() <= 15 * 15
+
+
+def test_nearest_of_both_sides_are_exact():
+    from rareclass.operators.neighbors import nearest_of_both
+    rng = np.random.default_rng(5)
+
+    def rows(x, q, r, k, exclude):
+        return [(i, j, d) for i, near in brute(x, q, r, k, exclude).items() for d, j in near]
+    for x in (rng.normal(size=(700, 16)), rng.normal(size=(300, 8)) * 1e-6 + 100, rng.integers(0, 2, (500, 7)).astype(float), rng.normal(size=(5, 4))):
+        half = len(x) // 2
+        a, b = np.arange(half), np.arange(half, len(x))
+        near = nearest_of_both(x[a], x[b], 4)
+        want = rows(x, a, b, 4, False), rows(x, b, a, 4, False)
+        assert [(i, j + half, d) for i, j, d in zip(*near[0])] == want[0] and [(i + half, j, d) for i, j, d in zip(*near[1])] == want[1]
+        assert list(zip(*nearest_of_both(x, x, 4, True)[0])) == rows(x, range(len(x)), range(len(x)), 4, True)
+        if half >= 4:
+            most = tuple(d.reshape(-1, 4)[:, 3] for _, _, d in near)
+            again = nearest_of_both(x[a], x[b], 4, most=most)
+            assert all((u == v).all() for p, q in zip(near, again) for u, v in zip(p, q))
+
+
+def test_spanning_tree_knows_few_edges_of_a_point(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(300, 6)), *[rng.normal(size=(60, 6)) * 0.01 + c for c in rng.normal(size=(5, 6)) * 30]])
+    x[:20] = x[20]
+    tables, plain = [], g.written
+    monkeypatch.setattr(g, "written", lambda df, name: tables.append((name, plain(df, name))) or tables[-1][1])
+    monkeypatch.setattr(g, "TREE_EDGES", 500, raising=False)  # so that tasks of all kinds take part
+    df = points(spark, x, np.zeros(len(x))).union(spark.sql(
+        "SELECT 1000L, NULL, 0, 0 UNION ALL SELECT 1001L, array(0D, 0D, 0D, 0D, 0D, double('NaN')), 0, 0"))
+    edges = g.spanning_tree(df, block_rows=40).collect()
+    assert max(t.count() for name, t in tables if name == "tree-edges") <= 9 * len(x)  # every pair of blocks gave a tree before
+    assert any(name == "tree-outside" for name, _ in tables)  # the far groups know none of their nearest outside
+    assert len(edges) == len(x) - 1 and sum(r["distance"] for r in edges) == pytest.approx(g._block_tree(x)[2].sum())
+    assert {r["a_id"] for r in edges if r["distance"] == 0} == {0}
