@@ -24,6 +24,7 @@ from rareclass.session import cut_lineage, written
 
 BLOCK_ROWS = 4096
 SEGMENT_ROWS = 2048
+SEGMENT_ENDS = 65_536  # ends of a block: a point is compared with all of them at once, so their pairs cost little
 STEP_CELLS = 4_000_000  # distances held at once while rows are compared with pivots
 TILE_ROWS, TILE_COLS = 256, 2048  # a tile of single-precision distances stays in a core's cache
 
@@ -355,14 +356,39 @@ def _opposite(s: np.ndarray, tol: np.ndarray, most: int) -> tuple[np.ndarray, np
     return np.minimum(i, j)[near], np.maximum(i, j)[near]
 
 
-def segments_within(x: np.ndarray, most: np.ndarray, v: np.ndarray, owner: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _close_opposites(s: np.ndarray, tol: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """As ``_opposite``, for many values with small tolerances: only values whose size comes close to that of another can have an opposite."""
+    few = 2.0 * np.median(tol)
+    wide = np.flatnonzero(tol > few)
+    if len(wide) > 64:
+        return _opposite(s, tol, most)
+    order = np.argsort(np.abs(s))
+    near = np.diff(np.abs(s[order])) <= 2.0 * few
+    kept = order[np.append(near, False) | np.append(False, near)]
+    kept = kept[tol[kept] <= few]
+    found = _opposite(s[kept], tol[kept], most)
+    if found is None:
+        return None
+    i, j = [np.minimum(kept[found[0]], kept[found[1]])], [np.maximum(kept[found[0]], kept[found[1]])]
+    for w in wide:
+        with_ = np.flatnonzero(np.abs(s + s[w]) <= tol + tol[w])
+        with_ = with_[with_ != w]
+        i.append(np.minimum(with_, w))
+        j.append(np.maximum(with_, w))
+    return np.concatenate(i), np.concatenate(j)
+
+
+def segments_within(x: np.ndarray, most: np.ndarray, v: np.ndarray, owner: np.ndarray, crossing: bool,
+                    upto: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first end, second end, distance) of each point's nearest segment no farther than ``most``; infinite where none is.
 
     ``crossing``: only segments between ends of different ``owner``. Seen from a point at distance d, the ends of a segment lie in opposite
     directions but for asin(d / distance) at either end, so along any one direction the two unit vectors nearly cancel: sorted values find
-    the few pairs that can be so near. Where ``most`` rules too little out, or is NULL, all pairs are compared.
+    the few pairs that can be so near. Where ``most`` rules too little out, or is NULL, all pairs are compared. ``upto``: a segment from i to
+    j > i may also start at j where j < upto[i], and does if that rounds to less; its first end is the later one then.
     """
     n = len(v)
+    upto = np.arange(n) if upto is None else upto
     best, a_best, b_best = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
     axis = np.random.default_rng(n).normal(size=v.shape[1])
     axis /= np.linalg.norm(axis)
@@ -384,33 +410,59 @@ def segments_within(x: np.ndarray, most: np.ndarray, v: np.ndarray, owner: np.nd
             with np.errstate(divide="ignore", invalid="ignore"):
                 sight = np.where(r > 0, np.clip((heights - part[k] @ axis) / r, -1.0, 1.0), 0.0)
                 ratio = limit / r
+                tol = ratio * (1.0 + ratio * ratio)  # more than the arc sine
+                large = np.flatnonzero(~(ratio < 0.5))
                 # an end no farther than the limit may be the foot itself and goes with every other one
-                tol = np.where(ratio < 0.999, np.arcsin(np.minimum(ratio, 1.0)) * (1 + 1e-9) + slack * (size / (r * r) + 1), 2.0)
-            found = _opposite(sight, tol, max(STEP_CELLS // 8, 8 * n))
+                tol[large] = np.where(ratio[large] < 0.999, np.arcsin(np.minimum(ratio[large], 1.0)) * (1 + 1e-9), 2.0)
+                tol = np.where(tol < 2.0, tol + slack * (size / (r * r) + 1), 2.0)
+            extra = _at_an_end(x[at], v, r, owner, crossing)
+            if extra is not None:  # every segment of that end is at distance 0: the first one stands for them
+                tol[extra[2]], sight[extra[2]] = 0.0, 4.0
+            found = _close_opposites(sight, tol, max(STEP_CELLS // 8, 8 * n))
             if found is None:
                 hard.append(at)
                 continue
             i, j = found
+            if extra is not None:
+                i, j = np.append(i, extra[0]), np.append(j, extra[1])
             if crossing:
                 i, j = (z[owner[i] != owner[j]] for z in (i, j))
             if len(i):
+                turned = j < upto[i]
+                i, j = np.concatenate([i, j[turned]]), np.concatenate([j, i[turned]])
                 d = _segment_gaps(x[at], v, i, j)
                 first = np.lexsort((j, i, d))[0]
                 if d[first] <= limit:
                     best[at], a_best[at], b_best[at] = d[first], i[first], j[first]
     if hard:
         own = np.array(hard)
-        best[own], a_best[own], b_best[own] = _all_segments(x[own], v, owner, crossing)
+        best[own], a_best[own], b_best[own] = _all_segments(x[own], v, owner, crossing, upto)
     return a_best, b_best, best
 
 
-def _all_segments(x: np.ndarray, v: np.ndarray, owner: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _at_an_end(x: np.ndarray, v: np.ndarray, r: np.ndarray, owner: np.ndarray, crossing: bool) -> tuple[int, int, int] | None:
+    """(first end, second end, the end at the point) of the first segment of the end that a point lies on."""
+    zero = np.flatnonzero(r == 0)
+    if len(zero) != 1:
+        return None
+    own = int(zero[0])
+    other = np.flatnonzero(owner != owner[own])[:1] if crossing else np.array([0 if own else 1])
+    if not len(other):
+        return None
+    i, j = min(own, int(other[0])), max(own, int(other[0]))
+    return (i, j, own) if _segment_gaps(x, v, np.array([i]), np.array([j]))[0] == 0 else None
+
+
+def _all_segments(x: np.ndarray, v: np.ndarray, owner: np.ndarray, crossing: bool,
+                  upto: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distance, first end, second end) of each point's nearest segment of all."""
     best = np.full(len(x), np.inf)
     a_best, b_best = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
-    for a in range(len(v) - 1):
-        wanted = (owner[a + 1:] != owner[a]) if crossing else np.ones(len(v) - a - 1, dtype=bool)
-        others = np.nonzero(wanted)[0] + a + 1
+    for a in range(len(v)):
+        wanted = (owner != owner[a]) if crossing else np.ones(len(v), dtype=bool)
+        wanted[:a] &= (a < upto[:a]) if upto is not None else False  # segments that start at their later end
+        wanted[a] = False
+        others = np.nonzero(wanted)[0]
         along = v[others] - v[a]
         length = (along * along).sum(1)
         others, along, length = others[length > 0], along[length > 0], length[length > 0]
@@ -445,38 +497,46 @@ def _shortest_around(x: np.ndarray, v: np.ndarray, around: int = 6) -> np.ndarra
 
 
 def nearest_segments(points: DataFrame, ends: DataFrame, id_col: str = "row_id", vec: str = "features",
-                     by: Sequence[str] = (), block_rows: int = SEGMENT_ROWS) -> DataFrame:
+                     by: Sequence[str] = (), block_rows: int = SEGMENT_ROWS, end_rows: int = SEGMENT_ENDS) -> DataFrame:
     """For each point the nearest segment between two ``ends`` rows of the same ``by`` group.
 
     Point-to-segment distance with the foot clipped to the segment; zero-length pairs are ignored and
-    the pair first in (a, b) id order wins a tie. Tasks see one block of points and two of ends and
-    return one segment per point; no pair of ends is ever written out. Points on a segment but for rounding are found first, in time
-    that grows with the ends, not with their pairs; the others follow with the distance of a segment next to them as their limit.
+    the pair first in (a, b) id order wins a tie. Tasks see one block of points and two of ends (one, where a group has no more than ``end_rows``)
+    and return one segment per point; no pair of ends is ever written out. Equal ends are one. Points on a segment but for rounding are found first,
+    in time that grows with the ends, not with their pairs; the others follow with the distance of a segment next to them as their limit.
     """
     by = list(by)
     p = points.select(*by, F.col(id_col).alias("point_id"), F.col(vec).cast("array<double>").alias("_v"))
     p = written(p.withColumn("_most", F.lit(1e-7) * F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))), "segment-points")
-    e = written(ends.select(*by, F.col(id_col).alias("end_id"), F.col(vec).cast("array<double>").alias("_v")), "segment-ends")
-    found = written(_segments_of(p, e, by, block_rows, True), "segments")
-    best = found.groupBy(*by, "point_id").agg(
-        F.min(F.when(F.col("a_id").isNotNull(), F.struct("residual", "a_id", "b_id"))).alias("_m"), F.min("residual").alias("_most"))
-    best = written(best, "segments-best")
-    # a point without any row has only ends it cannot be measured from; it comes again, without a limit
-    open_ = null_safe_join(p.drop("_most"), best.withColumn("_done", F.col("_m").isNotNull()).drop("_m"), [*by, "point_id"], "left").where(
-        ~F.coalesce("_done", F.lit(False))).drop("_done")
-    open_ = written(open_.withColumn("_most", F.col("_most") * (1 + 1e-9)), "segments-open")
-    best = best.where(F.col("_m").isNotNull()).drop("_most")
+    every = ends.select(*by, F.col(id_col).alias("end_id"), F.col(vec).cast("array<double>").alias("_v"))
+    e = written(every.groupBy(*by, "_v").agg(F.min("end_id").alias("end_id"), F.max("end_id").alias("_last")), "segment-ends")
+    first = F.min(F.struct("residual", "a_id", "b_id")).alias("_m")
+    best = written(_segments_of(p, e, by, block_rows, end_rows).groupBy(*by, "point_id").agg(first), "segments-best")
+    open_ = null_safe_join(p.drop("_most"), best.withColumn("_done", F.lit(True)).drop("_m"), [*by, "point_id"], "left").where(F.col("_done").isNull()).drop("_done")
+    open_ = written(open_, "segments-open")
     if not open_.isEmpty():
-        rest = _segments_of(open_, e, by, block_rows, False)
-        best = best.unionByName(rest.groupBy(*by, "point_id").agg(F.min(F.struct("residual", "a_id", "b_id")).alias("_m")))
-    return best.select(*by, "point_id", F.col("_m.a_id").alias("a_id"), F.col("_m.b_id").alias("b_id"),
-                       F.col("_m.residual").alias("residual"))
-
-
-def _segments_of(p: DataFrame, e: DataFrame, by: list[str], block_rows: int, limits: bool) -> DataFrame:
-    """(by, point_id, a_id, b_id, residual): a row per point and pair of blocks that holds a segment within the point's ``_most``; where
-    ``limits``, one without ids for the others, whose residual is that of some segment."""
-    counts = e.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_E"))
+        # a point without any row has only ends it cannot be measured from; it has no limit
+        around = _segments_of(open_.withColumn("_most", F.lit(0.0)), e, by, block_rows, end_rows, around=True)
+        around = around.groupBy(*by, "point_id").agg((F.min("residual") * (1 + 1e-9)).alias("_most"))
+        open_ = written(null_safe_join(open_, around, [*by, "point_id"], "left"), "segments-limits")
+        best = best.unionByName(_segments_of(open_, e, by, block_rows, end_rows).groupBy(*by, "point_id").agg(first))
+    best = best.select(*by, "point_id", "_m.a_id", "_m.b_id", "_m.residual")
+    copied = e.where(F.col("_last") > F.col("end_id"))
+    if copied.isEmpty():
+        return best
+    # a segment that starts at its later end goes to the first copy of the other behind that one
+    best = written(best, "segments-named")
+    turned = best.where(F.col("a_id") > F.col("b_id"))
+    copies = null_safe_join(every, copied.select(*by, "_v", F.col("end_id").alias("b_id")), [*by, "_v"], "inner").select(*by, "b_id", F.col("end_id").alias("_copy"))
+    named = null_safe_join(turned, copies, [*by, "b_id"], "inner").where(F.col("_copy") > F.col("a_id")).groupBy(
+        *by, "point_id", "a_id", "residual").agg(F.min("_copy").alias("b_id"))
+    return best.where(F.col("a_id") < F.col("b_id")).unionByName(named.select(*by, "point_id", "a_id", "b_id", "residual"))
+
+
+def _segments_of(p: DataFrame, e: DataFrame, by: list[str], block_rows: int, end_rows: int, around: bool = False) -> DataFrame:
+    """(by, point_id, a_id, b_id, residual): a row per point and pair of blocks that holds a segment within the point's ``_most``; with
+    ``around``, one per point and block, whose residual is that of some segment and which has no ids."""
+    counts = e.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / end_rows).alias("_E"))
     n_points = p.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_P"))
     if by:
         grid = counts.join(n_points, by)
@@ -491,11 +551,11 @@ def _segments_of(p: DataFrame, e: DataFrame, by: list[str], block_rows: int, lim
 
     placed_p = (p.join(grid, one).withColumn("_pb", F.pmod(F.xxhash64("point_id"), F.col("_P")))
                 .withColumn("_i", F.explode(numbers("_E")))
-                .withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_E") - 1))))
+                .withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_i") if around else F.col("_E") - 1))))
     # an end of block b takes part in every block pair (i <= j) that contains b
     mine = F.pmod(F.xxhash64("end_id"), F.col("_E"))
     placed_e = (e.join(grid, one).withColumn("_b", mine)
-                .withColumn("_o", F.explode(numbers("_E")))
+                .withColumn("_o", F.explode(F.array("_b") if around else numbers("_E")))
                 .withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
                 .withColumn("_pb", F.explode(numbers("_P"))))
 
@@ -506,15 +566,16 @@ def _segments_of(p: DataFrame, e: DataFrame, by: list[str], block_rows: int, lim
         i, j = right["_i"].iloc[0], right["_j"].iloc[0]
         right = right.sort_values("end_id")
         ids, owner, v = right["end_id"].to_numpy(), right["_b"].to_numpy(), stack(right["_v"])
-        x, most = stack(left["_v"]), left["_most"].to_numpy(dtype=np.float64)
-        a, b, best = segments_within(x, most, v, owner, i != j)
+        x = stack(left["_v"])
+        if around:
+            out = left[[*by, "point_id"]].reset_index(drop=True)
+            out["a_id"], out["b_id"], out["residual"] = None, None, _shortest_around(x, v)
+            return out[np.isfinite(out["residual"])]
+        upto = np.searchsorted(ids, right["_last"].to_numpy(), "left")
+        a, b, best = segments_within(x, left["_most"].to_numpy(dtype=np.float64), v, owner, i != j, upto)
         found = np.isfinite(best)
         out = left[[*by, "point_id"]][found].reset_index(drop=True)
         out["a_id"], out["b_id"], out["residual"] = ids[a[found]], ids[b[found]], best[found]
-        if limits and not found.all():
-            more = left[[*by, "point_id"]][~found].reset_index(drop=True)
-            more["a_id"], more["b_id"], more["residual"] = None, None, _shortest_around(x[~found], v)
-            out = pd.concat([out.astype({"a_id": object, "b_id": object}), more[np.isfinite(more["residual"])]])
         return out
 
     id_type = e.schema["end_id"].dataType

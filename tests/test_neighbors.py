@@ -202,3 +202,27 @@ def test_spanning_tree_knows_few_edges_of_a_point(spark, monkeypatch):
     assert any(name == "tree-outside" for name, _ in tables)  # the far groups know none of their nearest outside
     assert len(edges) == len(x) - 1 and sum(r["distance"] for r in edges) == pytest.approx(g._block_tree(x)[2].sum())
     assert {r["a_id"] for r in edges if r["distance"] == 0} == {0}
+
+
+@pytest.mark.parametrize("end_rows", [100, 9])
+def test_segments_between_copied_ends(spark, end_rows):
+    rng = np.random.default_rng(9)
+    ends = rng.integers(0, 3, (40, 4)).astype(float) + 0.1  # many are equal
+    pts = np.vstack([ends[:6], (ends[rng.integers(0, 40, 20)] + ends[rng.integers(0, 40, 20)]) / 2, rng.normal(size=(8, 4))])
+    got = {r["point_id"]: r for r in nearest_segments(points(spark, pts, np.ones(len(pts))), points(spark, ends, np.ones(40)),
+                                                      block_rows=16, end_rows=end_rows).collect()}
+    from rareclass.operators import neighbors as nb
+    want = nb._all_segments(pts, ends, np.zeros(40, dtype=int), False)  # every pair of rows, copies included
+    assert len(got) == len(pts)
+    for s in range(len(pts)):
+        assert (got[s]["residual"], got[s]["a_id"], got[s]["b_id"]) == (want[0][s], want[1][s], want[2][s])
+
+
+def test_a_point_on_copied_ends_is_not_compared_with_all_pairs(spark):
+    # 30 copies of every end and points on them: before, each of a point's copies went with every other end, or all pairs were compared
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(200, 8))
+    ends = np.repeat(base, 30, axis=0)
+    got = nearest_segments(points(spark, base, np.ones(200)), points(spark, ends, np.ones(len(ends)))).collect()
+    assert len(got) == 200 and all(r["residual"] == 0 for r in got)
+    assert all((r["a_id"], r["b_id"]) == ((0, 30) if r["point_id"] == 0 else (0, 30 * r["point_id"])) for r in got)
